@@ -3,7 +3,7 @@
 1. Ions: log-m/z histogram per run (map-side combined), rolling sums, local maxima that are occupied nearly throughout.
 2. Centroids within 20 ppm of an ion form its trace; strong centroids 100 to 600 ppm off are its possible jumps. One bucketed join.
 3. Traces are cut into stretches of ``STRETCH`` scans with ``MARGIN`` scans of warm-up on both sides, so that neither a long run nor a run with
-   a third of all rows makes a large task. Arrow tasks filter many stretches at a time: a local-level model of log intensity is run forwards
+   a third of all rows makes a large task. Arrow tasks filter many stretches at a time: a local linear trend of log intensity is run forwards
    and backwards, standardised innovations above a threshold are withheld from the update, and both forecasts are fused into the local level.
 4. The run's usual scatter is the median over its stretches; a reading is a spike if it is off the fused level by ten times that.
 Stuck stretches are those whose innovation variance vanishes; jumps stand where the trace has no reading, at the level forecast for it.
@@ -25,8 +25,8 @@ STRETCH, MARGIN = 2048, 64
 #: Centroids below this are stray ones.
 STRAY = 4001.0
 SPIKE, STUCK_RUN, STUCK_SPREAD, LOWEST_MZ, HIGHEST_MZ, HIGHEST_INTEN = 10.0, 8, 1e-3, 50.0, 1700.0, 1e12
-#: Share of the noise variance by which the level may move from scan to scan.
-DRIFT = 0.02
+#: Shares of the noise variance by which level and slope of a trace may move from scan to scan, and the share of the slope that lasts.
+LEVEL_DRIFT, SLOPE_DRIFT, DAMPING = 0.05, 0.01, 0.95
 BIN = 5e-6
 
 
@@ -77,25 +77,31 @@ _OUT = "run string, scan int, pos bigint, kind string, off double, scatter doubl
 
 
 def _filtered(y: np.ndarray, n: np.ndarray, r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forecast of each reading from those before it, and the forecast's variance. ``y``: padded to a matrix, a series in each row."""
+    """Forecast of each reading from those before it, and the forecast's variance, under a local linear trend.
+
+    ``y``: padded to a matrix, a series of ``n`` readings with noise variance ``r`` in each row. Readings beyond ``threshold`` standardised
+    innovations are withheld from the update, but the third in a row is a new level.
+    """
     s, t = y.shape
-    q, level, p = DRIFT * r, y[:, 0].copy(), np.full(s, np.inf)
     head = y[:, : min(5, t)]
-    level = np.nanmedian(np.where(np.arange(head.shape[1]) < n[:, None], head, np.nan), axis=1)
-    p = 2.0 * r
+    with np.errstate(all="ignore"):
+        level = np.nan_to_num(np.nanmedian(np.where(np.arange(head.shape[1]) < n[:, None], head, np.nan), axis=1))
+    slope, p11, p12, p22 = np.zeros(s), 2.0 * r, np.zeros(s), 0.1 * r
     ahead, var, held = np.empty_like(y), np.empty_like(y), np.zeros(s, int)
     for k in range(t):
-        p = p + q
-        ahead[:, k], var[:, k] = level, p
-        e = y[:, k] - level
-        # withheld: beyond the threshold, unless three readings in a row are, which is a new level
-        out = np.abs(e) > threshold * np.sqrt(p + r)
+        slope = DAMPING * slope
+        level = level + slope
+        p12, p22 = DAMPING * p12, DAMPING**2 * p22
+        p11, p12, p22 = p11 + 2 * p12 + p22 + LEVEL_DRIFT * r, p12 + p22, p22 + SLOPE_DRIFT * r
+        ahead[:, k], var[:, k] = level, p11
+        e, total = y[:, k] - level, p11 + r
+        out = np.abs(e) > threshold * np.sqrt(total)
         held = np.where(out, held + 1, 0)
         renew = held >= 3
         use = (k < n) & (~out | renew)
-        gain = np.where(renew, 0.9, p / (p + r))
-        level = np.where(use, level + gain * e, level)
-        p = np.where(use, (1 - np.minimum(gain, p / (p + r))) * p, p)
+        k1, k2 = np.where(use, p11 / total, 0.0), np.where(use & ~renew, p12 / total, 0.0)
+        level, slope = level + np.where(use & renew, 0.9, k1) * e, slope + k2 * e
+        p11, p12, p22 = (1 - k1) * p11, (1 - k1) * p12, p22 - k2 * p12
         held = np.where(renew, 0, held)
     return ahead, var
 
