@@ -70,8 +70,8 @@ _NUMBER = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _FORMULA = "((Br|Cl|Si|Na|I|K|S|P|F|O|N|C|H)([1-9][0-9]*)?)+"
 _PARSED = f"""
 with a as (select line_id, lib, coalesce(raw, '') as raw, regexp_full_match(coalesce(raw, ''), '{_FIELD}(?:,{_FIELD})*', 's') as syntax from library_raw),
-b as (select *, case when syntax then list_transform(regexp_extract_all(',' || raw, ',((?:"(?:[^"]|"")*"|[^",]*))', 1, 's'),
-  f -> case when f[1] = '"' then replace(f[2:len(f) - 1], '""', '"') else f end) end as v from a),
+b as (select *, case when syntax then list_transform(regexp_extract_all(',' || raw, ',((?:"(?:[^"]|"")*"|[^",]*))', 1, 's'), lambda f:
+  case when f[1] = '"' then replace(f[2:len(f) - 1], '""', '"') else f end) end as v from a),
 parsed as (select *, case when not syntax then 'quoting' when len(v) <> 9 then 'column_count'
   when not ((v[2] = '' or (regexp_full_match(v[2], '{_NUMBER}') and coalesce(try_cast(v[2] as double), 0) > 0 and coalesce(try_cast(v[2] as double), 0) < 5000)) and (v[5] = '' or regexp_full_match(v[5], '{_FORMULA}'))) then 'bad_value'
   when lower(trim(v[4])) in ('1', 'ms1') or trim(v[9]) = '' or trim(v[8]) = '0' then 'skipped' end as reason from b)
