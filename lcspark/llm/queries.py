@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lcspark.llm import mix as m
+from lcspark.llm.leak import leaked
 from lcspark.llm.nearest import nearest_feature, unassigned_spectra
 from lcspark.llm.survivors import spectrum_survivors
 from lcspark.llm.topn import top_hits
@@ -36,6 +37,15 @@ def p7_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top_hits(read(spark, d, "identifications"), 10)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items: in how many documents they stand, and the closest of them."""
+    return leaked(read(spark, d, "documents"), read(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("best_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     b = m.budgets(m.sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
     return b.filter("reachable < wanted").select("source")
@@ -56,7 +66,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return m.report(*_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p7_found, p7_ranked, p9_found, p9_mix, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report)}
 
 _COPIES = r"""
 with k as (select map_id, loaded_at, tic, precursor_purity, representative,
