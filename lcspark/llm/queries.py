@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lcspark.llm import mix as m
 from lcspark.llm.leak import leaked
+from lcspark.llm.pii import pseudonymised, redacted
 from lcspark.llm.nearest import nearest_feature, unassigned_spectra
 from lcspark.llm.survivors import spectrum_survivors
 from lcspark.llm.topn import top_hits
@@ -66,7 +67,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return m.report(*_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report)}
+#: Key of the surrogates in these queries; a deployment gives its own secret.
+PII_KEY = "lcspark"
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pseudonymised(read(spark, d, "documents"), PII_KEY).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in place of its personal data."""
+    return redacted(read(spark, d, "documents"), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report, p10_found, p10_redacted)}
 
 _COPIES = r"""
 with k as (select map_id, loaded_at, tic, precursor_purity, representative,
