@@ -77,8 +77,8 @@ parsed as (select *, case when not syntax then 'quoting' when len(v) <> 9 then '
   when lower(trim(v[4])) in ('1', 'ms1') or trim(v[9]) = '' or trim(v[8]) = '0' then 'skipped' end as reason from b)
 """
 _SCANS = """
-with units as (select run, max(case when lower(trim(rt_unit)) in ('second', 'minute') then lower(trim(rt_unit)) end) as u, max(rt) as most from scans where not coalesce(isnan(rt), false) group by run),
-m as (select s.run, s.scan, s.rt, case when coalesce(u.u = 'second', u.most > 200) then s.rt / 60 else s.rt end as t from scans s join units u on s.run = u.run where s.rt is not null and not isnan(s.rt)),
+with units as (select run, max(case when lower(trim(rt_unit)) in ('second', 'minute') then lower(trim(rt_unit)) end) as u, max(rt) as most from scans where coalesce(isfinite(rt), true) group by run),
+m as (select s.run, s.scan, s.rt, case when coalesce(u.u = 'second', u.most > 200) then s.rt / 60 else s.rt end as t from scans s join units u on s.run = u.run where s.rt is not null and isfinite(s.rt)),
 c as (select distinct run, k + case when t < 0.05::double * k then -1 when t >= 0.05::double * (k + 1) then 1 else 0 end as cell from (select run, t, cast(floor(t / 0.05::double) as bigint) as k from m))
 """
 _FILLED = """
