@@ -88,8 +88,8 @@ with k as (select map_id, loaded_at, tic, precursor_purity, representative,
   cast(nullif(regexp_extract(scan, '([0-9]{1,18})\s*$', 1), '') as bigint) as n from ms2_map),
 g as (select run, n, min(map_id) as dup_id from k where run is not null and n is not null group by run, n having count(*) > 1),
 v as (select g.dup_id, f.field, k.map_id, k.loaded_at, f.value from k join g on k.run = g.run and k.n = g.n,
-  lateral (select 'tic' as field, case when k.tic > 0 and not isnan(k.tic) then k.tic end as value
-    union all select 'precursor_purity', case when k.precursor_purity between 0 and 1 and not isnan(k.precursor_purity) then k.precursor_purity end
+  lateral (select 'tic' as field, case when k.tic > 0 and isfinite(k.tic) then k.tic end as value
+    union all select 'precursor_purity', case when k.precursor_purity between 0 and 1 and isfinite(k.precursor_purity) then k.precursor_purity end
     union all select 'representative', case when k.representative in (0, 1) then cast(k.representative as double) end) f where f.value is not null),
 best as (select * from v qualify row_number() over (partition by dup_id, field order by loaded_at desc nulls last, map_id desc) = 1)
 """
@@ -97,7 +97,7 @@ best as (select * from v qualify row_number() over (partition by dup_id, field o
 
 def _top(n: int) -> str:
     return f"""
-with d as (select * from identifications where hit_id is not null and group_id is not null and spectrum is not null and score is not null and not isnan(score)
+with d as (select * from identifications where hit_id is not null and group_id is not null and spectrum is not null and score is not null and isfinite(score)
   qualify row_number() over (partition by group_id, spectrum, library_index order by hit_id) = 1),
 r as (select *, cast(row_number() over (partition by group_id, spectrum order by score desc, n_matched desc nulls last, library_index nulls last, hit_id) as integer) as place from d),
 top as (select group_id, spectrum, place as rank, hit_id, score, n_matched, library_index from r where place <= {n})
