@@ -52,7 +52,7 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """``(*group, rho, n)`` over rows where both are known."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumn("_x", average_rank(x, group)).withColumn("_y", average_rank(y, group))
-    return d.groupBy(*group).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    return d.groupBy(*group).agg(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("rho"), F.count("*").alias("n"))
 
 
 def confusion(df: DataFrame, group: list[str], truth: Column, called: Column) -> DataFrame:
