@@ -58,9 +58,10 @@ def real_count(c: Column) -> Column:
 def fill_block_groups(mask: DataFrame) -> DataFrame:
     """``filled_mask`` with ``group_id`` filled from its block (``row_no``), ``group_id_filled`` and the posterior of the filled value.
 
-    A missing group is null or below 1. A block without a known group stays null. Null ``row_no`` is no block.
+    A missing group is null or below 1. A block without a known group stays null. Null ``row_no`` is no block. Of several groups in a block the
+    most frequent fills, the smallest on ties. Columns other than the table's own five are left behind.
     """
-    d = mask.withColumn("_g", F.when(F.col("group_id") >= 1, F.col("group_id")))
+    d = mask.select("mask_id", "row_no", "group_id", "run", "filled").withColumn("_g", F.when(F.col("group_id") >= 1, F.col("group_id")))
     model = category_posterior(d.select("row_no", F.col("_g").alias("_fill")), "row_no", "_fill").withColumnRenamed("row_no", "_row")
     d = d.join(model, F.col("row_no") == F.col("_row"), "left")
     return d.withColumn("group_id_filled", (F.col("_g").isNull() & F.col("_fill").isNotNull()).cast("int")).withColumn("group_id", F.coalesce("_g", "_fill")).drop("_g", "_fill", "_row")
@@ -76,6 +77,7 @@ def fill_features(features: DataFrame, filled_blocks: DataFrame) -> DataFrame:
     cells = filled_blocks.filter(F.col("group_id").isNotNull()).select("group_id", "run", F.col("filled").cast("double").alias("cell"))
     cells = mixed_effects(cells, "cell", "group_id", "run").withColumn("_x", F.when(F.col("cell_filled") == 1, F.least(F.greatest("cell_predicted", F.lit(0.0)), F.lit(1.0))).otherwise((F.col("cell") == 1).cast("double")))
     counts = cells.groupBy(F.col("group_id").alias("_gid")).agg(F.round(F.sum(F.coalesce("_x", F.lit(0.0)))).cast("int").alias("_n"))
+    features = features.select("group_id", "study", "compound_id", "n_filled", "possible_halogen")
     d = features.withColumn("_real", real_count(F.col("n_filled"))).withColumn("_verdict", F.when(F.col("possible_halogen").isin(*VERDICTS), F.col("possible_halogen")))
     verdicts = category_posterior(d.select("compound_id", F.col("_verdict").alias("_fill")), "compound_id", "_fill").select(F.col("compound_id").alias("_cid"), "_fill")
     d = d.join(counts, F.col("group_id") == F.col("_gid"), "left").join(verdicts, F.col("compound_id") == F.col("_cid"), "left")

@@ -1,8 +1,9 @@
 """Rows that fail to parse: anchored patterns generated from a schema separate loadable rows from failed ones with the reason.
 
-Everything stays in the JVM: one anchored pattern for whole rows; rows that fail it pass through prefix patterns of one, two, ... fields, and
-the first prefix that fails names the first broken field. All repetitions are possessive, so that very long rows neither backtrack nor
-overflow the stack.
+Everything stays in the JVM. A row is cut at the commas outside quotes; its bare values, joined by a private separator, are matched by one
+anchored pattern for the whole row. Rows that fail it pass through prefix patterns of one, two, ... fields, and the first prefix that fails
+names the first broken field. Repetitions are possessive and loops over groups bounded, so that very long rows neither backtrack nor overflow
+the stack; a value that such a bound could cut is checked once more by deletion of its tokens.
 """
 
 from __future__ import annotations
@@ -15,65 +16,85 @@ from pyspark.sql import functions as F
 #: The elements a formula may name, two-letter symbols first.
 ELEMENTS = ("Br", "Cl", "Si", "Na", "I", "K", "S", "P", "F", "O", "N", "C", "H")
 NUMBER = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
-FORMULA = rf"(?:(?:{'|'.join(ELEMENTS)})(?:[1-9][0-9]*+)?+)++"
-QUOTED, BARE = r'"(?:[^"]++|"")*+"', r'[^",]*+'
-ANY = rf"(?:{QUOTED}|{BARE})"
+ELEMENT_COUNT = rf"(?:{'|'.join(ELEMENTS)})(?:[1-9][0-9]*+)?+"
+#: Private-use signs for a comma inside quotes and between bare values; in a row they count as a blank.
+COMMA, BETWEEN = "\uf8f0", "\uf8f1"
 
 
 @dataclass(frozen=True)
 class Field:
-    """A column of a text row: ``pattern`` is what its bare value may be (None: anything), ``below`` an upper limit of a positive number."""
+    """A column of a text row. ``pattern``: what its bare value may be (None: anything); ``tokens``: a pattern whose repetition it may be;
+    ``below``: upper limit of a positive number. Typed values may be empty."""
 
     name: str
     pattern: str | None = None
-    optional: bool = True
+    tokens: str | None = None
     below: float | None = None
 
     @property
     def row_pattern(self) -> str:
-        if self.pattern is None:
-            return ANY
-        value = f"(?:{self.pattern})" + ("?+" if self.optional else "")
-        return f'(?:"{value}"|{value})'
+        if self.tokens is not None:
+            return f"(?:{self.tokens}){{0,200}}+"
+        return f"[^{BETWEEN}]*+" if self.pattern is None else f"(?:{self.pattern})?+"
 
 
 #: The nine fields of a delivered library line.
 LIBRARY_LINE = (
-    Field("name"), Field("precursor_mz", NUMBER, below=5000.0), Field("precursor_type"), Field("ms_level"), Field("formula", FORMULA),
+    Field("name"), Field("precursor_mz", NUMBER, below=5000.0), Field("precursor_type"), Field("ms_level"), Field("formula", tokens=ELEMENT_COUNT),
     Field("inchikey"), Field("smiles"), Field("num_peaks"), Field("peaks"),
 )
 
 
-def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], skip: Column | None = None) -> DataFrame:
-    """``df`` with ``fields`` (struct of strings, null on a failed row), ``reason`` (null on a valid row) and ``broken_field``.
+def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], keep: list[str], skip: Column | None = None) -> DataFrame:
+    """``(*keep, raw, fields, broken_field, reason)``: ``fields`` is a struct of strings, null on a failed row; ``reason`` is null on a valid one.
 
-    Reasons, the first that applies: ``quoting`` (the row is no sequence of bare and properly quoted fields), ``column_count``,
-    ``bad_value`` (a field misses its pattern or limit), ``skipped`` (``skip``, a condition on the columns of ``_v``).
-    Null rows count as one empty field. Empty tables give empty results; other columns, of any name but the four given here, pass through.
+    Reasons, the first that applies: ``quoting`` (a quote that is not closed, stands inside a bare field, or is closed before the end of its
+    field), ``column_count``, ``bad_value`` (a field misses its pattern or limit), ``skipped`` (``skip``, a condition on the columns of ``_v``).
+    Null rows count as one empty field. Empty tables give empty results, repeated rows repeated ones; columns not in ``keep`` are left behind,
+    whatever their names. Any length of row is judged whole.
     """
-    row = F.coalesce(F.col(raw), F.lit(""))
-    whole = f"\\A{','.join(f.row_pattern for f in schema)}\\z"
-    prefixes = [f"\\A{','.join(f.row_pattern for f in schema[:k])}(?:,|\\z)" for k in range(1, len(schema) + 1)]
-    syntax = f"\\A{ANY}(?:,{ANY})*+\\z"
-    unquote = lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    # a leading comma makes every field start with one, the first as well
-    fields = F.transform(F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(f",({QUOTED}|{BARE})"), F.lit(1)), unquote)
-    d = df.withColumn("_ok", row.rlike(whole))
-    d = d.withColumn("_syntax", F.col("_ok") | row.rlike(syntax)).withColumn("_a", F.when(F.col("_syntax"), fields))
+    row = F.translate(F.coalesce(F.col(raw), F.lit("")), COMMA + BETWEEN, "  ")
+    sections = F.regexp_extract_all(row, F.lit(r'("[^"]*+"|[^"]++|")'), F.lit(1))
+    masked = F.array_join(F.transform(sections, lambda p: F.when(p.startswith('"'), F.replace(p, F.lit(","), F.lit(COMMA))).otherwise(p)), "")
+    inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
+    bare = lambda c: ~c.contains('"')
+    closed = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) >= 2) & bare(F.replace(inner(c), F.lit('""'), F.lit("")))
+    value = lambda c: F.replace(F.when(c.startswith('"'), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), F.lit(COMMA), F.lit(","))
+    d = df.select(*keep, F.col(raw), F.split(masked, ",", -1).alias("_c"))
+    d = d.withColumn("_syntax", F.forall("_c", lambda c: bare(c) | closed(c))).withColumn("_a", F.when(F.col("_syntax"), F.transform("_c", value)))
     d = d.withColumn("_v", F.when(F.size("_a") == len(schema), F.struct(*[F.col("_a")[i].alias(f.name) for i, f in enumerate(schema)])))
-    over = [(i, ~((n > 0) & (n < f.below))) for i, f in enumerate(schema) if f.below is not None for n in [F.expr(f"try_cast(nullif(_v.{f.name}, '') as double)")]]
-    first = F.coalesce(
-        *[F.when(~F.col("_ok") & ~row.rlike(p), F.lit(schema[k].name)) for k, p in enumerate(prefixes)],
-        *[F.when(F.coalesce(bad, F.lit(False)), F.lit(schema[i].name)) for i, bad in over],
-    )
+    text = F.when(F.col("_v").isNotNull(), F.array_join("_a", BETWEEN))
+    whole = f"\\A{BETWEEN.join(f.row_pattern for f in schema)}\\z"
+    d = d.withColumn("_text", text).withColumn("_ok", F.col("_text").rlike(whole))
+    broken = []
+    for k, f in enumerate(schema):
+        prefix = f"\\A{BETWEEN.join(x.row_pattern for x in schema[: k + 1])}(?:{BETWEEN}|\\z)"
+        # a value beyond the loop's bound, or below a limit that no pattern states, is judged by itself
+        suspect = F.lit(True) if f.below is not None else ~F.col("_ok") & ~F.col("_text").rlike(prefix)
+        broken.append(F.when(suspect & ~F.coalesce(_value_ok(f), F.lit(False)), F.lit(f.name)))
+    d = d.withColumn("broken_field", F.coalesce(*broken))
     reason = (
         F.when(~F.col("_syntax"), "quoting")
         .when(F.col("_v").isNull(), "column_count")
         .when(F.col("broken_field").isNotNull(), "bad_value")
         .when(F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False), "skipped")
     )
-    d = d.withColumn("broken_field", first).withColumn("reason", reason)
-    return d.withColumn("fields", F.when(F.col("reason").isNull(), F.col("_v"))).drop("_ok", "_syntax", "_a", "_v")
+    d = d.withColumn("reason", reason)
+    return d.select(*keep, raw, F.when(F.col("reason").isNull(), F.col("_v")).alias("fields"), "broken_field", "reason")
+
+
+def _value_ok(f: Field) -> Column:
+    """A field's value judged alone."""
+    v = F.col("_v")[f.name]
+    ok = F.lit(True)
+    if f.pattern is not None:
+        ok = ok & v.rlike(f"\\A(?:{f.pattern})?+\\z")
+    if f.tokens is not None:
+        ok = ok & (F.regexp_replace(v, f.tokens, "") == "")
+    if f.below is not None:
+        n = F.expr(f"try_cast(nullif(_v.{f.name}, '') as double)")
+        ok = ok & ((v == "") | F.coalesce((n > 0) & (n < f.below), F.lit(False)))
+    return ok
 
 
 def no_library_record() -> Column:
@@ -84,4 +105,4 @@ def no_library_record() -> Column:
 
 def load_library_lines(lines: DataFrame) -> DataFrame:
     """``library_raw`` parsed: see ``parse_rows``."""
-    return parse_rows(lines, "raw", LIBRARY_LINE, no_library_record())
+    return parse_rows(lines, "raw", LIBRARY_LINE, ["line_id", "lib"], no_library_record())
