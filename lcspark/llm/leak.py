@@ -27,6 +27,8 @@ STEPS, REPEATS, SEED = 48, 10, 7
 #: Votes of one offset that make a pair a candidate, and width of an offset bin in words.
 VOTES, BIN = 12, 16
 MISS = 1.5
+#: More words than an item may have before its offset in a document would be negative beyond this.
+FAR = 1 << 30
 #: Places by which an alignment may run ahead of or behind the voted offset, in words.
 BAND_BEFORE, BAND_AFTER = 16, 24
 #: Items whose keys are held by a task at a time.
@@ -144,7 +146,7 @@ def candidates(tokens: np.ndarray, doc_start: np.ndarray, items: Items) -> tuple
     off = off - doc_start[doc]
     # every vote counts in two bins that overlap by half
     pair = doc * len(items.ids) + item
-    bins = np.concatenate([(off + 4096) // (BIN // 2), (off + 4096) // (BIN // 2) - 1])
+    bins = np.concatenate([(off + FAR) // (BIN // 2), (off + FAR) // (BIN // 2) - 1])
     code = np.concatenate([pair, pair]) * (1 << 32) + bins
     both = np.concatenate([off, off])
     order = np.argsort(code, kind="stable")
@@ -175,12 +177,13 @@ def scores(tokens: np.ndarray, doc_start: np.ndarray, doc: np.ndarray, item: np.
     order = np.argsort(size[item], kind="stable")
     width = BAND_BEFORE + BAND_AFTER + 1
     # in halves, so that small integers do
-    gain, miss = np.int16(2), np.int16(round(2 * MISS))
-    ramp = miss * np.arange(width, dtype=np.int16)
+    small = np.int16 if len(size) == 0 or size.max() < 10_000 else np.int32
+    gain, miss = small(2), small(round(2 * MISS))
+    ramp = miss * np.arange(width, dtype=small)
     short, own = tokens.astype(np.uint32), items.tokens.astype(np.uint32)
     for k in range(0, len(order), 2048):
         c = order[k : k + 2048]
-        h, top = np.zeros((len(c), width), np.int16), np.zeros(len(c), np.int16)
+        h, top = np.zeros((len(c), width), small), np.zeros(len(c), small)
         for i in range(int(size[item[c]].max())):
             if i % 8 == 0:
                 d, length, first = doc[c], size[item[c]], items.start[item[c]]
@@ -237,12 +240,12 @@ def leaked(documents: DataFrame, items: DataFrame, share: float = 0.45) -> DataF
     """``(doc_id, item_id, share)``: documents holding a passage of at least half an item, with its alignment score per word of the item.
 
     A passage of half the item's words with one in ten changed and a passage of two thirds with one in five changed both score about 0.4 to 0.45;
-    the whole item unchanged scores 1. Null and empty texts hold nothing; a document id given twice may give a pair twice if its rows stand in
-    different batches, so pairs are made distinct. Items are a small stated query set: they are brought in blocks of ``BLOCK_ITEMS``, each block
+    the whole item unchanged scores 1. Null and empty texts hold nothing, and rows without an id can't be reported and are left out; a document
+    or item given twice gives its pairs once, with the better share. Other columns are not looked at. Items are a small stated query set: they are brought in blocks of ``BLOCK_ITEMS``, each block
     being one pass over the documents, so that no broadcast grows with their number.
     """
-    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") > 0)
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.length("text") > 0)
+    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and length(text) > 0")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     found = None
     for i in range(blocks):

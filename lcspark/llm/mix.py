@@ -30,10 +30,14 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with ``available`` tokens, ``total`` of all documents, ``wanted`` = share of the total, ``reachable`` = what repeats allow."""
+    """``targets(source, target_share, max_repeats)`` with ``available`` tokens, ``total`` of all documents, ``wanted`` = share of the total, ``reachable`` = what repeats allow.
+
+    Documents of null or other sources count in the total only; null and empty texts have no tokens; a document given twice counts twice.
+    Without documents nothing is wanted. Null shares or repeats make a source neither reachable nor short.
+    """
     sums = docs.groupBy("key", F.shiftright("h", BITS * (LEVELS - 1)).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     per = sums.groupBy("key").agg(F.sum("n").alias("available"))
-    t = targets.filter(F.col("source").isNotNull()).withColumn("key", source_key(F.col("source")))
+    t = targets.select("source", "target_share", "max_repeats").filter(F.col("source").isNotNull()).withColumn("key", source_key(F.col("source")))
     t = t.join(per, "key", "left").crossJoin(F.broadcast(per.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))))
     t = t.withColumn("available", F.coalesce("available", F.lit(0)))
     return t.withColumn("wanted", F.col("target_share") * F.col("total")).withColumn("reachable", (F.col("max_repeats") * F.col("available")).cast("double"))

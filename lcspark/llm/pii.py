@@ -201,24 +201,27 @@ def find(t: str) -> list[tuple[int, int, str, tuple[tuple[str, str], ...]]]:
     return sorted([(a, b, kind, ()) for a, b, kind in spans] + names)
 
 
-_FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, parts array<struct<type:string,value:string>>"
+_FOUND = "doc_id bigint, text_id bigint, kind string, start_pos int, end_pos int, parts array<struct<type:string,value:string>>"
 _PARTS = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
 
 
 def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        cols: list[list] = [[], [], [], [], [], []]
+        for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             for a, e, kind, parts in find(t) if t else ():
-                for c, v in zip(cols, (i, kind, a, e, [{"type": x, "value": v.casefold()} for x, v in parts] or [{"type": kind, "value": " ".join(t[a:e].split()).casefold()}])):
+                for c, v in zip(cols, (i, h, kind, a, e, [{"type": x, "value": v.casefold()} for x, v in parts] or [{"type": kind, "value": " ".join(t[a:e].split()).casefold()}])):
                     c.append(v)
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), _PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types)], names=["doc_id", "kind", "start_pos", "end_pos", "parts"])
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), _PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types)], names=["doc_id", "text_id", "kind", "start_pos", "end_pos", "parts"])
 
 
 def mentions(documents: DataFrame) -> DataFrame:
-    """``(doc_id, kind, start_pos, end_pos, parts)`` of every mention; null and empty texts have none. A map, no shuffle."""
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_find_all, _FOUND)
+    """``(doc_id, text_id, kind, start_pos, end_pos, parts)`` of every mention, ``text_id`` being the text's hash: rows of one id may differ in text.
+
+    Null and empty texts have none; repeated rows repeat their mentions. A map, no shuffle; other columns are not looked at.
+    """
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(_find_all, _FOUND)
 
 
 _ONSET = "b br d dr f g gr h k kl l m n p pl r s st t tr v w z".split()
@@ -279,23 +282,24 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymised(documents: DataFrame, key: str) -> DataFrame:
-    """``(doc_id, kind, start_pos, end_pos, placeholder)``: every mention with its typed placeholder, e.g. ``[NAME Lera Dorn]``.
+    """``(doc_id, text_id, kind, start_pos, end_pos, placeholder)``: every mention with its typed placeholder, e.g. ``[NAME Lera Dorn]``.
 
     ``key`` is the secret of the surrogates: with another key all of them change. A mention's parts meet their surrogates in a join on the
     value, where AQE splits a value that is frequent, and are put together again per mention.
     """
-    found = materialise(mentions(documents))
+    found = materialise(mentions(documents).distinct())
     table = surrogates(found, key)
-    long = found.select("doc_id", "kind", "start_pos", "end_pos", F.posexplode("parts").alias("_i", "_p")).select("doc_id", "kind", "start_pos", "end_pos", "_i", F.col("_p.type").alias("type"), F.col("_p.value").alias("value"))
+    at = ["doc_id", "text_id", "kind", "start_pos", "end_pos"]
+    long = found.select(*at, F.posexplode("parts").alias("_i", "_p")).select(*at, "_i", F.col("_p.type").alias("type"), F.col("_p.value").alias("value"))
     d = long.join(table, ["type", "value"])
     shown = F.when(F.col("kind") == "id_number", F.upper("surrogate")).when(F.col("type") == "initial", F.concat(F.upper("surrogate"), F.lit("."))).when(F.col("kind") == "name", F.initcap("surrogate")).otherwise(F.col("surrogate"))
-    whole = d.groupBy("doc_id", "kind", "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", shown.alias("s")))), lambda x: x["s"]), " ").alias("s"))
-    return whole.select("doc_id", "kind", "start_pos", "end_pos", F.concat(F.lit("["), F.upper("kind"), F.lit(" "), "s", F.lit("]")).alias("placeholder"))
+    whole = d.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", shown.alias("s")))), lambda x: x["s"]), " ").alias("s"))
+    return whole.select(*at, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), "s", F.lit("]")).alias("placeholder"))
 
 
 def redacted(documents: DataFrame, key: str) -> DataFrame:
     """``(doc_id, text)``: the texts with every mention replaced by its placeholder and nothing else changed; null texts stay null."""
-    marks = pseudonymised(documents, key).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "placeholder"))).alias("m"))
+    marks = pseudonymised(documents, key).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "placeholder"))).alias("m")).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "m")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,5 +314,6 @@ def redacted(documents: DataFrame, key: str) -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(marks, "doc_id", "left")
+    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    d = d.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").select("doc_id", "text", "m")
     return d.mapInArrow(write, "doc_id bigint, text string")
