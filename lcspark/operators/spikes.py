@@ -12,6 +12,7 @@ Stuck stretches are those whose innovation variance vanishes; jumps stand where
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,7 @@ def _filtered(y: np.ndarray, n: np.ndarray, r: np.ndarray, threshold: float) ->
     return ahead, var
 
 
-def _series(run: list, scan: np.ndarray, pos: np.ndarray, y: np.ndarray, jump: np.ndarray, seg: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
+def _series(stretch: int, run: list, scan: np.ndarray, pos: np.ndarray, y: np.ndarray, jump: np.ndarray, seg: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
     """Candidates and scatter of some stretches. Each is rows ``starts[i]:ends[i]``, by scan."""
     own = [np.arange(a, b)[~jump[a:b]] for a, b in zip(starts, ends)]
     # one centroid of a trace per scan is filtered, the strongest; the others are no trace
@@ -142,7 +143,7 @@ def _series(run: list, scan: np.ndarray, pos: np.ndarray, y: np.ndarray, jump: n
             rows[k].append(v)
 
     for i, x in enumerate(own):
-        core = scan // STRETCH == seg[starts[i]]
+        core = scan // stretch == seg[starts[i]]
         inner = int(np.count_nonzero(core[x])) if len(x) else 0
         if len(x) >= 4 and inner:
             for k, v in zip(rows, (run[starts[i]], None, None, None, None, float(sd[i]), float(inner))):
@@ -172,7 +173,7 @@ def _series(run: list, scan: np.ndarray, pos: np.ndarray, y: np.ndarray, jump: n
     return rows
 
 
-def _filter_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filter_stretches(stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by stretch and scan; filtered a few hundred stretches at a time."""
     schema = pa.schema([("run", pa.string()), ("scan", pa.int32()), ("pos", pa.int64()), ("kind", pa.string()), ("off", pa.float64()), ("scatter", pa.float64()), ("weight", pa.float64())])
     rest: pa.Table | None = None
@@ -188,7 +189,7 @@ def _filter_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         out: dict[str, list] = {n: [] for n in schema.names}
         for k in range(0, len(order), 128):
             o = order[k : k + 128]
-            for c, v in _series(run, **a, starts=cut[o], ends=ends[o]).items():
+            for c, v in _series(stretch, run, **a, starts=cut[o], ends=ends[o]).items():
                 out[c] += v
         return pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -205,7 +206,7 @@ def _filter_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield work(rest)
 
 
-def flag_readings(points: DataFrame) -> DataFrame:
+def flag_readings(points: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """``(run, scan, pos, kind)``: ``impossible``, ``stuck``, ``spike`` and ``mz_jump`` centroids of ``points(run, scan, pos, mz, inten)``.
 
     Rows with a null run, scan, m/z or intensity are not judged; rows given twice are flagged once. A centroid that is both stuck and a spike
@@ -216,10 +217,10 @@ def flag_readings(points: DataFrame) -> DataFrame:
     ion_table = materialise(ions(good))
     d = traces(good, ion_table)
     # the stretch of a scan, and the neighbouring one whose margin it lies in
-    at, rest = F.floor(F.col("scan") / STRETCH), F.pmod(F.col("scan"), F.lit(STRETCH))
-    segs = F.when(rest < MARGIN, F.array(at, at - 1)).when(rest >= STRETCH - MARGIN, F.array(at, at + 1)).otherwise(F.array(at))
+    at, rest = F.floor(F.col("scan") / stretch), F.pmod(F.col("scan"), F.lit(stretch))
+    segs = F.when(rest < MARGIN, F.array(at, at - 1)).when(rest >= stretch - MARGIN, F.array(at, at + 1)).otherwise(F.array(at))
     d = d.withColumn("seg", F.explode(segs)).withColumn("trace", F.xxhash64("run", "ion_mz", "seg")).drop("ion_mz")
-    found = materialise(d.repartition("trace").sortWithinPartitions("trace", "scan").mapInArrow(_filter_stretches, _OUT))
+    found = materialise(d.repartition("trace").sortWithinPartitions("trace", "scan").mapInArrow(partial(_filter_stretches, stretch), _OUT))
     scatter = found.filter("scatter is not null").groupBy("run").agg(F.percentile_approx("scatter", 0.5, 10_000).alias("usual"))
     cases = found.filter("kind is not null").drop("scatter", "weight").join(small(scatter), "run")
     limit = F.greatest(F.col("usual"), F.lit(1e-3)) * SPIKE
