@@ -46,7 +46,7 @@ _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+(?:\s?@\s?|\s?[\[(](?:at|ät)[\])]\s?)
 _WRITTEN = re.compile(r"(?<![\w.+-])[\w.+-]+\s(?:at|AT|arobase)\s[\w-]+(?:\s(?:dot|DOT|punkt|point)\s[\w-]+)+")
 # Numbers are looked at as clusters of digits and their signs; the words before a cluster and its shape say what it is.
 _CLUSTER = re.compile(r"[+(]?\d[\d\s().+/-]{4,}")
-_PHONE = re.compile(r"(?<![\w./+-])(?:\+\d{1,3}[\s.-]?(?:\(0\))?|00\s?\d{2}\s?(?:\(0\)\s?)?|\(0?\d{2,5}\)\s?|0\d{1,4}[\s./-]?)\d{1,6}(?:[\s.-]\d{2,6}){0,5}(?![\w/])")
+_PHONE = re.compile(r"(?<![\w./+-])(?:\+\d{1,3}[\s.-]?(?:\(0\))?|00\s?\d{2}\s?(?:\(0\)\s?)?|\(0?\d{2,5}\)\s?|0\d{1,4}[\s./-]?)\d{1,9}(?:[\s.-]\d{2,9}){0,5}(?![\w/])")
 _DATE = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d")
 _REFERENCE = re.compile(r"(?:ref\.?|INV-|no\. of file|[Dd]ocket|Geschäft|Affaire|folios?)\s*$")
 _ID_BEFORE = re.compile(
@@ -287,13 +287,13 @@ def pseudonymised(documents: DataFrame, key: str) -> DataFrame:
     ``key`` is the secret of the surrogates: with another key all of them change. A mention's parts meet their surrogates in a join on the
     value, where AQE splits a value that is frequent, and are put together again per mention.
     """
-    found = materialise(mentions(documents).distinct())
+    found = materialise(mentions(documents))
     table = surrogates(found, key)
     at = ["doc_id", "text_id", "kind", "start_pos", "end_pos"]
     long = found.select(*at, F.posexplode("parts").alias("_i", "_p")).select(*at, "_i", F.col("_p.type").alias("type"), F.col("_p.value").alias("value"))
     d = long.join(table, ["type", "value"])
     shown = F.when(F.col("kind") == "id_number", F.upper("surrogate")).when(F.col("type") == "initial", F.concat(F.upper("surrogate"), F.lit("."))).when(F.col("kind") == "name", F.initcap("surrogate")).otherwise(F.col("surrogate"))
-    whole = d.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", shown.alias("s")))), lambda x: x["s"]), " ").alias("s"))
+    whole = d.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_i", shown.alias("s")))), lambda x: x["s"]), " ").alias("s"))
     return whole.select(*at, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), "s", F.lit("]")).alias("placeholder"))
 
 
