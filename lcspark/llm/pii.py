@@ -50,7 +50,7 @@ _PHONE = re.compile(r"(?<![\w./+-])(?:\+\d{1,3}[\s.-]?(?:\(0\))?|00\s?\d{2}\s?(?
 _DATE = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d")
 _REFERENCE = re.compile(r"(?:ref\.?|INV-|no\. of file|[Dd]ocket|Geschäft|Affaire|folios?)\s*$")
 _ID_BEFORE = re.compile(
-    r"(?:tax\s+(?:ID|no|number)|identity\s+(?:no|number|card)|personal\s+(?:no|number|ID)|passport(?:\s+no)?|national\s+insurance(?:\s+(?:ref|no|number))?|social\s+security(?:\s+(?:no|number))?|\bID(?:\s+(?:number|no|card))?"
+    r"(?i:tax\s+(?:ID|no|number)|identity\s+(?:no|number|card)|personal\s+(?:no|number|ID)|passport(?:\s+no)?|national\s+insurance(?:\s+(?:ref|no|number))?|social\s+security(?:\s+(?:no|number))?|\bID(?:\s+(?:number|no|card))?"
     r"|Ausweis(?:-?Nr|nummer)?|AHV[\w-]*(?:\s+Nr)?|Personal(?:nummer|ausweis)|Steuer(?:-?ID|nummer)|Sozialversicherungsnummer|passeport|pièce\s+d['’]identité|numéro\s+(?:fiscal|d['’]identité|AVS)|sécurité\s+sociale|\bAVS)"
     r"[\s.:]*(?:n°|no\.?|Nr\.?)?[\s.:]*((?:[A-Z]{1,4}-?)?)\Z",
 )
