@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lcspark.constants import ADDUCT_PIECES, ELECTRON, MASS
+from lcspark.session import once
 
 
 def is_formula(formula: Column) -> Column:
@@ -24,6 +25,12 @@ def counts(formula: Column) -> dict[str, Column]:
     return {e: count_of(formula, e) for e in MASS}
 
 
+def with_counts(df: DataFrame, formula: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with a plain formula and their element counts, each parsed once."""
+    d = once(df.filter(is_formula(F.col(formula))), _n=F.struct(*[c.alias(e) for e, c in counts(F.col(formula)).items()]))
+    return d, {e: F.col("_n")[e] for e in MASS}
+
+
 def mass_of(n: dict[str, Column]) -> Column:
     """Monoisotopic mass of element counts."""
     total = F.lit(0.0)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lcspark.session import once
+
 #: The elements a formula may name, two-letter symbols first.
 ELEMENTS = ("Br", "Cl", "Si", "Na", "I", "K", "S", "P", "F", "O", "N", "C", "H")
 NUMBER = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
@@ -54,32 +56,38 @@ def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], keep: list[st
     whatever their names. Any length of row is judged whole.
     """
     row = F.translate(F.coalesce(F.col(raw), F.lit("")), COMMA + BETWEEN, "  ")
-    sections = F.regexp_extract_all(row, F.lit(r'("[^"]*+"|[^"]++|")'), F.lit(1))
+    sections = F.regexp_extract_all(F.col("_row"), F.lit(r'("[^"]*+"|[^"]++|")'), F.lit(1))
     masked = F.array_join(F.transform(sections, lambda p: F.when(p.startswith('"'), F.replace(p, F.lit(","), F.lit(COMMA))).otherwise(p)), "")
     inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
     bare = lambda c: ~c.contains('"')
     closed = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) >= 2) & bare(F.replace(inner(c), F.lit('""'), F.lit("")))
     value = lambda c: F.replace(F.when(c.startswith('"'), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), F.lit(COMMA), F.lit(","))
-    d = df.select(*keep, F.col(raw), F.split(masked, ",", -1).alias("_c"))
-    d = d.withColumn("_syntax", F.forall("_c", lambda c: bare(c) | closed(c))).withColumn("_a", F.when(F.col("_syntax"), F.transform("_c", value)))
-    d = d.withColumn("_v", F.when(F.size("_a") == len(schema), F.struct(*[F.col("_a")[i].alias(f.name) for i, f in enumerate(schema)])))
-    text = F.when(F.col("_v").isNotNull(), F.array_join("_a", BETWEEN))
+    # most rows have no quote at all, and need no more than a split
+    quoted = F.col("_row").contains('"')
+    # most rows have no quote at all, and need no more than a split
+    quoted = F.col("_row").contains('"')
+    d = once(df.select(*keep, raw), _row=row)
+    d = once(d, _c=F.split(F.when(quoted, masked).otherwise(F.col("_row")), ",", -1))
+    d = once(d, _syntax=~quoted | F.forall("_c", lambda c: bare(c) | closed(c)))
+    d = once(d, _a=F.when(~quoted, F.col("_c")).when(F.col("_syntax"), F.transform("_c", value)))
     whole = f"\\A{BETWEEN.join(f.row_pattern for f in schema)}\\z"
-    d = d.withColumn("_text", text).withColumn("_ok", F.col("_text").rlike(whole))
+    fits = F.size("_a") == len(schema)
+    d = once(d, _v=F.when(fits, F.struct(*[F.col("_a")[i].alias(f.name) for i, f in enumerate(schema)])), _text=F.when(fits, F.array_join("_a", BETWEEN)))
+    d = once(d, _ok=F.col("_text").rlike(whole))
     broken = []
     for k, f in enumerate(schema):
         prefix = f"\\A{BETWEEN.join(x.row_pattern for x in schema[: k + 1])}(?:{BETWEEN}|\\z)"
         # a value beyond the loop's bound, or below a limit that no pattern states, is judged by itself
         suspect = F.lit(True) if f.below is not None else ~F.col("_ok") & ~F.col("_text").rlike(prefix)
         broken.append(F.when(suspect & ~F.coalesce(_value_ok(f), F.lit(False)), F.lit(f.name)))
-    d = d.withColumn("broken_field", F.coalesce(*broken))
+    d = once(d, broken_field=F.coalesce(*broken))
     reason = (
         F.when(~F.col("_syntax"), "quoting")
         .when(F.col("_v").isNull(), "column_count")
         .when(F.col("broken_field").isNotNull(), "bad_value")
         .when(F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False), "skipped")
     )
-    d = d.withColumn("reason", reason)
+    d = once(d, reason=reason)
     return d.select(*keep, raw, F.when(F.col("reason").isNull(), F.col("_v")).alias("fields"), "broken_field", "reason")
 
 

@@ -10,6 +10,7 @@ from lcspark.functions import chem
 from lcspark.functions.spectra import METHODS
 from lcspark.operators import spectra as s
 from lcspark.operators.stats import confusion
+from lcspark.session import once
 from lcspark.sources.tables import read
 
 
@@ -77,31 +78,30 @@ def q_library_index(spark: SparkSession, d: str) -> DataFrame:
 
 def q_formula(spark: SparkSession, d: str) -> DataFrame:
     """Mass, Hill text and double-bond equivalents of every formula."""
-    x = _library(spark, d).filter(chem.is_formula(F.col("formula")))
-    n = chem.counts(F.col("formula"))
+    x, n = chem.with_counts(_library(spark, d), "formula")
     return x.select("library_index", F.round(chem.mass_of(n), 6).alias("mass"), chem.hill(n).alias("hill"), chem.dbe2(n).alias("dbe2"))
 
 
 def q_adduct(spark: SparkSession, d: str) -> DataFrame:
     """The m/z that formula and adduct imply, and how far the record's precursor lies from it."""
-    x = _library(spark, d).filter(chem.is_formula(F.col("formula")) & F.col("precursor_mz").isNotNull())
-    x = x.select("library_index", "precursor_mz", chem.ion_mz(chem.mass_of(chem.counts(F.col("formula"))), F.col("precursor_type")).alias("t")).filter("t is not null")
+    x, n = chem.with_counts(_library(spark, d).filter("precursor_mz is not null"), "formula")
+    x = once(x, t=chem.ion_mz(chem.mass_of(n), F.col("precursor_type"))).filter("t is not null")
     return x.select("library_index", F.round("t", 6).alias("theoretical_mz"), F.round((F.col("precursor_mz") - F.col("t")) / F.col("t") * 1e6, 3).alias("ppm_error"))
 
 
 def q_rules(spark: SparkSession, d: str) -> DataFrame:
-    x = _library(spark, d).filter(chem.is_formula(F.col("formula")))
-    n = chem.counts(F.col("formula"))
-    m = chem.mass_of(n)
+    x, n = chem.with_counts(_library(spark, d), "formula")
+    x = once(x, m=chem.mass_of(n))
+    m = F.col("m")
     return x.select("library_index", chem.ratios_ok(n, m).cast("int").alias("ratios"), chem.combinations_ok(n).cast("int").alias("combinations"), chem.precursor_ok(n, m).cast("int").alias("precursor"))
 
 
 def q_peak_stats(spark: SparkSession, d: str) -> DataFrame:
     """Base peak, kept peaks and spectral entropy of every record after the cut below the precursor and at 1 %; arrays stay arrays."""
     x = _library(spark, d).select("library_index", F.filter("peaks", lambda p: (p["inten"] > 0) & (F.col("precursor_mz").isNull() | (p["mz"] < F.col("precursor_mz") - 1.6))).alias("p"))
-    x = x.withColumn("top", F.array_max(F.transform("p", lambda p: p["inten"].cast("double"))))
-    x = x.withColumn("k", F.transform(F.filter("p", lambda p: p["inten"].cast("double") >= F.col("top") * 0.01), lambda p: p["inten"].cast("double")))
-    x = x.withColumn("total", F.aggregate("k", F.lit(0.0), lambda a, v: a + v))
+    x = once(x, top=F.array_max(F.transform("p", lambda p: p["inten"].cast("double"))))
+    x = once(x, k=F.transform(F.filter("p", lambda p: p["inten"].cast("double") >= F.col("top") * 0.01), lambda p: p["inten"].cast("double")))
+    x = once(x, total=F.aggregate("k", F.lit(0.0), lambda a, v: a + v))
     e = F.aggregate("k", F.lit(0.0), lambda a, v: a - v / F.col("total") * F.log(v / F.col("total")))
     return x.filter("total > 0").select("library_index", F.size("k").alias("n_kept"), "top", F.round(e, 6).alias("entropy"))
 

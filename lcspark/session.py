@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of a side that is ever broadcast. A side is counted first; beyond the bound the join shuffles.
@@ -39,3 +39,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``bound`` rows, else unchanged. Counts ``df``: pass a materialised or cheap one."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` computed once: a generator is not merged into the expressions that use them, as a projection would be."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
