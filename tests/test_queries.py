@@ -1,9 +1,9 @@
 import pytest
 from sqlcheck import connection, same
 
-from lcspark.plans import features, prep, spectra, traces
+from lcspark.plans import features, graphs, prep, spectra, streams, traces
 
-MODULES = (prep, traces, features, spectra)
+MODULES = (prep, traces, features, spectra, streams, graphs)
 QUERIES = {k: (f, m.ORACLES.get(k)) for m in MODULES for k, f in m.QUERIES.items()}
 
 
