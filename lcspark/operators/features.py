@@ -132,9 +132,9 @@ def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05) ->
     """
     d = members.dropna(subset=["study", "member_id", "run", "mz", "rt", "height"]).withColumn("width", F.coalesce("width", F.lit(0.0)))
     d = islands(d, "study", "mz", ppm)
-    reach = d.agg(F.greatest(F.max("width") * 0.5, F.lit(rt_tol)).alias("_reach"))
+    reach = d.agg(F.greatest(F.max("width") * 0.5, F.lit(rt_tol))).scalar()
     order = Window.partitionBy("study", "island").orderBy("rt", "member_id")
-    d = d.crossJoin(F.broadcast(reach)).withColumn("_new", F.when(F.col("rt") - F.lag("rt").over(order) <= F.col("_reach"), 0).otherwise(1)).withColumn("part", F.sum("_new").over(order))
+    d = d.withColumn("_new", F.when(F.col("rt") - F.lag("rt").over(order) <= reach, 0).otherwise(1)).withColumn("part", F.sum("_new").over(order))
 
     def work(t: pa.Table) -> pa.Table:
         a = {c: t[c].to_numpy() for c in ("mz", "rt", "width", "height", "member_id")}

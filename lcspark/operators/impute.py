@@ -22,8 +22,8 @@ def category_posterior(known: DataFrame, group: str, value: str, strength: float
     """
     counts = known.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
     shares = counts.groupBy(value).agg(F.sum("_n").alias("_s"))
-    all_ = shares.agg(F.sum("_s").alias("_t"))
-    scored = counts.join(shares, value).crossJoin(F.broadcast(all_)).select(group, value, "_n", (F.col("_n") + strength * F.col("_s") / F.col("_t")).alias("_w"))
+    total = counts.agg(F.sum("_n")).scalar()
+    scored = counts.join(shares, value).select(group, value, "_n", (F.col("_n") + strength * F.col("_s") / total).alias("_w"))
     best = scored.groupBy(group).agg(F.min(F.struct((-F.col("_w")).alias("_w"), F.col(value))).alias("_b"), F.sum("_n").alias("_g"))
     return best.select(group, F.col(f"_b.{value}").alias(value), (-F.col("_b._w") / (F.col("_g") + strength)).alias("posterior"))
 
@@ -35,19 +35,18 @@ def mixed_effects(df: DataFrame, value: str, group: str, time: str) -> DataFrame
     known at all. Three aggregates with map-side combine; the row-level joins are on group and on time and are split by AQE where a key is hot.
     """
     d = df.withColumn("_y", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")))
-    total = d.agg(F.avg("_y").alias("_mean"), F.var_samp("_y").alias("_var"))
-    times = d.crossJoin(F.broadcast(total)).groupBy(time).agg(F.avg(F.col("_y") - F.col("_mean")).alias("_d"), F.count("_y").alias("_nt"), F.first("_var").alias("_v"))
-    spread = times.agg(F.greatest(F.var_samp("_d") - F.avg(F.col("_v") / F.greatest(F.col("_nt"), F.lit(1))), F.lit(0.0)).alias("_tau"))
-    times = times.crossJoin(F.broadcast(spread)).select(F.col(time).alias("_time"), F.coalesce(F.col("_d") * F.try_divide("_nt", F.col("_nt") + F.try_divide("_v", "_tau")), F.lit(0.0)).alias("_te"))
-    groups = d.crossJoin(F.broadcast(total)).groupBy(group).agg(F.avg(F.col("_y") - F.col("_mean")).alias("_d"), F.count("_y").alias("_ng"), F.var_samp("_y").alias("_w"), F.first("_var").alias("_v"))
-    within = groups.agg(F.coalesce(F.try_divide(F.sum(F.col("_w") * (F.col("_ng") - 1)), F.sum(F.when(F.col("_w").isNotNull(), F.col("_ng") - 1))), F.lit(0.0)).alias("_s2"), F.var_samp("_d").alias("_vd"))
-    groups = groups.crossJoin(F.broadcast(within)).select(
-        F.col(group).alias("_group"),
-        F.coalesce(F.col("_d") * F.try_divide("_ng", F.col("_ng") + F.try_divide("_s2", F.greatest(F.col("_vd") - F.col("_s2") / F.greatest(F.col("_ng"), F.lit(1)), F.lit(1e-9)))), F.lit(0.0)).alias("_ge"),
-    )
-    out = d.crossJoin(F.broadcast(total)).join(groups, F.col(group) == F.col("_group"), "left").join(times, F.col(time) == F.col("_time"), "left")
-    predicted = F.col("_mean") + F.coalesce("_ge", F.lit(0.0)) + F.coalesce("_te", F.lit(0.0))
-    return out.withColumn(f"{value}_predicted", predicted).withColumn(f"{value}_filled", F.col("_y").isNull().cast("int")).drop("_y", "_mean", "_var", "_group", "_ge", "_time", "_te")
+    mean, var = d.agg(F.avg("_y")).scalar(), d.agg(F.var_samp("_y")).scalar()
+    times = d.groupBy(time).agg((F.avg("_y") - mean).alias("_d"), F.count("_y").alias("_nt"))
+    tau = times.agg(F.greatest(F.var_samp("_d") - F.avg(var / F.greatest(F.col("_nt"), F.lit(1))), F.lit(0.0))).scalar()
+    times = times.select(F.col(time).alias("_time"), F.coalesce(F.col("_d") * F.try_divide("_nt", F.col("_nt") + F.try_divide(var, tau)), F.lit(0.0)).alias("_te"))
+    groups = d.groupBy(group).agg((F.avg("_y") - mean).alias("_d"), F.count("_y").alias("_ng"), F.var_samp("_y").alias("_w"))
+    noise = groups.agg(F.coalesce(F.try_divide(F.sum(F.col("_w") * (F.col("_ng") - 1)), F.sum(F.when(F.col("_w").isNotNull(), F.col("_ng") - 1))), F.lit(0.0))).scalar()
+    spread = groups.agg(F.var_samp("_d")).scalar()
+    between = F.greatest(spread - noise / F.greatest(F.col("_ng"), F.lit(1)), F.lit(1e-9))
+    groups = groups.select(F.col(group).alias("_group"), F.coalesce(F.col("_d") * F.try_divide("_ng", F.col("_ng") + F.try_divide(noise, between)), F.lit(0.0)).alias("_ge"))
+    out = d.join(groups, F.col(group) == F.col("_group"), "left").join(times, F.col(time) == F.col("_time"), "left")
+    predicted = mean + F.coalesce("_ge", F.lit(0.0)) + F.coalesce("_te", F.lit(0.0))
+    return out.withColumn(f"{value}_predicted", predicted).withColumn(f"{value}_filled", F.col("_y").isNull().cast("int")).drop("_y", "_group", "_ge", "_time", "_te")
 
 
 def real_count(c: Column) -> Column:
