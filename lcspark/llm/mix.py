@@ -38,7 +38,7 @@ def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     sums = docs.groupBy("key", F.shiftright("h", BITS * (LEVELS - 1)).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     per = sums.groupBy("key").agg(F.sum("n").alias("available"))
     t = targets.select("source", "target_share", "max_repeats").filter(F.col("source").isNotNull()).withColumn("key", source_key(F.col("source")))
-    t = t.join(per, "key", "left").crossJoin(F.broadcast(per.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))))
+    t = t.join(per, "key", "left").withColumn("total", F.coalesce(docs.agg(F.sum("n_tokens")).scalar(), F.lit(0)))
     t = t.withColumn("available", F.coalesce("available", F.lit(0)))
     return t.withColumn("wanted", F.col("target_share") * F.col("total")).withColumn("reachable", (F.col("max_repeats") * F.col("available")).cast("double"))
 
@@ -75,7 +75,6 @@ def mix(docs: DataFrame, limits: DataFrame) -> DataFrame:
 def report(limits: DataFrame, mixed: DataFrame) -> DataFrame:
     """Wanted and reached share of each source; ``reached_share`` is of the mix as it came out."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
-    all_ = got.agg(F.sum("taken").alias("all"))
-    r = limits.join(got, "source", "left").crossJoin(F.broadcast(all_))
+    r = limits.join(got, "source", "left").withColumn("all", got.agg(F.sum("taken")).scalar())
     taken = F.coalesce("taken", F.lit(0))
     return r.select("source", "target_share", "max_repeats", "available", taken.alias("taken"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.try_divide(taken, "all"), F.lit(0.0)).alias("reached_share"), (F.col("reachable") < F.col("wanted")).alias("short"))
