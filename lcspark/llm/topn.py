@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lcspark.session import materialise
 
+#: Buckets are many more than tasks, so that the one a task merges at a time is small.
+LEAST_BUCKETS = 1024
 _RUN = "bucket int, run int, group_id bigint, spectrum string, score double, n_matched int, library_index bigint, hit_id bigint"
 _OUT = "group_id bigint, spectrum string, rank int, hit_id bigint, score double, n_matched int, library_index bigint"
 
@@ -77,48 +79,61 @@ def _cut_run(n: int):
     return cut
 
 
+def _merged(t: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
+    """The best ``n`` rows of each group of one bucket's runs."""
+    a = {c: t[c].to_numpy(zero_copy_only=False) for c in ("run", "group_id", "score", "n_matched", "library_index", "hit_id")}
+    names, spectrum = np.unique(t["spectrum"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    # a run's rows arrive in blocks; the sort by run and order only joins the blocks
+    order = np.lexsort((a["hit_id"], a["library_index"], -a["n_matched"], -a["score"], spectrum, a["group_id"], a["run"]))
+    run, g, sp = a["run"][order], a["group_id"][order], spectrum[order]
+    rows = list(zip(g.tolist(), sp.tolist(), (-a["score"][order]).tolist(), (-a["n_matched"][order]).tolist(), a["library_index"][order].tolist(), a["hit_id"][order].tolist()))
+    cut = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    ends = np.append(cut[1:], len(run)).tolist()
+    new = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (g[1:] != g[:-1]) | (sp[1:] != sp[:-1])))
+    # where a run's next group begins
+    ahead = np.append(new[1:], len(run))[np.repeat(np.arange(len(new)), np.diff(np.append(new, len(run))))].tolist()
+    place = cut.tolist()
+    tree = LoserTree([rows[p] for p in place])
+    out: list[tuple] = []
+    ranks: list[int] = []
+    group, had = None, 0
+    while (row := tree.keys[tree.top]) is not None:
+        r = tree.top
+        if row[:2] != group:
+            group, had = row[:2], 0
+        if had < n:
+            had += 1
+            out.append(row)
+            ranks.append(had)
+            p = place[r] + 1
+        else:
+            p = ahead[place[r]]
+        place[r] = p
+        tree.replace(rows[p] if p < ends[r] else None)
+    c = list(zip(*out))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(c[0], pa.int64()), pa.array([names[i] for i in c[1]], pa.string()), pa.array(ranks, pa.int32()), pa.array(c[5], pa.int64()), pa.array([-x for x in c[2]], pa.float64()), pa.array([-x for x in c[3]], pa.int32()), pa.array(c[4], pa.int64())],
+        names=["group_id", "spectrum", "rank", "hit_id", "score", "n_matched", "library_index"],
+    )
+
+
 def _merge_runs(n: int):
-    """Merges the runs that a task received."""
+    """Merges bucket by bucket, so that a task holds the runs of one bucket at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        a = {c: t[c].to_numpy(zero_copy_only=False) for c in ("run", "group_id", "score", "n_matched", "library_index", "hit_id")}
-        names, spectrum = np.unique(t["spectrum"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        # a run's rows arrive in blocks; the stable sort by run and order only joins the blocks
-        order = np.lexsort((a["hit_id"], a["library_index"], -a["n_matched"], -a["score"], spectrum, a["group_id"], a["run"]))
-        run, g, sp = a["run"][order], a["group_id"][order], spectrum[order]
-        rows = list(zip(g.tolist(), sp.tolist(), (-a["score"][order]).tolist(), (-a["n_matched"][order]).tolist(), a["library_index"][order].tolist(), a["hit_id"][order].tolist()))
-        cut = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        ends = np.append(cut[1:], len(run)).tolist()
-        new = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (g[1:] != g[:-1]) | (sp[1:] != sp[:-1])))
-        ahead = np.append(new[1:], len(run))[np.repeat(np.arange(len(new)), np.diff(np.append(new, len(run))))].tolist()
-        place = cut.tolist()
-        tree = LoserTree([rows[p] for p in place])
-        out: list[tuple] = []
-        ranks: list[int] = []
-        group, had = None, 0
-        while (row := tree.keys[tree.top]) is not None:
-            r = tree.top
-            if row[:2] != group:
-                group, had = row[:2], 0
-            if had < n:
-                had += 1
-                out.append(row)
-                ranks.append(had)
-                p = place[r] + 1
-            else:
-                p = ahead[place[r]]
-            place[r] = p
-            tree.replace(rows[p] if p < ends[r] else None)
-        for k in range(0, len(out), 50_000):
-            c = list(zip(*out[k : k + 50_000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.int64()), pa.array([names[i] for i in c[1]], pa.string()), pa.array(ranks[k : k + 50_000], pa.int32()), pa.array(c[5], pa.int64()), pa.array([-x for x in c[2]], pa.float64()), pa.array([-x for x in c[3]], pa.int32()), pa.array(c[4], pa.int64())],
-                names=["group_id", "spectrum", "rank", "hit_id", "score", "n_matched", "library_index"],
-            )
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b["bucket"].to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            for lo, hi in zip(cut, cut[1:]):
+                if held and held[0]["bucket"][0].as_py() != bucket[lo]:
+                    yield from _merged(pa.Table.from_batches(held), n)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from _merged(pa.Table.from_batches(held), n)
 
     return merge
 
@@ -133,9 +148,10 @@ def top_hits(hits: DataFrame, n: int = 3) -> DataFrame:
     d = hits.select("hit_id", "group_id", "spectrum", "score", "n_matched", "library_index").dropna(subset=["hit_id", "group_id", "spectrum", "score"]).filter(~F.isnan("score"))
     none = 2**62
     one = d.groupBy("group_id", "spectrum", F.coalesce("library_index", F.lit(none)).alias("library_index")).agg(F.min(F.struct("hit_id", F.col("score").cast("double").alias("score"), F.coalesce(F.col("n_matched").cast("int"), F.lit(-1)).alias("n_matched"))).alias("_h"))
-    buckets = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, 16 * tasks)
     rows = one.select(F.pmod(F.xxhash64("group_id", "spectrum"), F.lit(buckets)).cast("int").alias("bucket"), "group_id", "spectrum", "_h.score", "_h.n_matched", "library_index", "_h.hit_id")
     ordered = rows.sortWithinPartitions("bucket", "group_id", "spectrum", F.col("score").desc(), F.col("n_matched").desc(), "library_index")
     runs = materialise(ordered.mapInArrow(_cut_run(n), _RUN))
-    best = runs.repartition(buckets, "bucket").mapInArrow(_merge_runs(n), _OUT)
+    best = runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_runs(n), _OUT)
     return best.withColumn("library_index", F.nullif("library_index", F.lit(none))).withColumn("n_matched", F.nullif("n_matched", F.lit(-1)))
