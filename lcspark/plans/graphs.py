@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lcspark.operators import compounds as c
 from lcspark.operators.features import coeluting, isomer_candidates
+from lcspark.operators.halogen import halogens
 from lcspark.operators.traces import valid_points
 from lcspark.plans.features import PAIRS
 from lcspark.sources.tables import read
@@ -67,6 +68,12 @@ def q_warp_apply(spark: SparkSession, d: str) -> DataFrame:
     return c.warp_apply(a.select("file", "id", "native").filter("native is not null"), c.warp_knots(a)).select(F.col("id").alias("map_id"), F.round("corr", 6).alias("rt_corr"))
 
 
+def q_halogen(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on every centroid with a partner two mass steps above it in its scan, counted by run."""
+    v = halogens(valid_points(read(spark, d, "points")).select("run", "scan", "mz", "inten"))
+    return v.groupBy("run", "verdict", "pattern").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 CHAINS = PAIRS.replace("with p as", "with recursive p as") + ", e as (select a, b from p union select b, a from p), walk as (select a as id, a as seen from e union select w.id, e.b from walk w join e on w.seen = e.a), comp as (select id, min(seen) as component from walk group by id)"
