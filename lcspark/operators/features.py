@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lcspark.band import band_join
 from lcspark.constants import C13
 from lcspark.operators.stats import weighted_quantile
+from lcspark.session import keyed
 
 
 def consensus(members: DataFrame) -> DataFrame:
@@ -142,4 +143,5 @@ def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05) ->
         g = _claim(a["mz"], a["rt"], a["width"], a["height"], run, a["member_id"], ppm, rt_tol)
         return pa.table({"study": t["study"], "member_id": pa.array(a["member_id"], pa.int64()), "group_no": pa.array(g, pa.int64())})
 
-    return d.select("study", "island", "part", "member_id", "run", "mz", "rt", "width", F.col("height").cast("double").alias("height")).groupBy("study", "island", "part").applyInArrow(work, _MEMBERS)
+    d = d.select("study", "island", "part", "member_id", "run", "mz", "rt", "width", F.col("height").cast("double").alias("height"))
+    return keyed(d, "study", "island", "part").groupBy("study", "island", "part").applyInArrow(work, _MEMBERS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lcspark.operators.features import islands
 from lcspark.operators.traces import valid_points
+from lcspark.session import keyed
 
 _FEATURES = "run string, mz double, rt double, rt_apex double, rt_min double, rt_max double, height double, area double, fwhm double, n_scans int, n_points int, mz_sd_ppm double, snr double"
 
@@ -123,4 +124,4 @@ def pick(points: DataFrame, times: DataFrame, ppm: float = 15.0, reach: int = 3,
         kinds = [pa.string(), *[pa.float64()] * 8, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds))})
 
-    return p.groupBy("run", "island", "part").applyInArrow(work, _FEATURES)
+    return keyed(p, "run", "island", "part").groupBy("run", "island", "part").applyInArrow(work, _FEATURES)

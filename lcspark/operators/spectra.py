@@ -13,6 +13,7 @@ from lcspark.band import band_join
 from lcspark.constants import C13, ELECTRON, MASS
 from lcspark.functions import chem
 from lcspark.functions.spectra import METHODS, cleaned, similarity
+from lcspark.session import spread
 
 
 def assign(spectra: DataFrame, features: DataFrame, ppm: float = 10.0) -> DataFrame:
@@ -201,8 +202,8 @@ def denoised(records: DataFrame, tol: float = 0.005) -> DataFrame:
 
     ion = F.array(*[(k * n[e] + gained_of(e)).cast("int") for e in ORDER])
     d = records.filter(chem.is_formula(F.col("formula")) & delta.isNotNull()).select("library_index", ion.alias("ion"), z.alias("z"), "peaks")
-    # a record takes milliseconds: spread by key, however few files they come from
-    d = d.filter(~F.exists("ion", lambda x: x < 0) & (F.abs("z") == 1)).repartition("library_index")
+    # a record takes milliseconds
+    d = spread(d.filter(~F.exists("ion", lambda x: x < 0) & (F.abs("z") == 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -41,6 +41,18 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly work on each row, where its files are fewer than the cores; else unchanged, so that large tables are not
+    shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` into the session's number of shuffle partitions, for costly work on each group: small bytes don't merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with ``columns`` computed once: a generator is not merged into the expressions that use them, as a projection would be."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
