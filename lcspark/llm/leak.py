@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lcspark.session import spread
+
 #: Steps of the walk (two per word) and the places of the samples, one from each third.
 STEPS, REPEATS, SEED = 48, 10, 7
 #: Votes of one offset that make a pair a candidate, and width of an offset bin in words.
@@ -244,7 +246,7 @@ def leaked(documents: DataFrame, items: DataFrame, share: float = 0.45) -> DataF
     or item given twice gives its pairs once, with the better share. Other columns are not looked at. Items are a small stated query set: they are brought in blocks of ``BLOCK_ITEMS``, each block
     being one pass over the documents, so that no broadcast grows with their number.
     """
-    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
+    d = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0"))
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and length(text) > 0")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     found = None

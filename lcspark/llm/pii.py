@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcspark.session import materialise
+from lcspark.session import materialise, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -219,9 +219,9 @@ def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mentions(documents: DataFrame) -> DataFrame:
     """``(doc_id, text_id, kind, start_pos, end_pos, parts)`` of every mention, ``text_id`` being the text's hash: rows of one id may differ in text.
 
-    Null and empty texts have none; repeated rows repeat their mentions. A map, no shuffle; other columns are not looked at.
+    Null and empty texts have none; repeated rows repeat their mentions. A map over whole texts; other columns are not looked at.
     """
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(_find_all, _FOUND)
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")).mapInArrow(_find_all, _FOUND)
 
 
 _ONSET = "b br d dr f g gr h k kl l m n p pl r s st t tr v w z".split()

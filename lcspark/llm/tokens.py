@@ -10,6 +10,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lcspark.session import spread
+
 #: Folder of the vocabulary files; it must exist under this path on every executor.
 TOKENIZERS = os.environ.get("LCSPARK_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -51,7 +53,8 @@ class TokenCounter:
 
 
 def count_tokens(df: DataFrame, text: str, keep: list[str], folder: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """``keep`` columns and ``n_tokens`` of each row's whole text (0 for null or empty). No shuffle; texts don't leave their partition."""
+    """``keep`` columns and ``n_tokens`` of each row's whole text (0 for null or empty). Texts are moved only where their files are
+    fewer than the cores."""
     path = os.path.join(folder or TOKENIZERS, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +63,6 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], folder: str | None =
             n = pa.array([count(t) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], names=[*keep, "n_tokens"])
 
-    d = df.select(*keep, text)
+    d = spread(df.select(*keep, text))
     types = ", ".join(f"`{c}` {t}" for c, t in d.dtypes[: len(keep)])
     return d.mapInArrow(work, f"{types}, n_tokens bigint")
