@@ -27,6 +27,20 @@ def study_of(run: Column) -> Column:
     return F.split_part(run, F.lit("_"), F.lit(1))
 
 
+def run_key(file: Column) -> Column:
+    """The run a file name means: no folder, no ``.mzML``, lower case, ``_`` for ``-`` and blanks trimmed."""
+    name = F.regexp_replace(F.lower(F.trim(file)), r"^.*[/\\]", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(name), r"\.mzml$", ""), r"[-\s]+", "_")
+
+
+#: The same in SQL, and the SQL of a query on ``ms2_map`` with every spelling of ``file`` as its run.
+RUN_SQL = r"regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(file)), '^.*[/\\]', '')), '\.mzml$', ''), '[-\s]+', '_', 'g')"
+
+
+def by_run(sql: str) -> str:
+    return sql.replace("ms2_map", f"(select * replace ({RUN_SQL} as file) from ms2_map)")
+
+
 def chromatogram(points: DataFrame, targets: DataFrame, ppm: float = 10.0) -> DataFrame:
     """``(run, group_id, scan, mz, inten)``: the highest centroid of each scan within ``ppm`` of a target of the run's study (lower position on ties).
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.operators import features as f
 from lcspark.operators import stats
+from lcspark.operators.traces import by_run, run_key
 from lcspark.sources.tables import read
 
 
@@ -143,9 +144,19 @@ def q_slopes(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("study").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_r2("y", "x"), 6).alias("r2"))
 
 
-def q_spearman(spark: SparkSession, d: str) -> DataFrame:
+def _spearman(spark: SparkSession, d: str, run: Column) -> DataFrame:
     m = _ms2(spark, d).filter("precursor_intensity is not null and not isnan(precursor_intensity)")
-    return stats.spearman(m.select("study", "file", "n_peaks", "precursor_intensity"), ["study", "file"], "n_peaks", "precursor_intensity").select("study", "file", r("rho"), "n")
+    return stats.spearman(m.select("study", run.alias("file"), "n_peaks", "precursor_intensity"), ["study", "file"], "n_peaks", "precursor_intensity").select("study", "file", r("rho"), "n")
+
+
+def q_spearman(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation in each file as it is written."""
+    return _spearman(spark, d, F.col("file"))
+
+
+def q_spearman_whole(spark: SparkSession, d: str) -> DataFrame:
+    """q_spearman with every spelling of ``file`` as its run."""
+    return _spearman(spark, d, run_key(F.col("file")))
 
 
 def q_union_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -156,8 +167,8 @@ def q_union_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_group_members(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-run groups of all MS2 precursors as features."""
-    m = _ms2(spark, d).filter("precursor_mz > 0 and rt_s is not null").select("study", F.col("map_id").alias("member_id"), F.col("file").alias("run"), F.col("precursor_mz").alias("mz"), (F.col("rt_s") / 60).alias("rt"), F.lit(0.1).alias("width"), F.coalesce("precursor_intensity", F.lit(0.0)).alias("height"))
+    """Cross-run groups of all MS2 precursors as features; a respelled ``file`` is no other run."""
+    m = _ms2(spark, d).filter("precursor_mz > 0 and rt_s is not null").select("study", F.col("map_id").alias("member_id"), run_key(F.col("file")).alias("run"), F.col("precursor_mz").alias("mz"), (F.col("rt_s") / 60).alias("rt"), F.lit(0.1).alias("width"), F.coalesce("precursor_intensity", F.lit(0.0)).alias("height"))
     return f.group_members(m.filter("not isnan(mz) and not isnan(height)"))
 
 
@@ -202,3 +213,4 @@ k as (select study, file, rank() over (partition by study, file order by n_peaks
 select study, file, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) as rho, count(*) as n from k group by 1, 2""",
     "q_union_runs": """select run, 'any' as part from (select run from scans union select run from filled_mask) union all select run, 'both' from (select run from scans intersect select run from filled_mask) union all select run, 'not_aligned' from (select run from points except select run from filled_mask)""",
 }
+ORACLES["q_spearman_whole"] = by_run(ORACLES["q_spearman"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lcspark.operators import compounds as c
 from lcspark.operators.features import coeluting, isomer_candidates
 from lcspark.operators.halogen import halogens
-from lcspark.operators.traces import valid_points
+from lcspark.operators.traces import by_run, run_key, valid_points
 from lcspark.plans.features import PAIRS
 from lcspark.sources.tables import read
 
@@ -54,20 +54,39 @@ def q_int_corr(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n >= 6").select("run", "bin_a", "bin_b", "n", F.round("corr", 6).alias("corr"), F.round("sd_ratio", 6).alias("sd_ratio"))
 
 
-def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "ms2_map").select("file", F.col("map_id").alias("id"), F.col("rt_s").alias("native"), F.col("rt_aligned_s").alias("corr"))
+def _anchors(spark: SparkSession, d: str, run: Column) -> DataFrame:
+    return read(spark, d, "ms2_map").select(run.alias("file"), F.col("map_id").alias("id"), F.col("rt_s").alias("native"), F.col("rt_aligned_s").alias("corr"))
+
+
+def _knots(spark: SparkSession, d: str, run: Column) -> DataFrame:
+    return c.warp_knots(_anchors(spark, d, run)).select("file", "knot", F.round("rt_native", 6).alias("rt_native"), F.round("rt_corr", 6).alias("rt_corr"))
 
 
 def q_warp_knots(spark: SparkSession, d: str) -> DataFrame:
-    return c.warp_knots(_anchors(spark, d)).select("file", "knot", F.round("rt_native", 6).alias("rt_native"), F.round("rt_corr", 6).alias("rt_corr"))
+    """A warp for each file as it is written."""
+    return _knots(spark, d, F.col("file"))
 
 
-def q_warp_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Every spectrum's time under its file's warp."""
-    a = _anchors(spark, d)
+def q_warp_knots_whole(spark: SparkSession, d: str) -> DataFrame:
+    """One warp for all spellings of a run."""
+    return _knots(spark, d, run_key(F.col("file")))
+
+
+def _warped(spark: SparkSession, d: str, run: Column) -> DataFrame:
+    a = _anchors(spark, d, run)
     return c.warp_apply(a.select("file", "id", "native").filter("native is not null"), c.warp_knots(a)).select(F.col("id").alias("map_id"), F.round("corr", 6).alias("rt_corr"))
 
 
+def q_warp_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Every spectrum's time under its file's warp, files as they are written."""
+    return _warped(spark, d, F.col("file"))
+
+
+def q_warp_apply_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every spectrum's time under its run's warp."""
+    return _warped(spark, d, run_key(F.col("file")))
+
+
 def q_halogen(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts on every centroid with a partner two mass steps above it in its scan, counted by run."""
     v = halogens(valid_points(read(spark, d, "points")).select("run", "scan", "mz", "inten"))
@@ -91,3 +110,4 @@ f as (select file, any_value(n0) as n0, any_value(c0) as c0 from s group by file
 select m.map_id, round(case when s.n2 is not null then s.c + (m.rt_s - s.n) * (s.c2 - s.c) / (s.n2 - s.n) when s.n is not null then m.rt_s + s.c - s.n when f.n0 is not null then m.rt_s + f.c0 - f.n0 else m.rt_s end, 6) as rt_corr
 from ms2_map m asof left join s on m.file = s.file and m.rt_s >= s.n left join f on m.file = f.file where m.rt_s is not null""",
 }
+ORACLES |= {f"{k}_whole": by_run(ORACLES[k]) for k in ("q_warp_knots", "q_warp_apply")}

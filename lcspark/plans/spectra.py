@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.constants import ADDUCT_PIECES, ELECTRON, MASS
@@ -10,6 +10,7 @@ from lcspark.functions import chem
 from lcspark.functions.spectra import METHODS
 from lcspark.operators import spectra as s
 from lcspark.operators.stats import confusion
+from lcspark.operators.traces import by_run, run_key
 from lcspark.session import once
 from lcspark.sources.tables import read
 
@@ -62,13 +63,22 @@ def q_annotation(spark: SparkSession, d: str) -> DataFrame:
     return f.join(h, "group_id", "left").select("group_id", F.coalesce("name", F.lit("")).alias("annotation"), F.when(F.col("name").isNotNull(), "library").otherwise("none").alias("source"))
 
 
-def q_library_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Records that may explain each MS2 spectrum: precursor within 10 ppm and a compatible mode (positive by the run's polarity)."""
+def _library_candidates(spark: SparkSession, d: str, run: Column) -> DataFrame:
     mode = read(spark, d, "scans").groupBy(F.col("run").alias("file")).agg(F.max(F.when(F.lower(F.trim("polarity")).startswith("pos"), 1).when(F.lower(F.trim("polarity")).startswith("neg"), 2).otherwise(0)).alias("q_mode"))
-    q = read(spark, d, "ms2_map").filter("precursor_mz > 0").select("map_id", "file", F.col("precursor_mz").alias("q_mz")).join(mode, "file")
+    q = read(spark, d, "ms2_map").filter("precursor_mz > 0").select("map_id", run.alias("file"), F.col("precursor_mz").alias("q_mz")).join(mode, "file")
     return s.candidates(q, _library(spark, d)).select("map_id", "library_index")
 
 
+def q_library_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Records that may explain each MS2 spectrum: precursor within 10 ppm and a compatible mode (positive by the run's polarity). Runs as ``file`` is written."""
+    return _library_candidates(spark, d, F.col("file"))
+
+
+def q_library_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """q_library_candidates with every spelling of ``file`` as its run."""
+    return _library_candidates(spark, d, run_key(F.col("file")))
+
+
 def q_library_index(spark: SparkSession, d: str) -> DataFrame:
     """Several libraries as one: a global index from each library's offset and record number."""
     n = _library(spark, d).groupBy("lib").agg((F.max("rec") + 1).cast("bigint").alias("n"))
@@ -195,3 +205,4 @@ select *, round(tp / nullif(tp + fn, 0), 6) as recall, round(tp / nullif(tp + fp
     "q_unique_keys": "select group_id, denoise_ion, count(*) as n_hits, min(denoise_key) as first_key from identifications where denoise_ion is not null and group_id is not null group by 1, 2",
     "q_library_hits": HITS + " select l.library_index, count(h.hit_id) as n_hits, count(distinct h.group_id) as n_features from library l left join h on l.library_index = h.library_index group by 1",
 }
+ORACLES["q_library_candidates_whole"] = by_run(ORACLES["q_library_candidates"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.operators import traces as t
@@ -112,26 +112,44 @@ def q_bin_scans(spark: SparkSession, d: str) -> DataFrame:
     return t.occupied_bins(_points(spark, d))
 
 
-def q_asof_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The MS1 scan that precedes each MS2 spectrum of the run: an as-of join by union and last value."""
-    m = read(spark, d, "ms2_map").select(F.col("file").alias("run"), (F.col("rt_s") / 60).alias("minutes"), "map_id", F.lit(None).cast("int").alias("scan"), F.lit(1).alias("side"))
+def _asof(spark: SparkSession, d: str, run: Column) -> DataFrame:
+    m = read(spark, d, "ms2_map").select(run.alias("run"), (F.col("rt_s") / 60).alias("minutes"), "map_id", F.lit(None).cast("int").alias("scan"), F.lit(1).alias("side"))
     s = _times(spark, d).select("run", "minutes", F.lit(None).cast("bigint").alias("map_id"), "scan", F.lit(0).alias("side"))
     w = Window.partitionBy("run").orderBy("minutes", "side", "scan").rowsBetween(Window.unboundedPreceding, 0)
     u = m.unionByName(s).withColumn("ms1_scan", F.last("scan", ignorenulls=True).over(w))
     return u.filter("side = 1").select("map_id", "ms1_scan")
 
 
-def q_precursor_ms1(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest centroid within 10 ppm of the precursor in the preceding MS1 scan."""
+def q_asof_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The MS1 scan that precedes each MS2 spectrum of the run: an as-of join by union and last value. Runs as ``file`` is written."""
+    return _asof(spark, d, F.col("file"))
+
+
+def q_asof_scan_whole(spark: SparkSession, d: str) -> DataFrame:
+    """q_asof_scan with every spelling of ``file`` as its run."""
+    return _asof(spark, d, t.run_key(F.col("file")))
+
+
+def _precursor(spark: SparkSession, d: str, run: Column) -> DataFrame:
     from lcspark.band import band_join
 
-    at = q_asof_scan(spark, d).filter("ms1_scan is not null")
-    m = read(spark, d, "ms2_map").select("map_id", F.col("file").alias("run"), "precursor_mz").join(at, "map_id").withColumnRenamed("ms1_scan", "scan").filter("precursor_mz > 0")
+    at = _asof(spark, d, run).filter("ms1_scan is not null")
+    m = read(spark, d, "ms2_map").select("map_id", run.alias("run"), "precursor_mz").join(at, "map_id").withColumnRenamed("ms1_scan", "scan").filter("precursor_mz > 0")
     hits = band_join(m, t.valid_points(_points(spark, d)), "precursor_mz", "mz", 10.0, ["run", "scan"])
     best = hits.groupBy("map_id").agg(F.max(F.struct("inten", (-F.col("pos")).alias("p"), "mz")).alias("_b"))
     return best.select("map_id", F.col("_b.mz").alias("mz"), F.col("_b.inten").alias("inten"))
 
 
+def q_precursor_ms1(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest centroid within 10 ppm of the precursor in the preceding MS1 scan. Runs as ``file`` is written."""
+    return _precursor(spark, d, F.col("file"))
+
+
+def q_precursor_ms1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """q_precursor_ms1 with every spelling of ``file`` as its run."""
+    return _precursor(spark, d, t.run_key(F.col("file")))
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}
 
 V = "with v as (select run, scan, pos, mz, cast(inten as double) as inten, split_part(run, '_', 1) as study from points where inten > 0 and isfinite(inten) and mz > 0 and isfinite(mz))"
@@ -169,3 +187,4 @@ select run, count(*) as n_linked, round(avg(abs((mb / mz - 1) * 1e6)), 6) as mea
     "q_precursor_ms1": V + TIMES + """, x as (select m.map_id, m.file, m.precursor_mz, tm.scan from ms2_map m join tm on m.file = tm.run and tm.minutes <= m.rt_s / 60 where m.precursor_mz > 0 qualify row_number() over (partition by m.map_id order by tm.minutes desc, tm.scan desc) = 1)
 select x.map_id, v.mz, v.inten from x join v on x.file = v.run and x.scan = v.scan and abs(v.mz - x.precursor_mz) <= x.precursor_mz * (10.0::double / 1e6) qualify row_number() over (partition by x.map_id order by v.inten desc, v.pos) = 1""",
 }
+ORACLES |= {f"{k}_whole": t.by_run(ORACLES[k]) for k in ("q_asof_scan", "q_precursor_ms1")}
