@@ -36,6 +36,30 @@ def isomer_candidates(features: DataFrame, ppm: float = 10.0) -> DataFrame:
     return feature_pairs(features, ppm, (F.col("a") < F.col("b")) & (gap > 0) & (gap <= F.col("half_a") + F.col("half_b")))
 
 
+def proven_pairs(features: DataFrame, seen: DataFrame, ppm: float = 10.0, rt_tol: float = 0.05, least: int = 3, share: float = 0.5, order: float = 0.9) -> DataFrame:
+    """``(a, b, n_codetected, n_timed, share, gap)``: isomer candidates that ``seen(group_id, run, rt)``, a row for each detection with its apex
+    (null where unknown), proves to be two compounds.
+
+    Both in at least ``least`` runs and in ``share`` of the runs of the rarer; where both apexes are known, in at least ``least`` runs too, the same
+    order in ``order`` of them and a median gap of ``rt_tol`` or more. A pair without that many known times is not proven.
+    """
+    n = seen.groupBy("group_id").agg(F.count("*").alias("n"))
+    side = lambda x: seen.select(F.col("group_id").alias(x), "run", F.col("rt").alias(f"rt_{x}"))
+    both = isomer_candidates(features, ppm).select("a", "b").join(side("a"), "a").join(side("b"), ["b", "run"]).withColumn("d", F.col("rt_b") - F.col("rt_a"))
+    g = both.groupBy("a", "b").agg(F.count("*").alias("n_codetected"), F.count("d").alias("n_timed"), F.count_if(F.col("d") > 0).alias("_later"), F.median(F.abs("d")).alias("gap"))
+    g = g.join(n.select(F.col("group_id").alias("a"), F.col("n").alias("_na")), "a").join(n.select(F.col("group_id").alias("b"), F.col("n").alias("_nb")), "b")
+    g = g.withColumn("share", F.col("n_codetected") / F.least("_na", "_nb")).filter((F.least("n_codetected", "n_timed") >= least) & (F.col("share") >= share) & (F.col("gap") >= rt_tol))
+    return g.filter(F.greatest(F.col("_later"), F.col("n_timed") - F.col("_later")) >= order * F.col("n_timed")).select("a", "b", "n_codetected", "n_timed", "share", "gap")
+
+
+def shared_positions(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(id, rt)``: the median apex of each member of ``pairs(a, b)`` over the runs it is seen in together with a partner."""
+    s = seen.filter("rt is not null").select(F.col("group_id").alias("id"), "run", "rt")
+    p = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    both = p.join(s, "id").join(seen.select(F.col("group_id").alias("other"), "run"), ["other", "run"]).select("id", "run", "rt").distinct()
+    return both.groupBy("id").agg(F.median("rt").alias("rt"))
+
+
 def isolated(features: DataFrame, ppm: float = 10.0, window: float = 0.5) -> DataFrame:
     """Features with no other of the study within ``ppm`` and ``window`` minutes."""
     f = features.select("group_id", "study", "mz", "rt")

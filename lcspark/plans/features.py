@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lcspark.operators import features as f
 from lcspark.operators import stats
+from lcspark.operators.impute import fill_block_groups
 from lcspark.operators.traces import by_run, run_key
+from lcspark.session import materialise
 from lcspark.sources.tables import read
 
 
@@ -93,6 +95,22 @@ def q_codetect(spark: SparkSession, d: str) -> DataFrame:
     return p.join(both.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n_codetected"))
 
 
+def seen(spark: SparkSession, d: str) -> DataFrame:
+    """``(group_id, run, rt)``: the cells detected, not filled, blocks' missing groups filled; ``rt`` is the aligned minute of the run's MS2 spectrum of
+    the feature with the most intense precursor, the only time that the tables give for a feature in a run; null without one."""
+    cells = fill_block_groups(read(spark, d, "filled_mask")).filter("filled = 0 and group_id >= 1").select("group_id", "run").distinct()
+    m = _ms2(spark, d).filter("group_id is not null and rt_aligned_s is not null and not isnan(rt_aligned_s) and precursor_intensity > 0 and not isnan(precursor_intensity)")
+    top = F.max(F.struct("precursor_intensity", (-F.col("map_id")).alias("k"), (F.col("rt_aligned_s") / 60).alias("rt")))
+    m = m.withColumn("run", run_key(F.col("file"))).groupBy("group_id", "run").agg(top.alias("_b")).select("group_id", "run", F.col("_b.rt").alias("rt"))
+    return materialise(cells.join(m, ["group_id", "run"], "left"))
+
+
+def q_codetect_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Isomer pairs proven by shared runs, order and gap."""
+    p = f.proven_pairs(_features(spark, d), seen(spark, d))
+    return p.select("a", "b", "n_codetected", "n_timed", r("share"), F.round(F.col("gap") * 60, 6).alias("gap_s"))
+
+
 def q_coelute(spark: SparkSession, d: str) -> DataFrame:
     """How many co-eluting partners each feature has."""
     p = f.coeluting(_features(spark, d))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lcspark.operators import compounds as c
-from lcspark.operators.features import coeluting, isomer_candidates
+from lcspark.operators.features import coeluting, isomer_candidates, proven_pairs, shared_positions
 from lcspark.operators.halogen import halogens
 from lcspark.operators.traces import by_run, run_key, valid_points
-from lcspark.plans.features import PAIRS
+from lcspark.plans.features import PAIRS, seen
+from lcspark.session import materialise
 from lcspark.sources.tables import read
 
 
@@ -33,7 +34,7 @@ def q_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_components(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of isomer pairs."""
+    """Chains of isomer candidates."""
     return c.components(isomer_candidates(_features(spark, d)).select("a", "b")).select(F.col("id").alias("group_id"), "component")
 
 
@@ -42,6 +43,22 @@ def q_territories(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("id").alias("group_id"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+def _proven(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = seen(spark, d)
+    return materialise(proven_pairs(_features(spark, d), s).select("a", "b")), s
+
+
+def q_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of proven pairs."""
+    return c.components(_proven(spark, d)[0]).select(F.col("id").alias("group_id"), "component")
+
+
+def q_territories_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Territories of proven pairs, from the positions in the runs that hold a partner too."""
+    p, s = _proven(spark, d)
+    return c.territories(p, shared_positions(p, s)).select(F.col("id").alias("group_id"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 def q_int_corr(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of log intensities, and stability of the ratio, of each pair of a run's steady m/z bins over the scans they share."""
     p = valid_points(read(spark, d, "points")).select("run", "scan", F.floor(F.log("mz") / 1e-4).alias("bin"), "inten")

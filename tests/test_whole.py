@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lcspark.operators.compounds import territories
+from lcspark.operators.features import proven_pairs, shared_positions
 from lcspark.operators.traces import run_key
 from lcspark.plans import features, graphs, spectra, traces
 
@@ -28,3 +30,15 @@ def test_spellings_of_a_run_change_nothing(spark, data, ms2):
     for f in (traces.q_asof_scan_whole, traces.q_precursor_ms1_whole, spectra.q_library_candidates_whole, graphs.q_warp_knots_whole, graphs.q_warp_apply_whole, features.q_spearman_whole, features.q_group_members):
         assert _rows(f(spark, data)) == _rows(f(spark, ms2)), f.__name__
     assert traces.q_asof_scan_whole(spark, data).filter("ms1_scan is not null").count() > traces.q_asof_scan(spark, data).filter("ms1_scan is not null").count()
+
+
+def test_only_proven_isomers_chain(spark):
+    f = spark.createDataFrame([("s", k, 400.0, 5.0 + 0.1 * k, 4.8 + 0.1 * k, 5.2 + 0.1 * k) for k in range(1, 5)], "study string, group_id bigint, mz double, rt double, rt_min double, rt_max double")
+    at = {1: [5.1] * 5, 2: [5.2] * 5, 3: [5.3] * 2, 4: [5.0, 5.4, 5.0, 5.4, None]}
+    s = spark.createDataFrame([(k, f"r{n}", x) for k, t in at.items() for n, x in enumerate(t)], "group_id bigint, run string, rt double")
+    p = proven_pairs(f, s)
+    (one,) = p.collect()
+    # 3 shares two runs only, 4 changes sides
+    assert (one.a, one.b, one.n_codetected, one.n_timed, one.share) == (1, 2, 5, 5, 1.0) and abs(one.gap - 0.1) < 1e-9
+    got = {x.id: (x.lo, x.hi) for x in territories(p, shared_positions(p, s)).collect()}
+    assert set(got) == {1, 2} and got[1][0] is None is got[2][1] and abs(got[1][1] - 5.15) < 1e-9
