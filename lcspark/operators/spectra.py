@@ -141,8 +141,23 @@ def consensus_spectra(spectra: DataFrame, group: list[str], tol: float = 0.02, m
 ORDER = tuple(MASS)
 
 
-def explained(formula_counts: list[int], mz: np.ndarray, precursor: float, tol: float) -> np.ndarray:
-    """Which fragments are a loss of a plausible sub-formula of the precursor: the heavy atoms are enumerated, hydrogens solved for."""
+HALOGENS = ("F", "Cl", "Br", "I")
+
+
+def exchanged(formula_counts: list[int], mz: np.ndarray, precursor: float, tol: float) -> np.ndarray:
+    """Which fragments are halide exchange products (halide to hydroxyl): losses of precursor + H2O that carry a halogen."""
+    below = precursor - mz > tol
+    if not below.any() or not any(formula_counts[ORDER.index(e)] for e in HALOGENS):
+        return np.zeros(len(mz), bool)
+    wet = [n + {"H": 2, "O": 1}.get(e, 0) for e, n in zip(ORDER, formula_counts)]
+    out = np.zeros(len(mz), bool)
+    out[below] = explained(wet, mz[below], precursor + 2 * MASS["H"] + MASS["O"], tol, halogen=True)
+    return out
+
+
+def explained(formula_counts: list[int], mz: np.ndarray, precursor: float, tol: float, halogen: bool = False) -> np.ndarray:
+    """Which fragments are a loss of a plausible sub-formula of the precursor: the heavy atoms are enumerated, hydrogens solved for. ``halogen``: only
+    losses that carry one."""
     heavy = [(e, n) for e, n in zip(ORDER, formula_counts) if e != "H" and n]
     h_most = formula_counts[ORDER.index("H")]
     delta = precursor - mz
@@ -167,6 +182,8 @@ def explained(formula_counts: list[int], mz: np.ndarray, precursor: float, tol:
         ratio &= atoms[e] <= 2 * c
     small = (c == 0) & (whole >= 1) & (whole <= 6) & (kinds <= 2)
     good = np.where(c > 0, ratio, small | (whole == 0))
+    if halogen:
+        good &= sum(atoms[e] for e in HALOGENS) > 0
     order = np.argsort(mass, kind="stable")
     mass, most_h, good, bare = mass[order], most_h[order], good[order], (whole == 0)[order]
     out = np.zeros(len(mz), bool)
@@ -182,10 +199,16 @@ def explained(formula_counts: list[int], mz: np.ndarray, precursor: float, tol:
 
 
 def denoised(records: DataFrame, tol: float = 0.005) -> DataFrame:
-    """``(library_index, n_peaks, n_kept, keep)``: the peaks of records of known formula and adduct that its sub-formula losses explain, and
-    isotope peaks one 13C above a kept one at least as tall.
+    """``(library_index, n_peaks, n_kept, keep)`` of the records that the rule of ``passed`` applies to."""
+    return passed(records, tol).filter("applied = 1").drop("applied")
+
+
+def passed(records: DataFrame, tol: float = 0.005) -> DataFrame:
+    """``(library_index, n_peaks, n_kept, keep, applied)`` of every record: the peaks that sub-formula losses of a known formula and adduct explain,
+    halide exchange products, and isotope peaks one 13C above a kept one at least as tall.
 
-    A map over the records, each on its own. Records of an unknown formula or adduct, or impossible as an ion, have no row.
+    A map over the records, each on its own. Records of an unknown formula or adduct, of another charge than 1, or impossible as an ion, keep all
+    their peaks with ``applied`` 0.
     """
     n = chem.counts(F.col("formula"))
     delta, k, z = chem.adduct_parts(F.col("precursor_type"))
@@ -201,22 +224,26 @@ def denoised(records: DataFrame, tol: float = 0.005) -> DataFrame:
         return F.aggregate(gained, F.lit(0), lambda a, t: a + term_count(t, e))
 
     ion = F.array(*[(k * n[e] + gained_of(e)).cast("int") for e in ORDER])
-    d = records.filter(chem.is_formula(F.col("formula")) & delta.isNotNull()).select("library_index", ion.alias("ion"), z.alias("z"), "peaks")
+    known = chem.is_formula(F.col("formula")) & delta.isNotNull()
+    d = records.select("library_index", F.when(known, ion).alias("ion"), F.when(known, z).alias("z"), "peaks")
     # a record takes milliseconds
-    d = spread(d.filter(~F.exists("ion", lambda x: x < 0) & (F.abs("z") == 1)))
+    d = spread(d.withColumn("ion", F.when(~F.exists("ion", lambda x: x < 0) & (F.abs("z") == 1), F.col("ion"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: tuple[list, list, list] = ([], [], [])
+            rows: tuple[list, list, list, list] = ([], [], [], [])
             for ion_, z_, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p = sorted((x["mz"], x["inten"]) for x in p or () if x and x["mz"] is not None and x["inten"] is not None)
                 mz = np.array([m for m, _ in p], float)
-                prec = sum(MASS[e] * c for e, c in zip(ORDER, ion_)) - z_ * ELECTRON
-                keep = explained(ion_, mz, prec, tol)
+                if ion_ is None:
+                    keep = np.ones(len(mz), bool)
+                else:
+                    prec = sum(MASS[e] * c for e, c in zip(ORDER, ion_)) - z_ * ELECTRON
+                    keep = explained(ion_, mz, prec, tol) | exchanged(ion_, mz, prec, tol)
                 for k_ in range(len(mz)):
                     keep[k_] |= any(keep[j] and p[j][1] >= p[k_][1] and abs(mz[k_] - mz[j] - C13) <= tol for j in range(k_))
-                for col, v in zip(rows, (len(mz), int(keep.sum()), keep.tolist())):
+                for col, v in zip(rows, (len(mz), int(keep.sum()), keep.tolist(), int(ion_ is not None))):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.bool_()))], names=["library_index", "n_peaks", "n_kept", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.bool_())), pa.array(rows[3], pa.int32())], names=["library_index", "n_peaks", "n_kept", "keep", "applied"])
 
-    return d.mapInArrow(work, "library_index bigint, n_peaks int, n_kept int, keep array<boolean>")
+    return d.mapInArrow(work, "library_index bigint, n_peaks int, n_kept int, keep array<boolean>, applied int")

@@ -162,7 +162,8 @@ def q_consensus_spectra(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_denoise(spark: SparkSession, d: str) -> DataFrame:
-    return s.denoised(_library(spark, d)).select("library_index", "n_peaks", "n_kept")
+    """Every record, those that the rule doesn't apply to whole."""
+    return s.passed(_library(spark, d)).select("library_index", "n_peaks", "n_kept", "applied")
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}

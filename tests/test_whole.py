@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lcspark.operators.compounds import territories
 from lcspark.operators.features import proven_pairs, shared_positions
+from lcspark.operators import spectra as s
 from lcspark.operators.traces import run_key
 from lcspark.plans import features, graphs, spectra, traces
 
@@ -35,10 +36,25 @@ def test_spellings_of_a_run_change_nothing(spark, data, ms2):
 def test_only_proven_isomers_chain(spark):
     f = spark.createDataFrame([("s", k, 400.0, 5.0 + 0.1 * k, 4.8 + 0.1 * k, 5.2 + 0.1 * k) for k in range(1, 5)], "study string, group_id bigint, mz double, rt double, rt_min double, rt_max double")
     at = {1: [5.1] * 5, 2: [5.2] * 5, 3: [5.3] * 2, 4: [5.0, 5.4, 5.0, 5.4, None]}
-    s = spark.createDataFrame([(k, f"r{n}", x) for k, t in at.items() for n, x in enumerate(t)], "group_id bigint, run string, rt double")
-    p = proven_pairs(f, s)
+    cells = spark.createDataFrame([(k, f"r{n}", x) for k, t in at.items() for n, x in enumerate(t)], "group_id bigint, run string, rt double")
+    p = proven_pairs(f, cells)
     (one,) = p.collect()
     # 3 shares two runs only, 4 changes sides
     assert (one.a, one.b, one.n_codetected, one.n_timed, one.share) == (1, 2, 5, 5, 1.0) and abs(one.gap - 0.1) < 1e-9
-    got = {x.id: (x.lo, x.hi) for x in territories(p, shared_positions(p, s)).collect()}
+    got = {x.id: (x.lo, x.hi) for x in territories(p, shared_positions(p, cells)).collect()}
     assert set(got) == {1, 2} and got[1][0] is None is got[2][1] and abs(got[1][1] - 5.15) < 1e-9
+
+
+def test_denoising_passes_what_it_does_not_apply_to(spark):
+    p = [(114.0662, 5.0), (100.5, 5.0)]
+    rows = [(1, "C4H9N3O2", "[M+H]+", p), (2, None, "[M+H]+", p), (3, "C4H9N3O2", "[M+2H]2+", p), (4, "C4H9N3O2", "odd", p), (5, "C4", "[M-H]-", p), (6, "C4H9N3O2", None, None)]
+    d = spark.createDataFrame(rows, "library_index bigint, formula string, precursor_type string, peaks array<struct<mz:double,inten:float>>")
+    got = {r.library_index: (r.applied, r.keep) for r in s.passed(d).collect()}
+    assert got == {1: (1, [False, True])} | {k: (0, [True, True]) for k in (2, 3, 4, 5)} | {6: (0, [])}
+
+
+def test_halide_exchange_products_are_kept(spark):
+    # chlorobenzylamine: Cl leaves, OH comes
+    mz = 142.0418 - s.MASS["Cl"] + s.MASS["O"] + s.MASS["H"]
+    d = spark.createDataFrame([(k, f, "[M+H]+", [(mz, 5.0)]) for k, f in ((1, "C7H8ClN"), (2, "C7H8N2O"))], "library_index bigint, formula string, precursor_type string, peaks array<struct<mz:double,inten:float>>")
+    assert {r.library_index: r.keep for r in s.passed(d).collect()} == {1: [True], 2: [False]}
