@@ -14,6 +14,27 @@ def weighted_quantile(df: DataFrame, group: list[str], value: str, weight: str,
     return d.filter(F.col("_cum") >= q * F.col("_all")).groupBy(*group).agg(F.min(value).alias(value))
 
 
+def ion_pairs(points: DataFrame, least: int = 6, tol: float = 0.3010299956639812, shared: int = 3) -> DataFrame:
+    """``(run, bin_a, bin_b, n, pearson, corr, stability)`` of ``points(run, bin, scan, i)``, one row for each scan of a bin: pairs of bins that share
+    at least ``shared`` scans.
+
+    ``pearson``: of the intensities over the scans of either, 0 where one is missing; ``corr``: of their logarithms over the scans of both, null
+    below ``least``; ``stability``: the share of those whose log ratio lies within ``tol`` of the pair's median.
+    """
+    keys = ["run", "bin_a", "bin_b"]
+    totals = points.groupBy("run", "bin").agg(F.count("*").alias("n"), F.sum("i").alias("s"), F.sum(F.col("i") * F.col("i")).alias("q")).filter(F.col("n") >= shared)
+    side = lambda x: points.select("run", "scan", F.col("bin").alias(f"bin_{x}"), F.col("i").alias(f"i_{x}"), F.log10("i").alias(f"l_{x}"))
+    of = lambda x: totals.select("run", F.col("bin").alias(f"bin_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s", "q")])
+    j = side("a").join(side("b"), ["run", "scan"]).filter("bin_a < bin_b").withColumn("r", F.col("l_a") - F.col("l_b"))
+    log = F.try_divide(F.covar_pop("l_a", "l_b"), F.stddev_pop("l_a") * F.stddev_pop("l_b"))
+    g = j.groupBy(keys).agg(F.count("*").alias("n"), log.alias("_c"), F.sum(F.col("i_a") * F.col("i_b")).alias("ab"), F.median("r").alias("_m")).filter(F.col("n") >= shared)
+    near = j.join(g.select(*keys, "_m"), keys).groupBy(keys).agg(F.avg((F.abs(F.col("r") - F.col("_m")) <= tol).cast("double")).alias("stability"))
+    d = g.join(near, keys).join(of("a"), ["run", "bin_a"]).join(of("b"), ["run", "bin_b"]).withColumn("_u", F.col("n_a") + F.col("n_b") - F.col("n"))
+    var = lambda x: F.col(f"q_{x}") - F.col(f"s_{x}") * F.col(f"s_{x}") / F.col("_u")
+    pearson = F.when((var("a") > 0) & (var("b") > 0), (F.col("ab") - F.col("s_a") * F.col("s_b") / F.col("_u")) / F.sqrt(var("a") * var("b")))
+    return d.select(*keys, "n", pearson.alias("pearson"), F.when(F.col("n") >= least, F.col("_c")).alias("corr"), "stability")
+
+
 def mad(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """``(*group, median, mad)``: median and unscaled median absolute deviation."""
     m = df.groupBy(*group).agg(F.median(value).alias("median"))

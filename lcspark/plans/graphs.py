@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lcspark.operators import compounds as c
 from lcspark.operators.features import coeluting, isomer_candidates, proven_pairs, shared_positions
 from lcspark.operators.halogen import halogens
+from lcspark.operators.stats import ion_pairs
 from lcspark.operators.traces import by_run, run_key, valid_points
 from lcspark.plans.features import PAIRS, seen
 from lcspark.session import materialise
@@ -71,6 +72,13 @@ def q_int_corr(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n >= 6").select("run", "bin_a", "bin_b", "n", F.round("corr", 6).alias("corr"), F.round("sd_ratio", 6).alias("sd_ratio"))
 
 
+def q_int_corr_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Zero-masked Pearson, correlation of logs and stability of the ratio of all pairs of a run's m/z bins that share three scans."""
+    p = valid_points(read(spark, d, "points")).select("run", "scan", F.floor(F.log("mz") / 1e-4).alias("bin"), "inten")
+    g = ion_pairs(materialise(p.groupBy("run", "bin", "scan").agg(F.max("inten").alias("i"))))
+    return g.select("run", "bin_a", "bin_b", "n", *[F.round(x, 6).alias(x) for x in ("pearson", "corr", "stability")])
+
+
 def _anchors(spark: SparkSession, d: str, run: Column) -> DataFrame:
     return read(spark, d, "ms2_map").select(run.alias("file"), F.col("map_id").alias("id"), F.col("rt_s").alias("native"), F.col("rt_aligned_s").alias("corr"))
 

@@ -1,11 +1,13 @@
 """Queries that do the whole job where the SQL of an older one keeps less."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lcspark.operators.compounds import territories
 from lcspark.operators.features import proven_pairs, shared_positions
 from lcspark.operators import spectra as s
+from lcspark.operators.stats import ion_pairs
 from lcspark.operators.traces import run_key
 from lcspark.plans import features, graphs, spectra, traces
 
@@ -58,3 +60,22 @@ def test_halide_exchange_products_are_kept(spark):
     mz = 142.0418 - s.MASS["Cl"] + s.MASS["O"] + s.MASS["H"]
     d = spark.createDataFrame([(k, f, "[M+H]+", [(mz, 5.0)]) for k, f in ((1, "C7H8ClN"), (2, "C7H8N2O"))], "library_index bigint, formula string, precursor_type string, peaks array<struct<mz:double,inten:float>>")
     assert {r.library_index: r.keep for r in s.passed(d).collect()} == {1: [True], 2: [False]}
+
+
+def test_ion_pairs_equal_the_rules(spark):
+    rng = np.random.default_rng(0)
+    x = {b: {int(k): float(np.exp(rng.normal())) for k in rng.choice(20, n, replace=False)} for b, n in ((1, 14), (2, 12), (3, 6), (4, 2))}
+    d = spark.createDataFrame([("r", b, k, i) for b, v in x.items() for k, i in v.items()], "run string, bin bigint, scan int, i double")
+    got = {(r.bin_a, r.bin_b): r for r in ion_pairs(d).collect()}
+    want = {(a, b) for a in x for b in x if a < b and len(x[a].keys() & x[b].keys()) >= 3}
+    assert set(got) == want and want
+    for (a, b), r in got.items():
+        both, either = sorted(x[a].keys() & x[b].keys()), sorted(x[a].keys() | x[b].keys())
+        assert r.n == len(both) and r.pearson == pytest.approx(np.corrcoef([x[a].get(k, 0) for k in either], [x[b].get(k, 0) for k in either])[0, 1])
+        la, lb = (np.log10([x[c][k] for k in both]) for c in (a, b))
+        assert r.stability == pytest.approx(np.mean(np.abs(la - lb - np.median(la - lb)) <= np.log10(2)))
+        assert r.corr == pytest.approx(np.corrcoef(la, lb)[0, 1]) if r.n >= 6 else r.corr is None
+
+
+def test_short_runs_have_ion_pairs(spark, data):
+    assert graphs.q_int_corr(spark, data).count() == 0 < graphs.q_int_corr_whole(spark, data).count()
