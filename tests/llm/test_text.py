@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lcspark.llm import leak, pii
@@ -62,11 +64,63 @@ def test_planted_passages_are_found(spark):
     assert leak.leaked(d.limit(0), i).count() == 0 and leak.leaked(d, i.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_joined_keys_give_the_same(spark):
     docs, items, want = _planted(3)
-    monkeypatch.setattr(leak, "BLOCK_ITEMS", 8)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert {(x.doc_id, x.item_id) for x in leak.leaked(d, i).collect()} == want
+    assert {(x.doc_id, x.item_id) for x in leak.leaked(d, i, held=8).collect()} == want
+
+
+def _passage(r, w, share, changed):
+    n = max(1, round(len(w) * share))
+    k = r.randrange(len(w) - n + 1)
+    p = list(w[k : k + n])
+    for j in r.sample(range(n), round(n * changed) if n >= 5 else 0):
+        p[j] = r.choice(WIDE)
+    return p
+
+
+WIDE = [f"{a}{b}" for a in "kalo mira ruta veno sipe dugo hate bilu".split() for b in (f"{x}{y}{z}" for x in "bdfgklmn" for y in "aeiou" for z in "lnrst")]
+
+
+@pytest.mark.parametrize("held", [10**6, 0])
+def test_recall_by_length_of_the_item(spark, held):
+    """At least nine of ten for items of 8 to 200 words, verbatim, and half of them with one word in ten changed; nothing else is reported."""
+    r = random.Random(17)
+    items, docs, planted = [], [], {}
+    for size in (8, 12, 16, 20, 24, 30, 40, 60, 90, 140, 200):
+        for share, changed in ((1.0, 0.0), (0.5, 0.0), (0.5, 0.1), (0.7, 0.1)):
+            for _ in range(12):
+                w = [r.choice(WIDE) for _ in range(size)]
+                items.append((len(items), " ".join(w)))
+                body = [r.choice(WIDE) for _ in range(150)]
+                body[70:70] = _passage(r, w, share, changed)
+                docs.append((len(docs), " ".join(body)))
+                planted.setdefault((size, share, changed), []).append(len(items) - 1)
+    # a quotation of a third of the words is no case
+    for k in range(0, len(items), 4):
+        w = items[k][1].split()
+        if len(w) >= 24:
+            docs.append((len(docs), " ".join([r.choice(WIDE) for _ in range(60)] + w[: len(w) // 3] + [r.choice(WIDE) for _ in range(60)])))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in leak.leaked(d, i, held=held).collect()}
+    recall = {k: sum((x, x) in got for x in v) / len(v) for k, v in planted.items()}
+    assert min(recall.values()) >= 0.75 and sum(recall.values()) / len(recall) >= 0.97, recall
+    for kind in ((1.0, 0.0), (0.5, 0.0), (0.5, 0.1), (0.7, 0.1)):
+        assert sum(v for (_, *k), v in recall.items() if tuple(k) == kind) / 11 >= 0.9
+    assert not {x for x in got if x[0] != x[1]}
+
+
+def test_common_wording_is_no_case(spark):
+    r = random.Random(3)
+    w = [r.choice(WIDE) for _ in range(60)]
+    half = _passage(r, w[:30], 1.0, 0.1)
+    text = lambda: " ".join([r.choice(WIDE) for _ in range(40)] + half + [r.choice(WIDE) for _ in range(40)])
+    i = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    few = spark.createDataFrame([(k, text()) for k in range(40)], "doc_id bigint, text string")
+    many = spark.createDataFrame([(k, text()) for k in range(120)], "doc_id bigint, text string")
+    for held in (10**6, 0):
+        assert leak.leaked(few, i, held=held).count() == 40 and leak.leaked(many, i, held=held).count() == 0
 
 
 def test_long_text(spark):
@@ -87,9 +141,9 @@ def test_alignment_equals_brute_force():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1.5), h[i - 1, j] - 1.5, h[i, j - 1] - 1.5)
-        items = leak.Items(np.array([1]), np.array(a, np.uint64), np.array([0, len(a)]), *[np.empty(0)] * 4)
-        got = leak.scores(np.array(b, np.uint64), np.array([0, len(b)]), np.array([0]), np.array([0]), np.array([4]), items)
-        assert got[0] == h.max()
+        items = leak.Items(np.array([1]), np.array(a, np.uint64), np.array([0, len(a)]), (), *[np.empty(0)] * 6)
+        score, reach = leak.passages(np.array(b, np.uint64), np.array([0, len(b)]), np.array([0]), np.array([0]), np.array([4]), items)
+        assert score[0] == h.max() and h.max() <= reach[0] <= len(a)
 
 
 CASES = [
