@@ -25,6 +25,11 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("dup_id").agg(value("tic").cast("double").alias("tic"), value("precursor_purity").cast("double").alias("precursor_purity"), value("representative").cast("int").alias("representative"))
 
 
+def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The values that most copies agree on, token by token, every copy counting one."""
+    return spectrum_survivors(read(spark, d, "ms2_map"), "equal").select("dup_id", "field", "map_id", "value")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_feature(unassigned_spectra(read(spark, d, "ms2_map")), read(spark, d, "aligned_feature_table")).select("map_id", "group_id")
 
@@ -80,7 +85,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(read(spark, d, "documents"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_consensus, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report, p10_found, p10_redacted)}
 
 _COPIES = r"""
 with k as (select map_id, loaded_at, tic, precursor_purity, representative,

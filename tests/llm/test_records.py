@@ -46,9 +46,40 @@ def test_hot_copy_set_equals_its_rule(spark):
 def test_consensus_votes_tokens():
     assert survivors.consensus(["12.5", "12.5"]) == 0
     assert survivors.consensus(["10", "99", "99", "99"]) == 0
+    # with equal trust the others outvote the newest, token by token
+    assert survivors.consensus(["10", "99", "99", "99"], [1.0] * 4) == 1
+    assert survivors.consensus(["12.9", "12.5", "13.5"], [1.0] * 3) == 1
+    assert survivors.consensus(["red car old", "blue car", "blue bus", "blue car new", "blue car"], [1.0] * 5) == 1
     assert survivors.consensus([""]) == 0 and survivors.consensus(["a" * 500, "b"]) == 0
 
 
+def test_votes_beat_the_newest_copy(spark):
+    from datetime import datetime as t
+
+    rows = [(k, "a", "1", v, None, None, t(2024, 1, k)) for k, v in enumerate((410.25, 410.25, 418.25, 910.25), 1)]
+    rows += [(10, "b", "1", 7.5, None, None, None), (11, "b", "1", 7.5, None, None, None), (12, "b", "1", 8.5, None, None, t(2024, 1, 1))]
+    d = spark.createDataFrame(rows, "map_id bigint, file string, scan string, tic double, precursor_purity double, representative int, loaded_at timestamp").withColumn("w", F.when(F.col("map_id") == 12, 5).otherwise(1)).withColumn("value", F.lit(1))
+    pick = lambda trust: {r.dup_id: (r.map_id, r.value) for r in survivors.spectrum_survivors(d, trust).collect()}
+    assert pick("recent") == {1: (4, "910.25"), 10: (12, "8.5")}
+    assert pick("equal") == {1: (2, "410.25"), 10: (11, "7.5")}
+    assert pick(F.col("w")) == {1: (2, "410.25"), 10: (12, "8.5")}
+
+
+def test_a_group_of_many_values_is_voted_whole(spark, monkeypatch):
+    r = random.Random(8)
+    right = "1234567.25"
+    wrong = lambda: "".join(r.choice("0123456789") if c.isdigit() and r.random() < 0.25 else c for c in right)
+    values = [right] + [wrong() for _ in range(700)]
+    rows = [(k, "a" if k % 9 else "b", "1", float(v)) for k, v in enumerate(values)] + [(k, "c", "1", 5.0) for k in (9000, 9001)]
+    d = spark.createDataFrame(rows, "map_id bigint, file string, scan string, tic double").select("*", F.lit(None).cast("double").alias("precursor_purity"), F.lit(None).cast("int").alias("representative"), F.timestamp_seconds("map_id").alias("loaded_at"))
+    monkeypatch.setattr(survivors, "CHUNK", 8)
+    monkeypatch.setattr(survivors, "FAN", 3)
+    got = {x.dup_id: x.value for x in survivors.spectrum_survivors(d, "equal").filter("field = 'tic'").collect()}
+    assert set(got) == {0, 1, 9000} and sum(a != b for a, b in zip(f"{float(got[0]):.2f}", right)) <= 1, got
+    near = sum(a != b for a, b in zip(f"{float(got[1]):.2f}", right))
+    assert near <= 1
+
+
 def _brute_nearest(spectra, features):
     out = {}
     for m, study, p, t in spectra:
