@@ -24,9 +24,9 @@ def source_key(source: Column) -> Column:
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """``(doc_id, key, h, n_tokens)``, written once, so that texts are tokenised once."""
-    d = count_tokens(documents.select("doc_id", source_key(F.col("source")).alias("key"), "text"), "text", ["doc_id", "key"])
-    return materialise(d.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS)))
+    """``(doc_id, key, h, n_tokens)``, written once, so that texts are tokenised once. Documents without an id are told apart by their texts."""
+    h = F.shiftrightunsigned(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), 64 - BITS * LEVELS)
+    return materialise(count_tokens(documents.select("doc_id", source_key(F.col("source")).alias("key"), h.alias("h"), "text"), "text", ["doc_id", "key", "h"]))
 
 
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -52,17 +52,17 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked(read(spark, d, "documents"), read(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("best_share"))
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    b = m.budgets(m.sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
-    return b.filter("reachable < wanted").select("source")
-
-
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = m.sized(read(spark, d, "documents"))
     limits = m.thresholds(docs, m.budgets(docs, read(spark, d, "mix_targets")))
     return limits, m.mix(docs, limits)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that the report of the finished mix calls short."""
+    return m.report(*_mix(spark, d)).filter("short").select("source")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix and how often each is taken."""
     return _mix(spark, d)[1]

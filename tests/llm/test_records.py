@@ -165,5 +165,13 @@ def test_mix_reaches_its_shares(spark):
     want = min(0.15 * total, 4 * small)
     assert 0 <= want - by["small_x"].taken <= max(tokens.values())
     assert sum(x.copies * x.n_tokens for x in mixed.collect()) == sum(x.taken for x in by.values())
+    # a threshold is a hash: what lies below it is taken once more, and nothing else
+    below = {x.source: (x.passes, x.below) for x in limits.collect()}
+    copies = {x.doc_id: x.copies for x in mixed.collect() if x.doc_id is not None}
+    for x in docs.filter("doc_id is not null and key in ('big', 'small_x')").collect():
+        passes, edge = below[x.key]
+        assert copies.get(x.doc_id, 0) == passes + (x.h < edge)
+    lost = mix.sized(spark.createDataFrame([(None, f"text {k}", "a") for k in range(50)], "doc_id bigint, text string, source string"))
+    assert lost.select("h").distinct().count() == 50
     none = mix.sized(spark.createDataFrame([], "doc_id bigint, text string, source string"))
     assert mix.budgets(none, targets).filter("reachable < wanted").count() == 0 and mix.mix(none, mix.thresholds(none, mix.budgets(none, targets))).count() == 0
