@@ -102,7 +102,7 @@ best as (select * from v qualify row_number() over (partition by dup_id, field o
 
 def _top(n: int) -> str:
     return f"""
-with d as (select * from identifications where hit_id is not null and group_id is not null and spectrum is not null and score is not null and isfinite(score)
+with d as (select * from identifications where group_id is not null and score is not null and not isnan(score)
   qualify row_number() over (partition by group_id, spectrum, library_index order by hit_id) = 1),
 r as (select *, cast(row_number() over (partition by group_id, spectrum order by score desc, n_matched desc nulls last, library_index nulls last, hit_id) as integer) as place from d),
 top as (select group_id, spectrum, place as rank, hit_id, score, n_matched, library_index from r where place <= {n})

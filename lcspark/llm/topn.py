@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from lcspark.session import materialise
 
-#: Buckets are many more than tasks, so that the one a task merges at a time is small.
-LEAST_BUCKETS = 1024
-_RUN = "bucket int, run int, group_id bigint, spectrum string, score double, n_matched int, library_index bigint, hit_id bigint"
+#: Rows of a bucket on the average: the runs of one bucket are what a task merges at a time.
+BUCKET_ROWS = 20_000
+#: Stand for nulls inside the merge.
+NO_LIBRARY, NO_HIT, NO_MATCHES = 2**62, 2**63 - 1, -(2**31)
+_RUN = "bucket int, run int, place bigint, group_id bigint, spectrum string, score double, n_matched int, library_index bigint, hit_id bigint"
 _OUT = "group_id bigint, spectrum string, rank int, hit_id bigint, score double, n_matched int, library_index bigint"
 
 
@@ -60,7 +62,7 @@ def _cut_run(n: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId()
-        last, had = None, 0
+        last, had, place = None, 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -74,47 +76,46 @@ def _cut_run(n: int):
             at[: start[1] if len(start) > 1 else len(g)] += before
             last, had = (int(g[-1]), names[c[-1]]), int(at[-1]) + 1
             kept = b.filter(pa.array(at < n))
-            yield kept.add_column(1, "run", pa.array(np.full(kept.num_rows, run, np.int32)))
+            order = pa.array(np.arange(place, place + kept.num_rows))
+            place += kept.num_rows
+            yield kept.add_column(1, "run", pa.array(np.full(kept.num_rows, run, np.int32))).add_column(2, "place", order)
 
     return cut
 
 
 def _merged(t: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
-    """The best ``n`` rows of each group of one bucket's runs."""
+    """The best ``n`` rows of each group of one bucket's runs, which stand one after the other, each in its stored order."""
     a = {c: t[c].to_numpy(zero_copy_only=False) for c in ("run", "group_id", "score", "n_matched", "library_index", "hit_id")}
-    names, spectrum = np.unique(t["spectrum"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    # a run's rows arrive in blocks; the sort by run and order only joins the blocks
-    order = np.lexsort((a["hit_id"], a["library_index"], -a["n_matched"], -a["score"], spectrum, a["group_id"], a["run"]))
-    run, g, sp = a["run"][order], a["group_id"][order], spectrum[order]
-    rows = list(zip(g.tolist(), sp.tolist(), (-a["score"][order]).tolist(), (-a["n_matched"][order]).tolist(), a["library_index"][order].tolist(), a["hit_id"][order].tolist()))
-    cut = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    ends = np.append(cut[1:], len(run)).tolist()
+    names, sp = np.unique(t["spectrum"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    run, g = a["run"], a["group_id"]
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    ends = np.append(starts[1:], len(run)).tolist()
     new = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (g[1:] != g[:-1]) | (sp[1:] != sp[:-1])))
     # where a run's next group begins
-    ahead = np.append(new[1:], len(run))[np.repeat(np.arange(len(new)), np.diff(np.append(new, len(run))))].tolist()
-    place = cut.tolist()
-    tree = LoserTree([rows[p] for p in place])
-    out: list[tuple] = []
+    ahead = np.repeat(np.append(new[1:], len(run)), np.diff(np.append(new, len(run)))).tolist()
+    columns = [g.tolist(), sp.tolist(), (-a["score"]).tolist(), (-a["n_matched"].astype(np.int64)).tolist(), a["library_index"].tolist(), a["hit_id"].tolist()]
+    row = lambda p: tuple(c[p] for c in columns)
+    place = starts.tolist()
+    tree = LoserTree([row(p) for p in place])
+    took: list[int] = []
     ranks: list[int] = []
     group, had = None, 0
-    while (row := tree.keys[tree.top]) is not None:
+    while (top := tree.keys[tree.top]) is not None:
         r = tree.top
-        if row[:2] != group:
-            group, had = row[:2], 0
+        if top[:2] != group:
+            group, had = top[:2], 0
+        p = place[r]
         if had < n:
             had += 1
-            out.append(row)
+            took.append(p)
             ranks.append(had)
-            p = place[r] + 1
+            p += 1
         else:
-            p = ahead[place[r]]
+            p = ahead[p]
         place[r] = p
-        tree.replace(rows[p] if p < ends[r] else None)
-    c = list(zip(*out))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(c[0], pa.int64()), pa.array([names[i] for i in c[1]], pa.string()), pa.array(ranks, pa.int32()), pa.array(c[5], pa.int64()), pa.array([-x for x in c[2]], pa.float64()), pa.array([-x for x in c[3]], pa.int32()), pa.array(c[4], pa.int64())],
-        names=["group_id", "spectrum", "rank", "hit_id", "score", "n_matched", "library_index"],
-    )
+        tree.replace(row(p) if p < ends[r] else None)
+    kept = t.select(["group_id", "spectrum", "hit_id", "score", "n_matched", "library_index"]).take(pa.array(took, pa.int64())).add_column(2, "rank", pa.array(ranks, pa.int32()))
+    yield from kept.combine_chunks().to_batches()
 
 
 def _merge_runs(n: int):
@@ -141,17 +142,21 @@ def _merge_runs(n: int):
 def top_hits(hits: DataFrame, n: int = 3) -> DataFrame:
     """``(group_id, spectrum, rank, hit_id, score, n_matched, library_index)``: the ``n`` best hits of each feature's spectrum copy.
 
-    Rows with a null group, spectrum or hit id and with a null or NaN score are left out. A repeated (group_id, spectrum, library_index) counts
-    once, by its smallest hit id. Order: score, then n_matched falling (null last), then library_index (null last). The repeats are removed by
-    an aggregate on all three keys, which spreads the rows of a hot group over all partitions; these partitions are the runs.
+    Rows with a null group and with a null or NaN score are left out; a null spectrum is a copy of its own. A repeated (group_id, spectrum,
+    library_index) counts once, by its smallest hit id, a null one last. Order: score, then n_matched falling (null last), then library_index (null
+    last), then hit id. The repeats are removed by an aggregate on all three keys, which spreads the rows of a hot group over all partitions; these
+    partitions are the runs. ``hits`` is counted first, so that buckets grow in number, not in size.
     """
-    d = hits.select("hit_id", "group_id", "spectrum", "score", "n_matched", "library_index").dropna(subset=["hit_id", "group_id", "spectrum", "score"]).filter(~F.isnan("score"))
-    none = 2**62
-    one = d.groupBy("group_id", "spectrum", F.coalesce("library_index", F.lit(none)).alias("library_index")).agg(F.min(F.struct("hit_id", F.col("score").cast("double").alias("score"), F.coalesce(F.col("n_matched").cast("int"), F.lit(-1)).alias("n_matched"))).alias("_h"))
+    d = hits.select("hit_id", "group_id", "spectrum", "score", "n_matched", "library_index").dropna(subset=["group_id", "score"]).filter(~F.isnan("score"))
+    values = F.struct(F.coalesce(F.col("hit_id").cast("bigint"), F.lit(NO_HIT)).alias("hit_id"), F.col("score").cast("double").alias("score"), F.coalesce(F.col("n_matched").cast("int"), F.lit(NO_MATCHES)).alias("n_matched"))
+    # a sign before a spectrum's name tells it from none
+    copy = F.coalesce(F.concat(F.lit("="), "spectrum"), F.lit(""))
+    one = d.groupBy("group_id", copy.alias("spectrum"), F.coalesce("library_index", F.lit(NO_LIBRARY)).alias("library_index")).agg(F.min(values).alias("_h"))
     tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(LEAST_BUCKETS, 16 * tasks)
+    buckets = max(tasks, -(-hits.count() // BUCKET_ROWS))
     rows = one.select(F.pmod(F.xxhash64("group_id", "spectrum"), F.lit(buckets)).cast("int").alias("bucket"), "group_id", "spectrum", "_h.score", "_h.n_matched", "library_index", "_h.hit_id")
-    ordered = rows.sortWithinPartitions("bucket", "group_id", "spectrum", F.col("score").desc(), F.col("n_matched").desc(), "library_index")
+    ordered = rows.sortWithinPartitions("bucket", "group_id", "spectrum", F.col("score").desc(), F.col("n_matched").desc(), "library_index", "hit_id")
     runs = materialise(ordered.mapInArrow(_cut_run(n), _RUN))
-    best = runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_runs(n), _OUT)
-    return best.withColumn("library_index", F.nullif("library_index", F.lit(none))).withColumn("n_matched", F.nullif("n_matched", F.lit(-1)))
+    best = runs.repartition(tasks, "bucket").sortWithinPartitions("bucket", "run", "place").mapInArrow(_merge_runs(n), _OUT)
+    best = best.withColumn("spectrum", F.when(F.col("spectrum") != "", F.substring("spectrum", 2, 2**31 - 1)))
+    return best.withColumn("library_index", F.nullif("library_index", F.lit(NO_LIBRARY))).withColumn("n_matched", F.nullif("n_matched", F.lit(NO_MATCHES))).withColumn("hit_id", F.nullif("hit_id", F.lit(NO_HIT)))

@@ -130,13 +130,15 @@ def test_top_hits_equal_sql(spark):
         hot = r.random() < 0.4
         rows.append((h, 7 if hot else r.choice([None, *range(40)]), r.choice(["a", "b", None]) if not hot else "a", r.choice([None, float("nan"), *[x / 10 for x in range(8)]]), r.choice([None, 1, 2, 3]), r.choice([None, *range(300)])))
     rows += rows[:50]
+    rows += [(None, 3, "a", 0.7, 2, 5), (None, 3, "a", 0.9, None, 400), (7000, 3, "", 0.5, 1, 1), (7001, 3, None, float("inf"), 1, 1), (7002, 4, "a", float("-inf"), -5, None)]
     d = spark.createDataFrame(rows, "hit_id bigint, group_id bigint, spectrum string, score double, n_matched int, library_index bigint").withColumn("bucket", F.lit(1)).withColumn("run", F.lit("x"))
-    t = pd.DataFrame(rows, columns=["hit_id", "group_id", "spectrum", "score", "n_matched", "library_index"]).astype({"group_id": "Int64", "n_matched": "Int64", "library_index": "Int64"})  # noqa: F841
+    t = pd.DataFrame(rows, columns=["hit_id", "group_id", "spectrum", "score", "n_matched", "library_index"]).astype({"hit_id": "Int64", "group_id": "Int64", "n_matched": "Int64", "library_index": "Int64"})  # noqa: F841
     t["ok"] = [x is not None and x == x for x in (r[3] for r in rows)]
     for n in (1, 3, 10):
-        want = duckdb.sql(f"with d as (select * from t where ok and group_id is not null and spectrum is not null qualify row_number() over (partition by group_id, spectrum, library_index order by hit_id) = 1) select group_id, spectrum, row_number() over w as rank, hit_id from d window w as (partition by group_id, spectrum order by score desc, n_matched desc nulls last, library_index nulls last, hit_id) qualify row_number() over w <= {n}").fetchall()
+        want = duckdb.sql(f"with d as (select * from t where ok and group_id is not null qualify row_number() over (partition by group_id, spectrum, library_index order by hit_id) = 1) select group_id, spectrum, row_number() over w as rank, hit_id from d window w as (partition by group_id, spectrum order by score desc, n_matched desc nulls last, library_index nulls last, hit_id) qualify row_number() over w <= {n}").fetchall()
         got = topn.top_hits(d, n).select("group_id", "spectrum", "rank", "hit_id").collect()
-        assert sorted(map(tuple, got)) == sorted(want)
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert topn.top_hits(d.limit(0)).count() == 0
 
 
