@@ -31,7 +31,7 @@ from lcspark.session import materialise, spread
 #: (words an item has at least, steps of the walk). A walk reads a word in two steps, so that a window is a sixth of the item at most and several
 #: fit in half of it. Below the first size every run of ``SHORT`` words is a key.
 SIZES = ((24, 8), (48, 16), (128, 32), (256, 64))
-SHORT, REPEATS, SEED = 3, 10, 7
+SHORT, REPEATS, SEED = 3, 6, 7
 #: Words of a phrase whose documents are counted, and the documents (their share, or a plain number) beyond which it is common wording.
 PHRASE, COMMON_SHARE, COMMON_LEAST = 5, 0.01, 50
 #: Width of an offset bin in words.
@@ -59,22 +59,22 @@ def words(text: str, headers: re.Pattern = re.compile(PAGE_HEADERS, re.M)) -> li
     return _WORD.findall(t)
 
 
+class _Known(dict):
+    def __missing__(self, w: str) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w.translate(_SAME))
+        return h
+
+
 class Hashes:
     """64-bit word hashes, remembered up to a bound."""
 
     def __init__(self, headers: str = PAGE_HEADERS, bound: int = 1_000_000):
-        self.known, self.bound, self.headers = {}, bound, re.compile(headers, re.M)
+        self.known, self.bound, self.headers = _Known(), bound, re.compile(headers, re.M)
 
     def __call__(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for w in words(text, self.headers):
-            h = known.get(w)
-            if h is None:
-                if len(known) >= self.bound:
-                    known.clear()
-                h = known[w] = xxhash.xxh3_64_intdigest(w.translate(_SAME))
-            out.append(h)
-        return out
+        if len(self.known) >= self.bound:
+            self.known.clear()
+        return list(map(self.known.__getitem__, words(text, self.headers)))
 
 
 def _places(steps: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def size_class(n_words: int) -> int:
 
 def needed(n_words: int) -> tuple[int, int]:
     """Votes of one offset, and words between the first and last of their places in the item, that make a candidate."""
-    return (n_words // 3, n_words // 8) if size_class(n_words) else (1, 0)
+    return (n_words // 5, n_words // 6) if size_class(n_words) else (1, 0)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, salt: int) -> np.ndarray:
@@ -160,6 +160,8 @@ class Items:
 
 
 SEEN_BITS = 22
+#: Most pairs of a chunk of documents whose votes are counted before they are sorted.
+PAIRS_COUNTED = 20_000_000
 
 
 def index_items(ids: list[int], texts: list[str], headers: str = PAGE_HEADERS, keyed: bool = True) -> Items:
@@ -235,6 +237,11 @@ def candidates(tokens: np.ndarray, doc_start: np.ndarray, items: Items) -> tuple
     where, which = np.concatenate(where), np.concatenate(which)
     item, at = items.item[which].astype(np.int64), items.at[which]
     doc = np.searchsorted(doc_start, where, "right") - 1
+    if (len(doc_start) - 1) * len(items.ids) <= PAIRS_COUNTED:
+        # most pairs have too few votes at all offsets together
+        pair = doc * len(items.ids) + item
+        x = np.flatnonzero(np.bincount(pair)[pair] >= items.need[item, 0])
+        doc, item, where, at = doc[x], item[x], where[x], at[x]
     return elected(doc, item, where - at - doc_start[doc], at, items.need)
 
 
