@@ -72,17 +72,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return m.report(*_mix(spark, d))
 
 
-#: Key of the surrogates in these queries; a deployment gives its own secret.
-PII_KEY = "lcspark"
+def _key(spark: SparkSession) -> str:
+    """The secret of the surrogates, a setting of the session; without one (tests) a fixed word."""
+    return spark.conf.get("spark.lcspark.pii.key", "unset")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pseudonymised(read(spark, d, "documents"), PII_KEY).select("doc_id", "kind", "start_pos").distinct()
+    return pseudonymised(read(spark, d, "documents"), _key(spark)).select("doc_id", "kind", "start_pos").distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders in place of its personal data."""
-    return redacted(read(spark, d, "documents"), PII_KEY)
+    return redacted(read(spark, d, "documents"), _key(spark))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_consensus, p2_found, p7_found, p7_ranked, p8_found, p8_items, p9_found, p9_mix, p9_report, p10_found, p10_redacted)}
