@@ -19,8 +19,8 @@ from lcspark.session import once
 ELEMENTS = ("Br", "Cl", "Si", "Na", "I", "K", "S", "P", "F", "O", "N", "C", "H")
 NUMBER = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
 ELEMENT_COUNT = rf"(?:{'|'.join(ELEMENTS)})(?:[1-9][0-9]*+)?+"
-#: Private-use signs for a comma inside quotes and between bare values; in a row they count as a blank.
-COMMA, BETWEEN = "\uf8f0", "\uf8f1"
+#: Private-use signs for a comma inside quotes and between bare values, and one that stands before a digit for any of the three in a row.
+COMMA, BETWEEN, ESCAPE = "\uf8f0", "\uf8f1", "\uf8f2"
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,21 @@ def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], keep: list[st
     Null rows count as one empty field. Empty tables give empty results, repeated rows repeated ones; columns not in ``keep`` are left behind,
     whatever their names. Any length of row is judged whole.
     """
-    row = F.translate(F.coalesce(F.col(raw), F.lit("")), COMMA + BETWEEN, "  ")
+    own = ((ESCAPE, ESCAPE + "2"), (COMMA, ESCAPE + "0"), (BETWEEN, ESCAPE + "1"))
+
+    def escaped(c: Column) -> Column:
+        out = c
+        for sign, code in own:
+            out = F.replace(out, F.lit(sign), F.lit(code))
+        return F.when(c.rlike(f"[{COMMA}-{ESCAPE}]"), out).otherwise(c)
+
+    def bared(c: Column) -> Column:
+        out = c
+        for sign, code in own[::-1]:
+            out = F.replace(out, F.lit(code), F.lit(sign))
+        return F.when(c.contains(ESCAPE), out).otherwise(c)
+
+    row = escaped(F.coalesce(F.col(raw), F.lit("")))
     sections = F.regexp_extract_all(F.col("_row"), F.lit(r'("[^"]*+"|[^"]++|")'), F.lit(1))
     masked = F.array_join(F.transform(sections, lambda p: F.when(p.startswith('"'), F.replace(p, F.lit(","), F.lit(COMMA))).otherwise(p)), "")
     inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
@@ -64,8 +78,6 @@ def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], keep: list[st
     value = lambda c: F.replace(F.when(c.startswith('"'), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), F.lit(COMMA), F.lit(","))
     # most rows have no quote at all, and need no more than a split
     quoted = F.col("_row").contains('"')
-    # most rows have no quote at all, and need no more than a split
-    quoted = F.col("_row").contains('"')
     d = once(df.select(*keep, raw), _row=row)
     d = once(d, _c=F.split(F.when(quoted, masked).otherwise(F.col("_row")), ",", -1))
     d = once(d, _syntax=~quoted | F.forall("_c", lambda c: bare(c) | closed(c)))
@@ -88,7 +100,8 @@ def parse_rows(df: DataFrame, raw: str, schema: tuple[Field, ...], keep: list[st
         .when(F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False), "skipped")
     )
     d = once(d, reason=reason)
-    return d.select(*keep, raw, F.when(F.col("reason").isNull(), F.col("_v")).alias("fields"), "broken_field", "reason")
+    fields = F.struct(*[bared(F.col("_v")[f.name]).alias(f.name) for f in schema])
+    return d.select(*keep, raw, F.when(F.col("reason").isNull(), fields).alias("fields"), "broken_field", "reason")
 
 
 def _value_ok(f: Field) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lcspark.band import band_join
 from lcspark.constants import C13, ELECTRON, MASS
 from lcspark.functions import chem
-from lcspark.functions.spectra import METHODS, cleaned, similarity
-from lcspark.session import spread
+from lcspark.functions.spectra import LEAST_GAP, METHODS, NOISE_SHARE, PRECURSOR_MARGIN, centroided, cleaned
+from lcspark.session import once, spread
 
 
 def assign(spectra: DataFrame, features: DataFrame, ppm: float = 10.0) -> DataFrame:
@@ -41,35 +41,97 @@ _PEAKS = "array<struct<mz:double,share:double>>"
 
 
 def clean_spectra(records: DataFrame, key: str, tol: float = 0.02) -> DataFrame:
-    """``(key, clean)``: every record's cleaned peaks. Each record is cleaned once, however many pairs it is in."""
+    """``(key, clean)``: every record's cleaned peaks, however many pairs it is in: those below the precursor, none under a hundredth of the
+    strongest, shares that sum to 1. Null, NaN and non-positive values are left out; a record without peaks has an empty array.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("mz", pa.float64()), ("share", pa.float64())]))
+    Peaks that crowd within ``gap`` are merged strongest first, which takes a map over those few records; all else stays in the JVM.
+    """
+    gap = max(LEAST_GAP, 2 * tol)
+    top = F.when(F.col("precursor_mz") > 0, F.col("precursor_mz") - PRECURSOR_MARGIN)
+    finite = lambda c: c.isNotNull() & (F.abs(c) < float("inf"))
+    peaks = F.transform("peaks", lambda p: F.struct(p["mz"].cast("double").alias("mz"), p["inten"].cast("double").alias("inten")))
+    p = F.array_sort(F.filter(peaks, lambda p: finite(p["mz"]) & finite(p["inten"]) & (p["inten"] > 0) & (top.isNull() | (p["mz"] < top))))
+    d = once(records.select(F.col(key).cast("bigint").alias(key), "peaks", "precursor_mz"), p=F.coalesce(p, F.array().cast("array<struct<mz:double,inten:double>>")))
+    steps = F.zip_with(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda a, b: b["mz"] - a["mz"])
+    d = once(d, crowded=F.exists(steps, lambda x: x <= gap)).select(key, "p", "crowded")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("mz", pa.float64()), ("inten", pa.float64())]))
         for b in batches:
             out = []
-            for p, prec in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                m, s = cleaned([x["mz"] for x in p or () if x and x["mz"] is not None and x["inten"] is not None], [x["inten"] for x in p or () if x and x["mz"] is not None and x["inten"] is not None], prec, tol)
-                out.append([{"mz": a, "share": c} for a, c in zip(m.tolist(), s.tolist())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=[key, "clean"])
+            for x in b.column(1).to_pylist():
+                m, i = centroided(np.array([y["mz"] for y in x]), np.array([y["inten"] for y in x]), gap)
+                out.append([{"mz": u, "inten": v} for u, v in zip(m.tolist(), i.tolist())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=[key, "p"])
 
-    return records.select(F.col(key).cast("bigint").alias(key), "peaks", "precursor_mz").mapInArrow(work, f"{key} bigint, clean {_PEAKS}")
+    d = d.filter("not crowded").select(key, "p").unionByName(d.filter("crowded").select(key, "p").mapInArrow(merge, f"{key} bigint, p array<struct<mz:double,inten:double>>"))
+    d = once(d, top=F.array_max(F.transform("p", lambda x: x["inten"])))
+    d = once(d, k=F.filter("p", lambda x: x["inten"] >= NOISE_SHARE * F.col("top")))
+    d = once(d, total=F.aggregate("k", F.lit(0.0), lambda a, x: a + x["inten"]))
+    return d.select(key, F.transform("k", lambda x: F.struct(x["mz"].alias("mz"), (x["inten"] / F.col("total")).alias("share"))).alias("clean"))
 
 
-def score_pairs(pairs: DataFrame, methods: tuple[str, ...] = METHODS, tol: float = 0.02) -> DataFrame:
-    """``pairs(query_id, library_index, a, b)`` with cleaned peaks scored by each method: ``(query_id, library_index, n_matched, *methods)``."""
+#: Below this entropy a spectrum's shares are raised to ``0.25 + 0.25 * entropy``; and the powers of the weighted cosine.
+LOW_ENTROPY, INTEN_POWER, MZ_POWER = 3.0, 0.6, 3
+
+
+def _weighted(share: Column, entropy: Column) -> Column:
+    return F.when(entropy < LOW_ENTROPY, F.pow(share, 0.25 + 0.25 * entropy)).otherwise(share)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            n, cols = [], {m: [] for m in methods}
-            for a, b in zip(r.column(2).to_pylist(), r.column(3).to_pylist()):
-                x, y = (tuple(np.array([p[k] for p in s], float) for k in ("mz", "share")) for s in (a, b))
-                got = [similarity(x, y, m, tol) for m in methods]
-                n.append(got[0][1])
-                for m, (s, _) in zip(methods, got):
-                    cols[m].append(s)
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(n, pa.int32()), *[pa.array(cols[m], pa.float64()) for m in methods]], names=["query_id", "library_index", "n_matched", *methods])
 
-    return pairs.select("query_id", "library_index", "a", "b").mapInArrow(work, "query_id bigint, library_index bigint, n_matched int, " + ", ".join(f"{m} double" for m in methods))
+def _scored_peaks(clean: DataFrame, key: str, side: str) -> DataFrame:
+    """A row for each peak with what the scores need of it: share, entropy-weighted share, weighted intensity, and the spectrum's two sizes."""
+    s = once(clean.filter(F.size("clean") > 0), h=F.aggregate("clean", F.lit(0.0), lambda a, p: a - p["share"] * F.log(p["share"])))
+    s = once(s, e=F.aggregate("clean", F.lit(0.0), lambda a, p: a + _weighted(p["share"], F.col("h"))))
+    strong = lambda p: F.pow(p["share"], INTEN_POWER) * F.pow(p["mz"], MZ_POWER)
+    s = once(s, n=F.aggregate("clean", F.lit(0.0), lambda a, p: a + p["share"] * p["share"]), d=F.aggregate("clean", F.lit(0.0), lambda a, p: a + strong(p) * strong(p)))
+    s = s.select(key, "h", "e", "n", "d", F.explode("clean").alias("p"))
+    return s.select(key, F.col("p.mz").alias(f"m{side}"), F.col("p.share").alias(f"p{side}"), (_weighted(F.col("p.share"), F.col("h")) / F.col("e")).alias(f"w{side}"), strong(F.col("p")).alias(f"d{side}"), F.col("n").alias(f"pp{side}"), F.col("d").alias(f"dd{side}"))
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """What a matched pair of peaks adds to the entropy similarity."""
+    return 0.5 * ((x + y) * F.log2(x + y) - x * F.log2(x) - y * F.log2(y))
+
+
+def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, methods: tuple[str, ...] = METHODS, tol: float = 0.02, ppm: float = 0.0) -> DataFrame:
+    """``(query_id, library_index, n_matched, *methods)`` of ``pairs(query_id, library_index)``: scores of the cleaned spectra ``a(query_id, clean)``
+    and ``b(library_index, clean)``; 0 where no peak matches.
+
+    Peaks match within ``max(tol, ppm)``. Cleaned peaks lie farther apart than twice that (checked up to m/z 2500), so that a peak has one
+    partner at most and the match is a band join on (record, m/z bucket); the scores are sums over it.
+    """
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"unknown method {unknown}; one of {', '.join(METHODS)}")
+    width = max(tol, ppm * 1e-6 * 2500)
+    if 2 * width > max(LEAST_GAP, 2 * tol):
+        raise ValueError("peaks that match must be nearer than half the gap of cleaned ones")
+    at = F.floor(F.col("ma") / width)
+    q = pairs.select("query_id", "library_index").distinct().join(_scored_peaks(a, "query_id", "a"), "query_id").withColumn("_at", at)
+    to = F.floor(F.col("mb") / width)
+    r = _scored_peaks(b, "library_index", "b").withColumnRenamed("library_index", "_l").withColumn("_to", F.explode(F.array(to - 1, to, to + 1)))
+    near = (F.col("library_index") == F.col("_l")) & (F.col("_at") == F.col("_to")) & (F.abs(F.col("ma") - F.col("mb")) <= F.greatest(F.lit(tol), ppm * 1e-6 * F.col("mb")))
+    g = q.join(r, near).groupBy("query_id", "library_index")
+    one = lambda c: F.max(c)
+    cosine = lambda s, x, y: F.least(F.coalesce(F.try_divide(s, F.sqrt(x * y)), F.lit(0.0)), F.lit(1.0))
+    clip = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    d = g.agg(
+        F.count("*").cast("int").alias("n_matched"),
+        clip(F.sum(_shared(F.col("pa"), F.col("pb")))).alias("entropy"),
+        clip(F.sum(_shared(F.col("wa"), F.col("wb")))).alias("weighted_entropy"),
+        cosine(F.sum(F.col("pa") * F.col("pb")), one("ppa"), one("ppb")).alias("dot"),
+        cosine(F.sum(F.col("da") * F.col("db")), one("dda"), one("ddb")).alias("weighted_dot"),
+        F.collect_list(F.struct("pa", "wb")).alias("m"),
+        F.sum("pa").alias("s"),
+        F.sum(F.col("pa") * F.log("pa")).alias("t"),
+    )
+    if "reverse_entropy" in methods:
+        # the query's matched peaks alone, as a spectrum of their own
+        d = d.withColumn("h", F.log("s") - F.col("t") / F.col("s"))
+        d = once(d, e=F.aggregate("m", F.lit(0.0), lambda x, p: x + _weighted(p["pa"] / F.col("s"), F.col("h"))))
+        d = d.withColumn("reverse_entropy", clip(F.aggregate("m", F.lit(0.0), lambda x, p: x + _shared(_weighted(p["pa"] / F.col("s"), F.col("h")) / F.col("e"), p["wb"]))))
+    out = pairs.select("query_id", "library_index").join(d, ["query_id", "library_index"], "left")
+    return out.select("query_id", "library_index", F.coalesce("n_matched", F.lit(0)).alias("n_matched"), *[F.coalesce(m, F.lit(0.0)).alias(m) for m in methods])
 
 
 def identify(queries: DataFrame, library: DataFrame, ppm: float = 10.0, method: str = "weighted_entropy", least: float = 0.1, tol: float = 0.02) -> DataFrame:
@@ -80,10 +142,10 @@ def identify(queries: DataFrame, library: DataFrame, ppm: float = 10.0, method:
     """
     q = queries.select("query_id", F.col("precursor_mz").alias("q_mz"), F.col("mode").alias("q_mode"))
     pairs = candidates(q, library, ppm).select("query_id", "library_index")
-    a = clean_spectra(queries.select("query_id", "peaks", "precursor_mz"), "query_id", tol).withColumnRenamed("clean", "a")
-    b = clean_spectra(library.select("library_index", "peaks", "precursor_mz"), "library_index", tol).withColumnRenamed("clean", "b")
-    s = score_pairs(pairs.join(a, "query_id").join(b, "library_index"), (method,), tol).filter((F.col(method) > least) & (F.col("n_matched") > 0))
-    return first_of(s, ["query_id"], [F.col(method).desc(), F.col("n_matched").desc(), F.col("library_index")], 2**31 - 1).select("query_id", "library_index", "rank", F.col(method).alias("score"), "n_matched")
+    a, b = clean_spectra(queries, "query_id", tol), clean_spectra(library, "library_index", tol)
+    s = score_pairs(pairs, a, b, (method,), tol).filter((F.col(method) > least) & (F.col("n_matched") > 0))
+    order = [F.col(method).desc(), F.col("n_matched").desc(), F.col("library_index")]
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select("query_id", "library_index", "rank", F.col(method).alias("score"), "n_matched")
 
 
 def _voted(spectra: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, tol: float, vote: float = 0.5, margin: float = 1.5, least: int = 2) -> tuple[list[float], list[float]]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lcspark.operators.impute import fill_block_groups, fill_features
+from lcspark.operators.impute import fill_block_groups, fill_features, fill_widths
 from lcspark.operators.regrid import regrid, scan_readings
 from lcspark.operators.rowparse import load_library_lines
-from lcspark.operators.spikes import flag_readings
+from lcspark.operators.spikes import flag_readings, impossible
+from lcspark.session import materialise
 from lcspark.sources.tables import read
 
 GRID_MINUTES = 0.05
@@ -37,7 +38,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    blocks = fill_block_groups(read(spark, d, "filled_mask"))
+    blocks = materialise(fill_block_groups(read(spark, d, "filled_mask")))
     return blocks, fill_features(read(spark, d, "aligned_feature_table"), blocks)
 
 
@@ -54,16 +55,28 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d)[1].select("group_id", "study", "n_filled", "n_filled_filled", "possible_halogen", "possible_halogen_filled")
 
 
+def p5_widths(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table's bounds and spread in time filled, with their masks."""
+    w = fill_widths(read(spark, d, "aligned_feature_table"))
+    return w.select("group_id", *[x for c in ("rt_min", "rt_max", "rt_sd") for x in (F.round(c, 6).alias(c), F.col(f"{c}_filled"))])
+
+
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     """The regular series of each run: time-weighted summed intensity, coverage and status of each cell."""
-    return regrid(scan_readings(read(spark, d, "scans"), read(spark, d, "points")), "run", "minutes", "inten", GRID_MINUTES)
+    g = regrid(scan_readings(read(spark, d, "scans"), read(spark, d, "points")), "run", "minutes", "inten", GRID_MINUTES)
+    return g.select("run", "cell", F.round("value", 3).alias("value"), F.round("coverage", 6).alias("coverage"), "n_readings", "status")
+
+
+def p4_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that no source can give, whatever its usual behaviour."""
+    return impossible(read(spark, d, "points")).select("run", "scan", "pos").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_grid(spark, d).filter("status != 'measured'").select("run", "cell")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p3_counts, p4_found, p5_found, p5_features, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p3_counts, p4_found, p4_impossible, p5_found, p5_features, p5_widths, p6_found, p6_grid)}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 _NUMBER = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -93,6 +106,33 @@ features as (select f.group_id, f.study, case when f.n_filled >= 0 then f.n_fill
   case when f.possible_halogen in ('yes', 'maybe', 'no') then f.possible_halogen else v.h end as possible_halogen, cast(coalesce(f.possible_halogen not in ('yes', 'maybe', 'no'), true) and v.h is not null as integer) as possible_halogen_filled
   from aligned_feature_table f left join counts c on f.group_id = c.group_id left join verdict v on f.compound_id = v.compound_id)
 """
+#: One numeric of the mixed-effects model: mean, effects of compound and of minute with their shrinkage, and the prediction, not below 0.
+_EFFECTS = """
+{c}_a as (select sum(y) / count(y) as mu, greatest((sum(y * y) - sum(y) * sum(y) / count(y)) / (count(y) - 1), 0) as v from {c}_y),
+{c}_t as (select minute, count(y) as n, avg(y) - (select mu from {c}_a) as d from {c}_y group by minute),
+{c}_u as (select greatest(coalesce(var_samp(d) - avg((select v from {c}_a) / greatest(n, 1)), 0), 0) as tau from {c}_t),
+{c}_te as (select minute, coalesce(case when tau > 0 then d * n / (n + (select v from {c}_a) / tau) else 0 end, 0) as e from {c}_t, {c}_u),
+{c}_g as (select compound_id, count(y) as n, avg(y) - (select mu from {c}_a) as d, var_samp(y) as w from {c}_y group by compound_id),
+{c}_n as (select coalesce(sum(w * (n - 1)) / sum(case when w is not null then n - 1 end), 0) as noise, coalesce(var_samp(d), 0) as spread from {c}_g),
+{c}_ge as (select compound_id, coalesce(d * n / (n + noise / greatest(spread - noise / greatest(n, 1), 1e-9::double)), 0) as e from {c}_g, {c}_n),
+{c}_p as (select y.group_id, greatest((select mu from {c}_a) + coalesce(g.e, 0) + coalesce(t.e, 0), 0) as p from {c}_y y left join {c}_ge g on y.compound_id = g.compound_id left join {c}_te t on y.minute = t.minute)"""
+_WIDTHS = "with f as (select *, concat_ws('|', study, cast(cast(floor(rt) as bigint) as varchar)) as minute from aligned_feature_table), " + ", ".join(
+    f"{c}_y as (select group_id, compound_id, minute, {e} as y from f)," + _EFFECTS.format(c=c) for c, e in (("l", "rt - rt_min"), ("r", "rt_max - rt"), ("s", "rt_sd"))
+)
+_GRID = """
+with units as (select run, max(case when lower(trim(rt_unit)) in ('second', 'minute') then lower(trim(rt_unit)) end) as u, max(rt) filter (isfinite(rt)) as most from scans group by run),
+o as (select run, scan, rt from scans where rt is not null and isfinite(rt) qualify row_number() over (partition by run, scan order by loaded_at desc nulls last, rt desc) = 1),
+sums as (select run, scan, sum(cast(inten as double)) as y from points where inten > 0 and isfinite(inten) group by run, scan),
+r as (select o.run, case when coalesce(u.u = 'second', u.most > 200) then o.rt / 60 else o.rt end as t, coalesce(s.y, 0) as y from o join units u on o.run = u.run left join sums s on o.run = s.run and o.scan = s.scan),
+sp as (select run, t, y, least(coalesce(lead(t) over (partition by run order by t), t), t + 0.05::double) as e from r),
+k as (select *, cast(floor(t / 0.05::double) as bigint) as k0, cast(floor(e / 0.05::double) as bigint) as k1 from sp),
+w as (select *, k0 + case when t < k0 * 0.05::double then -1 when t >= (k0 + 1) * 0.05::double then 1 else 0 end as own, k1 + case when e < k1 * 0.05::double then -1 when e >= (k1 + 1) * 0.05::double then 1 else 0 end as last from k),
+p as (select run, t, y, e, own, unnest(range(own, last + 1)) as cell from w),
+q as (select *, greatest(least(e, (cell + 1) * 0.05::double) - greatest(t, cell * 0.05::double), 0) as h from p),
+c as (select run, cell, coalesce(sum(y * h) / nullif(sum(h), 0), avg(y) filter (cell = own)) as value, least(sum(h) / 0.05::double, 1) as coverage, count(*) filter (cell = own) as n_readings from q group by run, cell),
+ends as (select run, min(cell) as a, max(cell) as b from c where n_readings > 0 group by run), full_ as (select run, unnest(range(a, b + 1)) as cell from ends)
+select f.run, f.cell, round(c.value, 3) as value, round(coalesce(c.coverage, 0), 6) as coverage, coalesce(c.n_readings, 0) as n_readings, case when c.n_readings > 0 then 'measured' when c.coverage > 0 then 'held' else 'missing' end as status
+from full_ f left join c on f.run = c.run and f.cell = c.cell"""
 ORACLES = {
     "p3_found": _PARSED + "select line_id, reason from parsed where reason is not null",
     "p3_loaded": _PARSED + """select line_id, lib, v[1] as name, try_cast(nullif(v[2], '') as double) as precursor_mz, v[3] as precursor_type, nullif(v[5], '') as formula, v[6] as inchikey,
@@ -102,5 +142,10 @@ ORACLES = {
   union all select 'aligned_feature_table', group_id, 'n_filled', group_id from features where n_filled_filled = 1
   union all select 'aligned_feature_table', group_id, 'possible_halogen', group_id from features where possible_halogen_filled = 1""",
     "p5_features": _FILLED + "select group_id, study, n_filled, n_filled_filled, possible_halogen, possible_halogen_filled from features",
+    "p4_impossible": "select distinct run, scan, pos from points where coalesce(isnan(inten) or inten <= 0 or inten > 1e12, false) or coalesce(isnan(mz) or mz < 50 or mz > 1700, false)",
+    "p5_widths": _WIDTHS + """ select f.group_id, round(coalesce(f.rt_min, f.rt - l_p.p), 6) as rt_min, cast(f.rt_min is null and f.rt is not null as integer) as rt_min_filled, round(coalesce(f.rt_max, f.rt + r_p.p), 6) as rt_max,
+  cast(f.rt_max is null and f.rt is not null as integer) as rt_max_filled, round(coalesce(f.rt_sd, s_p.p), 6) as rt_sd, cast(f.rt_sd is null and s_p.p is not null as integer) as rt_sd_filled
+  from f join l_p on f.group_id = l_p.group_id join r_p on f.group_id = r_p.group_id join s_p on f.group_id = s_p.group_id""",
+    "p6_grid": _GRID,
     "p6_found": _SCANS + ", r as (select run, min(cell) as a, max(cell) as b from c group by run) select run, unnest(range(a, b + 1)) as cell from r except select run, cell from c",
 }

@@ -138,18 +138,21 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return _library(spark, d).select(F.col("library_index").alias("query_id"), "precursor_mz", "mode", "peaks")
 
 
+#: Width of the searches below: analogues, not only equal precursors, so that a library finds more than itself.
+OPEN_PPM = 5000.0
+
+
 def q_scores(spark: SparkSession, d: str) -> DataFrame:
-    """All five scores of every pair of records of one precursor and mode."""
-    q = _queries(spark, d)
-    pairs = s.candidates(q.select("query_id", F.col("precursor_mz").alias("q_mz"), F.col("mode").alias("q_mode")), _library(spark, d)).filter("query_id < library_index")
+    """All five scores of every pair of records of near precursors and one mode."""
+    q = _queries(spark, d).select("query_id", F.col("precursor_mz").alias("q_mz"), F.col("mode").alias("q_mode"))
+    pairs = s.candidates(q, _library(spark, d), OPEN_PPM).filter("query_id < library_index")
     c = s.clean_spectra(_library(spark, d), "library_index")
-    pairs = pairs.join(c.withColumnRenamed("library_index", "query_id").withColumnRenamed("clean", "a"), "query_id").join(c.withColumnRenamed("clean", "b"), "library_index")
-    return s.score_pairs(pairs).select("query_id", "library_index", "n_matched", *[F.round(m, 6).alias(m) for m in METHODS])
+    return s.score_pairs(pairs, c.withColumnRenamed("library_index", "query_id"), c).select("query_id", "library_index", "n_matched", *[F.round(m, 6).alias(m) for m in METHODS])
 
 
 def q_identify(spark: SparkSession, d: str) -> DataFrame:
-    """Every record searched in the whole library, itself left out."""
-    hits = s.identify(_queries(spark, d), _library(spark, d)).filter("query_id != library_index")
+    """Every record searched in the whole library for analogues, itself left out; hits of a score above 0.02 are listed."""
+    hits = s.identify(_queries(spark, d), _library(spark, d), OPEN_PPM, least=0.02).filter("query_id != library_index")
     return hits.select("query_id", "library_index", F.round("score", 6).alias("score"), "n_matched")
 
 
@@ -168,6 +171,24 @@ def q_denoise(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
+#: Cleaned spectra and their scores. Crowded peaks are merged as islands, which equals the rule where none holds more than its strongest peak reaches.
+CLEAN = """with raw as (select library_index, precursor_mz, unnest(peaks, recursive := true) from library),
+f as (select library_index, mz, inten::double as i from raw where isfinite(mz) and isfinite(inten) and inten > 0 and not coalesce(precursor_mz > 0 and mz >= precursor_mz - 1.6, false)),
+g as (select *, case when mz - lag(mz) over (partition by library_index order by mz) <= 0.05::double then 0 else 1 end as new from f),
+h as (select *, sum(new) over (partition by library_index order by mz) as isl from g),
+m as (select library_index, sum(mz * i) / sum(i) as mz, sum(i) as i from h group by library_index, isl),
+k as (select *, max(i) over (partition by library_index) as top from m), c as (select library_index, mz, i / sum(i) over (partition by library_index) as p from k where i >= 0.01::double * top),
+s as (select *, -sum(p * ln(p)) over (partition by library_index) as ent, p ** 0.6::double * mz ** 3 as d from c),
+t as (select *, case when ent < 3 then p ** (0.25 + 0.25 * ent) else p end as u from s),
+v as (select *, u / sum(u) over (partition by library_index) as w, sum(p * p) over (partition by library_index) as pp, sum(d * d) over (partition by library_index) as dd from t),
+cand as (select a.library_index as q, b.library_index as l from library a join library b on a.library_index <> b.library_index and abs(b.precursor_mz - a.precursor_mz) <= a.precursor_mz * (5000.0::double / 1e6) and (a.mode = b.mode or a.mode = 0 or b.mode = 0)),
+x as (select cand.q, cand.l, a.p as pa, b.p as pb, a.w as wa, b.w as wb, a.d as da, b.d as db, a.pp as ppa, b.pp as ppb, a.dd as dda, b.dd as ddb, sum(a.p) over y as sm, sum(a.p * ln(a.p)) over y as tm
+  from cand join v a on a.library_index = cand.q join v b on b.library_index = cand.l and abs(a.mz - b.mz) <= 0.02::double window y as (partition by cand.q, cand.l)),
+z as (select *, case when ln(sm) - tm / sm < 3 then (pa / sm) ** (0.25 + 0.25 * (ln(sm) - tm / sm)) else pa / sm end as r from x), z2 as (select *, r / sum(r) over (partition by q, l) as rw from z),
+scored as (select q, l, count(*) as n, greatest(least(sum(0.5 * ((pa + pb) * log2(pa + pb) - pa * log2(pa) - pb * log2(pb))), 1), 0) as entropy,
+  greatest(least(sum(0.5 * ((wa + wb) * log2(wa + wb) - wa * log2(wa) - wb * log2(wb))), 1), 0) as weighted_entropy, least(sum(pa * pb) / sqrt(max(ppa) * max(ppb)), 1) as dot, least(sum(da * db) / sqrt(max(dda) * max(ddb)), 1) as weighted_dot,
+  greatest(least(sum(0.5 * ((rw + wb) * log2(rw + wb) - rw * log2(rw) - wb * log2(wb))), 1), 0) as reverse_entropy from z2 group by q, l)
+"""
 HITS = "with h as (select * from identifications where group_id is not null and spectrum is not null and score is not null and isfinite(score))"
 _ATOMS = "masses as (select * from (values " + ", ".join(f"('{e}', {m!r}::double)" for e, m in MASS.items()) + ") t(e, m))"
 _ORDER_E = ["C", "H", *sorted(e for e in MASS if e not in ("C", "H"))]
@@ -204,6 +225,8 @@ c as (select library_index, i, top, sum(i) over (partition by library_index) as
     "q_confusion": HITS + """, c as (select spectrum, count(*) filter (t and p) as tp, count(*) filter (t and not p) as fn, count(*) filter (not t and p) as fp, count(*) filter (not t and not p) as tn from (select spectrum, coalesce(abs(ppm_error) <= 10, false) as t, score >= 0.5 as p from h) group by spectrum)
 select *, round(tp / nullif(tp + fn, 0), 6) as recall, round(tp / nullif(tp + fp, 0), 6) as precision, round(fp / nullif(fp + tn, 0), 6) as fpr from c""",
     "q_unique_keys": "select group_id, denoise_ion, count(*) as n_hits, min(denoise_key) as first_key from identifications where denoise_ion is not null and group_id is not null group by 1, 2",
+    "q_scores": CLEAN + " select cand.q as query_id, cand.l as library_index, cast(coalesce(n, 0) as integer) as n_matched, " + ", ".join(f"round(coalesce({m}, 0), 6) as {m}" for m in METHODS) + " from cand left join scored on cand.q = scored.q and cand.l = scored.l where cand.q < cand.l",
+    "q_identify": CLEAN + " select q as query_id, l as library_index, round(weighted_entropy, 6) as score, cast(n as integer) as n_matched from scored where weighted_entropy > 0.02",
     "q_library_hits": HITS + " select l.library_index, count(h.hit_id) as n_hits, count(distinct h.group_id) as n_features from library l left join h on l.library_index = h.library_index group by 1",
 }
 ORACLES["q_library_candidates_whole"] = by_run(ORACLES["q_library_candidates"])

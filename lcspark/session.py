@@ -28,11 +28,14 @@ def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that its plan is cut and lost executors cost no recomputation.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a local folder made.
+    The folder is ``spark.checkpoint.dir``. Only a local session, where driver and executors are one machine, makes one where that is unset.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

@@ -100,19 +100,43 @@ def _s(d):
     return np.array(m, float), x / x.sum()
 
 
-def test_scores_by_hand():
-    a, b = _s({100: 60, 200: 40}), _s({100: 60, 300: 40})
-    assert fs.similarity(a, b, "entropy") == (pytest.approx(0.6), 1)
-    assert fs.similarity(a, b, "dot")[0] == pytest.approx(0.36 / 0.52)
+def _scored(spark, rows, **kw):
+    """Scores of pairs of cleaned spectra, given as {m/z: share}, one row a pair."""
+    side = lambda k, key: spark.createDataFrame([(n, [(float(m), float(v) / sum(r[k].values())) for m, v in sorted(r[k].items())]) for n, r in enumerate(rows)], f"{key} bigint, clean array<struct<mz:double,share:double>>")
+    pairs = spark.createDataFrame([(n, n) for n in range(len(rows))], "query_id bigint, library_index bigint")
+    return spectra.score_pairs(pairs, side(0, "query_id"), side(1, "library_index"), **kw).orderBy("query_id").collect()
+
+
+def test_scores_by_hand(spark):
+    a, b = {100: 60, 200: 40}, {100: 60, 300: 40}
+    flat_a, flat_b = {100 + i: 1 for i in range(30)}, {110 + i: 1 for i in range(30)}
+    got = _scored(spark, [(a, b), (flat_a, flat_b), ({100: 60, 200: 40, 250: 70}, a), ({900: 1}, {901: 1}), (a, {})])
+    assert got[0].entropy == pytest.approx(0.6) and got[0].n_matched == 1 and got[0].dot == pytest.approx(0.36 / 0.52)
     e = -(0.6 * math.log(0.6) + 0.4 * math.log(0.4))
     w = 0.25 + 0.25 * e
-    assert fs.similarity(a, b, "weighted_entropy")[0] == pytest.approx(0.6**w / (0.6**w + 0.4**w))
-    flat_a, flat_b = _s({100 + i: 1 for i in range(30)}), _s({110 + i: 1 for i in range(30)})
-    assert fs.similarity(flat_a, flat_b, "entropy")[0] == pytest.approx(20 / 30) == fs.similarity(flat_a, flat_b, "weighted_entropy")[0]
-    assert fs.similarity(_s({100: 60, 200: 40, 250: 70}), a, "reverse_entropy")[0] == pytest.approx(1)
-    assert fs.similarity(_s({900: 1}), _s({901: 1}), "entropy", 0.1) == (0.0, 0) and fs.similarity(a, (np.empty(0), np.empty(0)), "dot") == (0.0, 0)
-    x, y = (np.array([150.0, 900.0]), np.array([0.5, 0.5])), (np.array([150.004, 900.006]), np.array([0.5, 0.5]))
-    assert [fs.similarity(x, y, "dot", t, p)[1] for t, p in ((0.003, 0), (0.003, 10), (0.005, 10))] == [0, 1, 2]
+    assert got[0].weighted_entropy == pytest.approx(0.6**w / (0.6**w + 0.4**w))
+    d = [0.6**0.6 * 100**3, 0.4**0.6 * 200**3, 0.4**0.6 * 300**3]
+    assert got[0].weighted_dot == pytest.approx(d[0] ** 2 / math.sqrt((d[0] ** 2 + d[1] ** 2) * (d[0] ** 2 + d[2] ** 2)))
+    assert got[1].entropy == pytest.approx(20 / 30) == got[1].weighted_entropy and got[2].reverse_entropy == pytest.approx(1)
+    assert all(tuple(r)[2:] == (0, 0.0, 0.0, 0.0, 0.0, 0.0) for r in got[3:])
+    x, y = {150.0: 1, 900.0: 1}, {150.004: 1, 900.006: 1}
+    assert [_scored(spark, [(x, y)], tol=t, ppm=p)[0].n_matched for t, p in ((0.003, 0), (0.003, 10), (0.005, 10))] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        _scored(spark, [(x, y)], ppm=100)
+    with pytest.raises(ValueError):
+        _scored(spark, [(x, y)], methods=("other",))
+
+
+def test_cleaning_in_the_jvm_equals_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, None if k % 5 == 0 else 300.0, [(float(m), float(i)) for m, i in zip(np.round(rng.uniform(50, 400, n), 2), rng.uniform(0, 100, n))]) for k, n in enumerate(rng.integers(0, 120, 40).tolist())]
+    rows += [(90, 200.0, None), (91, 0.0, [(float("nan"), 1.0), (60.0, float("nan")), (70.0, None), (80.0, -1.0), (90.0, 5.0), (90.01, 4.0)])]
+    d = spark.createDataFrame(rows, "id bigint, precursor_mz double, peaks array<struct<mz:double,inten:double>>").withColumn("p", F.lit(1))
+    got = {r.id: [(p.mz, p.share) for p in r.clean] for r in spectra.clean_spectra(d, "id").collect()}
+    for k, prec, p in rows:
+        p = [x for x in p or [] if x[1] is not None]
+        m, s = fs.cleaned([x[0] for x in p], [x[1] for x in p], prec)
+        assert got[k] == [pytest.approx(x) for x in zip(m.tolist(), s.tolist())]
 
 
 def test_cleaning_by_hand():
