@@ -40,7 +40,7 @@ MISS = 1.5
 #: More words than an item may have before its offset in a document would be negative beyond this.
 FAR = 1 << 30
 #: Places by which an alignment may run ahead of or behind the voted offset, in words.
-BAND_BEFORE, BAND_AFTER = 16, 24
+BAND_BEFORE, BAND_AFTER = 14, 20
 #: Most items, and most signs of their texts, whose keys every task holds; beyond either, keys are joined.
 HELD_ITEMS, HELD_SIGNS = 5_000, 20_000_000
 #: Bits of the bitmap that filters the documents' keys before the join.
@@ -94,7 +94,9 @@ def size_class(n_words: int) -> int:
 
 def needed(n_words: int) -> tuple[int, int]:
     """Votes of one offset, and words between the first and last of their places in the item, that make a candidate."""
-    return (n_words // 5, n_words // 6) if size_class(n_words) else (1, 0)
+    if not size_class(n_words):
+        return 1, 0
+    return (n_words // 4, n_words // 5) if n_words >= 48 else (n_words // 5, n_words // 6)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, salt: int) -> np.ndarray:
@@ -159,11 +161,17 @@ class Items:
     seen: np.ndarray
 
 
-SEEN_BITS = 22
 #: Most pairs of a chunk of documents whose votes are counted before they are sorted.
 PAIRS_COUNTED = 20_000_000
 
 
+def _marked(keys: np.ndarray) -> np.ndarray:
+    """A table of the low bits of keys, 32 places for each, in small memory where they are few."""
+    seen = np.zeros(1 << min(max(12, int(len(keys)).bit_length() + 5), 26), bool)
+    seen[keys & np.uint64(len(seen) - 1)] = True
+    return seen
+
+
 def index_items(ids: list[int], texts: list[str], headers: str = PAGE_HEADERS, keyed: bool = True) -> Items:
     h = Hashes(headers)
     lists = [h(t or "") for t in texts]
@@ -177,8 +185,7 @@ def index_items(ids: list[int], texts: list[str], headers: str = PAGE_HEADERS, k
         of.append(steps), keys.append(k), item.append(np.full(len(k), i, np.int32)), at.append(s)
     keys, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
     order = np.argsort(keys, kind="stable")
-    seen = np.zeros(1 << SEEN_BITS, bool)
-    seen[keys & np.uint64((1 << SEEN_BITS) - 1)] = True
+    seen = _marked(keys)
     need = np.array([needed(len(w)) for w in lists], np.int64).reshape(-1, 2)
     known = np.unique(np.concatenate([phrase_keys(np.array(w, np.uint64)) for w in lists] or [keys[:0]]))
     return Items(np.array(ids, np.int64), np.array([x for w in lists for x in w], np.uint64), start, tuple(sorted(set(of) - {0})), need, known, keys[order], item[order], at[order], seen)
@@ -194,18 +201,21 @@ def document_keys(tokens: np.ndarray, classes: tuple[int, ...]) -> Iterator[tupl
 
 def elected(doc: np.ndarray, item: np.ndarray, off: np.ndarray, at: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, item and offset of the pairs whose votes in a bin of offsets are as many, and as far apart, as ``need`` of the item says."""
-    # every vote counts in two bins that overlap by half
+    # votes are counted in half bins, and each half bin is taken together with the next one
     n_items = len(need)
-    pair = doc * n_items + item
-    bins = np.concatenate([(off + FAR) // (BIN // 2), (off + FAR) // (BIN // 2) - 1])
-    code = np.concatenate([pair, pair]) * (1 << 32) + bins
-    both, place = np.concatenate([off, off]), np.concatenate([at, at])
+    code = (doc * n_items + item) * (1 << 32) + (off + FAR) // (BIN // 2)
     order = np.argsort(code, kind="stable")
-    code, both, place = code[order], both[order], place[order]
+    code, off, at = code[order], off[order], at[order]
     cut = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    n = np.diff(np.append(cut, len(code)))
-    mean = np.add.reduceat(both, cut) / n
-    wide = np.maximum.reduceat(place, cut) - np.minimum.reduceat(place, cut)
+    n, total = np.diff(np.append(cut, len(code))), np.add.reduceat(off, cut)
+    low, high = np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut)
+    x = np.flatnonzero(code[cut][1:] == code[cut][:-1] + 1)
+    both_n, both_total = n.copy(), total.copy()
+    both_n[x] += n[x + 1]
+    both_total[x] += total[x + 1]
+    wide = high - low
+    wide[x] = np.maximum(high[x], high[x + 1]) - np.minimum(low[x], low[x + 1])
+    n, mean = both_n, both_total / both_n
     of = (code[cut] >> 32) % n_items
     ok = (n >= need[of, 0]) & (wide >= need[of, 1])
     code, mean, n = code[cut][ok], np.round(mean[ok]).astype(np.int64), n[ok]
@@ -221,7 +231,7 @@ def elected(doc: np.ndarray, item: np.ndarray, off: np.ndarray, at: np.ndarray,
 
 def candidates(tokens: np.ndarray, doc_start: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, item and offset (document place of the item's first word) of the pairs with enough votes."""
-    mask = np.uint64((1 << SEEN_BITS) - 1)
+    mask = np.uint64(len(items.seen) - 1)
     where, which = [], []
     for starts, k in document_keys(tokens, items.classes):
         x = np.flatnonzero(items.seen[k & mask])
@@ -352,11 +362,10 @@ def _distinct_in_documents(tokens: np.ndarray, start: np.ndarray) -> tuple[np.nd
 
 def _search(items: Items, share: float, headers: str):
     """A map over documents for items that a task holds: pairs, and how many documents hold each phrase of an item."""
-    mask = np.uint64((1 << SEEN_BITS) - 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SEEN_BITS, bool)
-        seen[items.phrases & mask] = True
+        seen = _marked(items.phrases)
+        mask = np.uint64(len(seen) - 1)
         n, docs = np.zeros(len(items.phrases), np.int64), 0
         for ids, text_ids, hashes in _chunks(batches, headers):
             tokens, start = _padded(hashes)
