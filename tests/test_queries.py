@@ -1,9 +1,9 @@
 import pytest
 from sqlcheck import connection, same
 
-from lcspark.plans import features, graphs, prep, shape, spectra, streams, traces
+from lcspark.plans import align, features, graphs, prep, shape, spectra, streams, traces, truth
 
-MODULES = (prep, traces, shape, features, spectra, streams, graphs)
+MODULES = (prep, traces, shape, features, spectra, streams, graphs, align, truth)
 QUERIES = {k: (f, m.ORACLES.get(k)) for m in MODULES for k, f in m.QUERIES.items()}
 
 
