@@ -454,20 +454,22 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     """
     secret = key.encode()
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            draws = [[surrogate(secret, x, y, k) for k in range(DRAWS)] for x, y in zip(t, v)]
-            last = [f"{_digest(secret, x, y):032x}" for x, y in zip(t, v)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[*d, d[0] + "-" + z] for d, z in zip(draws, last)], pa.list_(pa.string()))], names=["type", "value", "draws"])
+    def draw(k: int):
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+                out = [surrogate(secret, x, y, k) if k < DRAWS else f"{surrogate(secret, x, y)}-{_digest(secret, x, y):032x}" for x, y in zip(t, v)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["type", "value", "s"])
+
+        return make
 
-    parts = materialise(found.select(F.explode("parts").alias("p")).select("p.type", "p.value").distinct().mapInArrow(make, "type string, value string, draws array<string>"))
-    done = parts.filter("type = 'initial'").select("type", "value", F.element_at("draws", 1).alias("surrogate"))
+    parts = materialise(found.select(F.explode("parts").alias("p")).select("p.type", "p.value").distinct())
     left = parts.filter("type != 'initial'")
+    done = parts.filter("type = 'initial'").mapInArrow(draw(0), "type string, value string, surrogate string")
     none = F.lit(None).cast("string")
     taken = left.select("type", F.col("value").alias("s"), none.alias("value"))
     for k in range(DRAWS):
-        drawn = left.select("type", F.element_at("draws", k + 1).alias("s"), "value")
+        drawn = left.mapInArrow(draw(k), "type string, value string, s string").select("type", "s", "value")
         met = drawn.unionByName(taken).groupBy("type", "s").agg(F.count("*").alias("n"), F.max("value").alias("value"))
         won = materialise(met.filter("n = 1 and value is not null").select("type", "value", F.col("s").alias("surrogate")))
         done = done.unionByName(won)
@@ -475,7 +477,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             return done
         taken = taken.unionByName(won.select("type", F.col("surrogate").alias("s"), none.alias("value")))
-    return done.unionByName(left.select("type", "value", F.element_at("draws", DRAWS + 1).alias("surrogate")))
+    return done.unionByName(left.mapInArrow(draw(DRAWS), "type string, value string, surrogate string"))
 
 
 def pseudonymised(documents: DataFrame, key: str) -> DataFrame:
