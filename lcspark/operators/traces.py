@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcspark.band import band_join
+from lcspark.session import materialise
 
 LOWEST, HIGHEST = 50.0, 1700.0
 
@@ -55,20 +56,43 @@ def chromatogram(points: DataFrame, targets: DataFrame, ppm: float = 10.0) -> Da
 def boxes(trace: DataFrame, times: DataFrame, features: DataFrame) -> DataFrame:
     """``(run, group_id, n_scans, height, area)`` of each feature's box in each run: the highest centroid and the trapezoid over the scans present."""
     t = trace.join(times.select("run", "scan", "minutes"), ["run", "scan"])
-    f = features.select(F.col("group_id").alias("_g"), "rt_min", "rt_max")
-    d = t.join(f, (F.col("group_id") == F.col("_g")) & F.col("minutes").between(F.col("rt_min"), F.col("rt_max")))
+    f = features.select(F.col("group_id").alias("_g"), F.col("study").alias("_s"), "rt_min", "rt_max")
+    d = t.join(f, (F.col("group_id") == F.col("_g")) & (study_of(F.col("run")) == F.col("_s")) & F.col("minutes").between(F.col("rt_min"), F.col("rt_max")))
     w = Window.partitionBy("run", "group_id").orderBy("minutes", "scan")
     d = d.withColumn("_a", (F.col("minutes") - F.lag("minutes").over(w)) * (F.col("inten") + F.lag("inten").over(w)) / 2)
     return d.groupBy("run", "group_id").agg(F.count("*").alias("n_scans"), F.max("inten").alias("height"), F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
 
 
+def ranked_value(df: DataFrame, key: list[str], value: str, q: float, steps: int = 64) -> DataFrame:
+    """``(*key, value)``: the exact quantile, interpolated between ranks, of positive values, however many a key has.
+
+    Values are counted in logarithmic bins (``steps`` an octave, map-side combined); only the bins that hold the two ranks are looked at again, and
+    the values in them counted by themselves, so that no state keeps all values of a key.
+    """
+    d = df.withColumn("_b", F.floor(F.log2(value) * steps))
+    n = d.groupBy(*key, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*key).orderBy("_b")
+    n = n.withColumn("_to", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*key)))
+    at = q * (F.col("_all") - 1)
+    n = n.withColumn("_lo", F.floor(at)).withColumn("_part", at - F.floor(at)).withColumn("_from", F.col("_to") - F.col("_n"))
+    n = n.filter((F.col("_from") <= F.least(F.col("_lo") + 1, F.col("_all") - 1)) & (F.col("_to") > F.col("_lo")))
+    inside = d.join(n.select(*key, "_b", "_from", "_lo", "_part", "_all"), [*key, "_b"]).groupBy(*key, "_b", "_from", "_lo", "_part", "_all", value).agg(F.count("*").alias("_n"))
+    r = Window.partitionBy(*key, "_b").orderBy(value)
+    inside = inside.withColumn("_to", F.col("_from") + F.sum("_n").over(r)).withColumn("_at", F.col("_to") - F.col("_n"))
+    one = lambda k: F.max(F.when((F.col("_at") <= k) & (F.col("_to") > k), F.col(value)))
+    high = F.least(F.col("_lo") + 1, F.col("_all") - 1)
+    g = inside.groupBy(*key).agg(one(F.col("_lo")).alias("a"), one(high).alias("b"), F.max("_part").alias("p"))
+    return g.select(*key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("p")).alias(value))
+
+
 def noise_cells(points: DataFrame, times: DataFrame, bands: int = 16, least: int = 50) -> DataFrame:
     """``(run, band, block, n, noise)``: median intensity per logarithmic m/z band and minute; cells of fewer than ``least`` centroids take the
     run's first percentile."""
     p = valid_points(points).filter(F.col("mz").between(LOWEST, HIGHEST)).join(times.select("run", "scan", "minutes"), ["run", "scan"])
     band = F.least(F.floor(bands * F.log(F.col("mz") / LOWEST) / F.log(F.lit(HIGHEST / LOWEST))), F.lit(bands - 1)).cast("int")
     p = p.select("run", band.alias("band"), F.floor("minutes").cast("int").alias("block"), "inten")
-    floor_ = p.groupBy("run").agg(F.percentile("inten", 0.01).alias("_floor"))
+    p = materialise(p)
+    floor_ = ranked_value(p, ["run"], "inten", 0.01).withColumnRenamed("inten", "_floor")
     cells = p.groupBy("run", "band", "block").agg(F.count("*").alias("n"), F.median("inten").alias("_m"))
     return cells.join(floor_, "run").select("run", "band", "block", "n", F.when(F.col("n") >= least, F.col("_m")).otherwise(F.col("_floor")).alias("noise"))
 

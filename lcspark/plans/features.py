@@ -9,7 +9,7 @@ from lcspark.operators import features as f
 from lcspark.operators import stats
 from lcspark.operators.impute import fill_block_groups
 from lcspark.operators.traces import by_run, run_key
-from lcspark.session import materialise
+from lcspark.session import materialise, small
 from lcspark.sources.tables import read
 
 
@@ -72,15 +72,16 @@ def q_isolated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_mutual_unique(spark: SparkSession, d: str) -> DataFrame:
-    """Features of neighbouring studies that are each other's only match."""
+    """Features of neighbouring studies that are each other's only match within 500 ppm and a minute: studies of other calibrations."""
     t = _features(spark, d).withColumn("n", F.substring("study", 3, 9).cast("int"))
     a = t.select(F.col("group_id").alias("a"), F.col("n").alias("key"), F.col("mz").alias("mz_a"), F.col("rt").alias("rt_a"))
     b = t.select(F.col("group_id").alias("b"), (F.col("n") - 1).alias("key"), F.col("mz").alias("mz_b"), F.col("rt").alias("rt_b"))
-    return f.mutual_matches(a, b).select("a", "b", r("drt"))
+    return f.mutual_matches(a, b, 500.0, 1.0).select("a", "b", r("drt"))
 
 
 def q_isotopes(spark: SparkSession, d: str) -> DataFrame:
-    return f.possible_isotopes(_features(spark, d))
+    """Parents one to three isotope steps below, by nominal mass and half a minute."""
+    return f.possible_isotopes(_features(spark, d), 1000.0, 0.5)
 
 
 def q_isomers(spark: SparkSession, d: str) -> DataFrame:
@@ -118,14 +119,15 @@ def q_coelute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_relations(spark: SparkSession, d: str) -> DataFrame:
-    return f.mass_relations(f.coeluting(_features(spark, d)))
+    """Known differences, by nominal mass, of features that elute within a tenth of a minute."""
+    return f.mass_relations(f.coeluting(_features(spark, d), 0.1), 1000.0)
 
 
 def q_strata(spark: SparkSession, d: str) -> DataFrame:
     """Anchors: the twenty best detected features in each of twenty time bins of a study."""
     t = _features(spark, d).select("study", "group_id", "rt", "n_detected", "mz").filter("rt is not null")
     ends = t.groupBy("study").agg(F.min("rt").alias("_lo"), F.max("rt").alias("_hi"))
-    t = t.join(F.broadcast(ends), "study").withColumn("bin", F.least(F.floor(20 * F.coalesce(F.try_divide(F.col("rt") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))), F.lit(19)).cast("int"))
+    t = t.join(small(ends), "study").withColumn("bin", F.least(F.floor(20 * F.coalesce(F.try_divide(F.col("rt") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))), F.lit(19)).cast("int"))
     w = Window.partitionBy("study", "bin").orderBy(F.col("n_detected").desc(), "group_id")
     return t.withColumn("k", F.row_number().over(w)).filter("k <= 20").select("study", "bin", "k", "group_id")
 
@@ -181,7 +183,7 @@ def q_union_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs by the tables they occur in: unions, intersections and differences of the run lists."""
     s, p, m = (read(spark, d, t).select(F.col(c).alias("run")) for t, c in (("scans", "run"), ("points", "run"), ("filled_mask", "run")))
     label = lambda x, name: x.select("run", F.lit(name).alias("part"))
-    return label(s.union(m).distinct(), "any").union(label(s.intersect(m), "both")).union(label(p.exceptAll(p.intersect(m)).distinct().join(m, "run", "left_anti"), "not_aligned"))
+    return label(s.union(m).distinct(), "any").union(label(s.intersect(m), "both")).union(label(p.distinct().join(m.distinct(), "run", "left_anti"), "not_aligned"))
 
 
 def q_group_members(spark: SparkSession, d: str) -> DataFrame:
@@ -210,14 +212,14 @@ select m.group_id, count(*) as n_detected, k.mz, round(median(m.rt), 6) as rt, r
     "q_cube": "select iso_offset, charge, count(*) as n, count(distinct compound_id) as n_compounds from aligned_feature_table group by cube (iso_offset, charge)",
     "q_isolated": "select group_id from aligned_feature_table a where not exists (select 1 from aligned_feature_table b where a.study = b.study and a.group_id <> b.group_id and abs(b.mz - a.mz) <= a.mz * (10.0::double / 1e6) and abs(b.rt - a.rt) <= 0.5::double)",
     "q_mutual_unique": """with t as (select group_id, cast(substr(study, 3) as integer) as n, mz, rt from aligned_feature_table), p as (select x.group_id as a, y.group_id as b, y.rt - x.rt as drt, count(*) over (partition by x.group_id) as na, count(*) over (partition by y.group_id) as nb
-from t x join t y on y.n = x.n + 1 and abs(y.mz - x.mz) <= x.mz * (10.0::double / 1e6) and abs(y.rt - x.rt) <= 0.2::double) select a, b, round(drt, 6) as drt from p where na = 1 and nb = 1""",
+from t x join t y on y.n = x.n + 1 and abs(y.mz - x.mz) <= x.mz * (500.0::double / 1e6) and abs(y.rt - x.rt) <= 1.0::double) select a, b, round(drt, 6) as drt from p where na = 1 and nb = 1""",
     "q_isotopes": """with c as (select study, group_id, rt, n_detected, k, mz - k * 1.0033548378::double / charge as below from aligned_feature_table, unnest([1, 2, 3]) t(k) where charge > 0)
-select c.group_id, p.group_id as parent_id, c.k from c join aligned_feature_table p on c.study = p.study and abs(p.mz - c.below) <= c.below * (5.0::double / 1e6) and p.n_detected > c.n_detected and abs(p.rt - c.rt) <= 0.05::double
+select c.group_id, p.group_id as parent_id, c.k from c join aligned_feature_table p on c.study = p.study and abs(p.mz - c.below) <= c.below * (1000.0::double / 1e6) and p.n_detected > c.n_detected and abs(p.rt - c.rt) <= 0.5::double
 qualify row_number() over (partition by c.group_id order by p.n_detected desc, c.k, p.group_id) = 1""",
     "q_isomers": PAIRS + " select study, a, b, round(gap * 60, 6) as gap_s from p",
     "q_codetect": PAIRS + ", s as (select distinct group_id, run from filled_mask where filled = 0 and group_id >= 1) select p.a, p.b, count(y.run) as n_codetected from p left join s x on p.a = x.group_id left join s y on p.b = y.group_id and x.run = y.run group by p.a, p.b",
     "q_coelute": COELUTE + " select group_id, count(*) as n from (select a as group_id from p union all select b from p) group by group_id",
-    "q_relations": COELUTE + ", k as (select * from (values " + ", ".join(f"('{n}', {v!r}::double)" for n, v in f.RELATIONS.items()) + ") t(relation, delta)) select p.a, p.b, k.relation from p join k on abs(abs(p.mz_a - p.mz_b) - k.delta) <= greatest(p.mz_a, p.mz_b) * (10.0::double / 1e6) qualify row_number() over (partition by p.a, p.b order by abs(abs(p.mz_a - p.mz_b) - k.delta), k.relation) = 1",
+    "q_relations": COELUTE.replace("<= 0.02::double", "<= 0.1::double") + ", k as (select * from (values " + ", ".join(f"('{n}', {v!r}::double)" for n, v in f.RELATIONS.items()) + ") t(relation, delta)) select p.a, p.b, k.relation from p join k on abs(abs(p.mz_a - p.mz_b) - k.delta) <= greatest(p.mz_a, p.mz_b) * (1000.0::double / 1e6) qualify row_number() over (partition by p.a, p.b order by abs(abs(p.mz_a - p.mz_b) - k.delta), k.relation) = 1",
     "q_strata": """with e as (select study, group_id, n_detected, rt, min(rt) over (partition by study) as lo, max(rt) over (partition by study) as hi from aligned_feature_table where rt is not null),
 b as (select study, group_id, n_detected, cast(least(floor(20 * coalesce((rt - lo) / nullif(hi - lo, 0), 0)), 19) as integer) as bin from e)
 select study, bin, cast(row_number() over (partition by study, bin order by n_detected desc nulls last, group_id) as integer) as k, group_id from b qualify row_number() over (partition by study, bin order by n_detected desc nulls last, group_id) <= 20""",

@@ -11,7 +11,7 @@ from lcspark.functions.spectra import METHODS
 from lcspark.operators import spectra as s
 from lcspark.operators.stats import confusion
 from lcspark.operators.traces import by_run, run_key
-from lcspark.session import once
+from lcspark.session import once, small
 from lcspark.sources.tables import read
 
 
@@ -66,11 +66,11 @@ def q_annotation(spark: SparkSession, d: str) -> DataFrame:
 def _library_candidates(spark: SparkSession, d: str, run: Column) -> DataFrame:
     mode = read(spark, d, "scans").groupBy(F.col("run").alias("file")).agg(F.max(F.when(F.lower(F.trim("polarity")).startswith("pos"), 1).when(F.lower(F.trim("polarity")).startswith("neg"), 2).otherwise(0)).alias("q_mode"))
     q = read(spark, d, "ms2_map").filter("precursor_mz > 0").select("map_id", run.alias("file"), F.col("precursor_mz").alias("q_mz")).join(mode, "file")
-    return s.candidates(q, _library(spark, d)).select("map_id", "library_index")
+    return s.candidates(q, _library(spark, d), 200.0).select("map_id", "library_index")
 
 
 def q_library_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Records that may explain each MS2 spectrum: precursor within 10 ppm and a compatible mode (positive by the run's polarity). Runs as ``file`` is written."""
+    """Records that may explain each MS2 spectrum: precursor within 200 ppm and a compatible mode (positive by the run's polarity). Runs as ``file`` is written."""
     return _library_candidates(spark, d, F.col("file"))
 
 
@@ -83,7 +83,7 @@ def q_library_index(spark: SparkSession, d: str) -> DataFrame:
     """Several libraries as one: a global index from each library's offset and record number."""
     n = _library(spark, d).groupBy("lib").agg((F.max("rec") + 1).cast("bigint").alias("n"))
     n = n.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("lib").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return _library(spark, d).join(F.broadcast(n), "lib").select("lib", "rec", (F.col("first") + F.col("rec")).alias("global_index"))
+    return _library(spark, d).join(small(n), "lib").select("lib", "rec", (F.col("first") + F.col("rec")).alias("global_index"))
 
 
 def q_formula(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +210,7 @@ qualify row_number() over (partition by m.map_id order by f.n_detected desc, abs
     "q_listing": HITS + " select group_id, library_index, max(score) as best, count(distinct spectrum) as n_copies from h group by 1, 2 having bool_or(score > 0.1 and n_matched > 0)",
     "q_annotation": DEFAULT + " select f.group_id, coalesce(b.name, '') as annotation, case when b.name is not null then 'library' else 'none' end as source from aligned_feature_table f left join b on f.group_id = b.group_id and b.score >= 0.7",
     "q_library_candidates": """with r as (select run, max(case when lower(trim(polarity)) like 'pos%' then 1 when lower(trim(polarity)) like 'neg%' then 2 else 0 end) as q from scans group by run)
-select m.map_id, l.library_index from ms2_map m join r on m.file = r.run join library l on abs(l.precursor_mz - m.precursor_mz) <= m.precursor_mz * (10.0::double / 1e6) and (l.mode = r.q or l.mode = 0 or r.q = 0) where m.precursor_mz > 0""",
+select m.map_id, l.library_index from ms2_map m join r on m.file = r.run join library l on abs(l.precursor_mz - m.precursor_mz) <= m.precursor_mz * (200.0::double / 1e6) and (l.mode = r.q or l.mode = 0 or r.q = 0) where m.precursor_mz > 0""",
     "q_library_index": "with n as (select lib, max(rec) + 1 as n from library group by lib), o as (select lib, coalesce(sum(n) over (order by lib rows between unbounded preceding and 1 preceding), 0) as first from n) select l.lib, l.rec, cast(o.first + l.rec as bigint) as global_index from library l join o on l.lib = o.lib",
     "q_formula": FORMULAS + " select library_index, round(mass, 6) as mass, " + " || ".join(f"case when {e}_ > 1 then '{e}' || {e}_ when {e}_ = 1 then '{e}' else '' end" for e in _ORDER_E) + f" as hill, cast({_DBE} as integer) as dbe2 from w",
     "q_adduct": FORMULAS + f""", {_PIECES}, ad as (select distinct precursor_type as t from library where regexp_full_match(precursor_type, '\\[[0-9]*M([+-][A-Za-z0-9]+)*\\][0-9]*[+-]')),

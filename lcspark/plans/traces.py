@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lcspark.operators import traces as t
 from lcspark.operators.regrid import scan_readings
+from lcspark.operators.shape import steady_targets
 from lcspark.sources.tables import read
 
 
@@ -26,6 +27,14 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "aligned_feature_table").select("group_id", "study", "mz", "rt_min", "rt_max")
 
 
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """The features of the tables, and the ions that the runs themselves show nearly throughout, those in the middle half of their study's time."""
+    own = steady_targets(_points(spark, d))
+    span = _times(spark, d).withColumn("study", t.study_of(F.col("run"))).groupBy("study").agg(F.min("minutes").alias("a"), F.max("minutes").alias("b"))
+    own = own.join(span, "study").select("group_id", "study", "mz", (F.col("a") + (F.col("b") - F.col("a")) / 4).alias("rt_min"), (F.col("b") - (F.col("b") - F.col("a")) / 4).alias("rt_max"))
+    return _features(spark, d).unionByName(own)
+
+
 def r3(c: str):
     return F.round(c, 3).alias(c)
 
@@ -39,8 +48,8 @@ def q_scan_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_eic(spark: SparkSession, d: str) -> DataFrame:
-    """Chromatograms of every feature of a run's study, with the scans that count as 0."""
-    e = t.chromatogram(_points(spark, d), _features(spark, d))
+    """Chromatograms of every target of a run's study, with the scans that count as 0."""
+    e = t.chromatogram(_points(spark, d), _targets(spark, d))
     n = read(spark, d, "scans").groupBy("run").agg(F.countDistinct("scan").alias("n_all"))
     out = e.groupBy("run", "group_id").agg(F.count("*").alias("n_scans"), F.max("inten").alias("height"), F.sum("inten").alias("total"))
     return out.join(n, "run").select("run", "group_id", "n_scans", (F.col("n_all") - F.col("n_scans")).alias("n_zero"), "height", r3("total"))
@@ -48,13 +57,13 @@ def q_eic(spark: SparkSession, d: str) -> DataFrame:
 
 def q_eic_argmax(spark: SparkSession, d: str) -> DataFrame:
     """Scan and m/z of each chromatogram's highest centroid, the earliest on ties."""
-    e = t.chromatogram(_points(spark, d), _features(spark, d))
+    e = t.chromatogram(_points(spark, d), _targets(spark, d))
     best = e.groupBy("run", "group_id").agg(F.max(F.struct("inten", (-F.col("scan")).alias("s"), "mz")).alias("_b"))
     return best.select("run", "group_id", (-F.col("_b.s")).alias("scan"), F.col("_b.mz").alias("mz"), F.col("_b.inten").alias("inten"))
 
 
 def q_gapfill(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d)
+    f = _targets(spark, d)
     return t.boxes(t.chromatogram(_points(spark, d), f), _times(spark, d), f).select("run", "group_id", "n_scans", "height", r3("area"))
 
 
@@ -63,7 +72,8 @@ def q_noise_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sideband(spark: SparkSession, d: str) -> DataFrame:
-    return t.sidebands(_points(spark, d)).groupBy("run").agg(F.count("*").alias("n"))
+    """Centroids beside a ten times stronger one, a tenth of a percent in m/z to both sides."""
+    return t.sidebands(_points(spark, d), 1000.0).groupBy("run").agg(F.count("*").alias("n"))
 
 
 def q_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -130,18 +140,23 @@ def q_asof_scan_whole(spark: SparkSession, d: str) -> DataFrame:
     return _asof(spark, d, t.run_key(F.col("file")))
 
 
+#: Half width of the isolation window in Da, which the tables don't state.
+ISOLATION = 3.0
+
+
 def _precursor(spark: SparkSession, d: str, run: Column) -> DataFrame:
     from lcspark.band import band_join
 
     at = _asof(spark, d, run).filter("ms1_scan is not null")
     m = read(spark, d, "ms2_map").select("map_id", run.alias("run"), "precursor_mz").join(at, "map_id").withColumnRenamed("ms1_scan", "scan").filter("precursor_mz > 0")
-    hits = band_join(m, t.valid_points(_points(spark, d)), "precursor_mz", "mz", 10.0, ["run", "scan"])
-    best = hits.groupBy("map_id").agg(F.max(F.struct("inten", (-F.col("pos")).alias("p"), "mz")).alias("_b"))
-    return best.select("map_id", F.col("_b.mz").alias("mz"), F.col("_b.inten").alias("inten"))
+    hits = band_join(m, t.valid_points(_points(spark, d)), "precursor_mz", "mz", 0.0, ["run", "scan"], da=ISOLATION)
+    best = hits.groupBy("map_id").agg(F.max(F.struct("inten", (-F.col("pos")).alias("p"), "mz")).alias("_b"), F.sum("inten").alias("all"))
+    out = best.select("map_id", F.col("_b.mz").alias("mz"), F.col("_b.inten").alias("inten"), F.least(F.col("_b.inten") / F.col("all"), F.lit(1.0)).alias("purity"))
+    return out.select("map_id", "mz", "inten", F.round("purity", 6).alias("purity"))
 
 
 def q_precursor_ms1(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest centroid within 10 ppm of the precursor in the preceding MS1 scan. Runs as ``file`` is written."""
+    """The strongest centroid of the isolation window in the preceding MS1 scan, and its share of the window. Runs as ``file`` is written."""
     return _precursor(spark, d, F.col("file"))
 
 
@@ -160,20 +175,23 @@ SUMMARY = V + """, b as (select run, scan, count(*) as n_points, sum(inten) as t
 m as (select v.run, v.scan, min(v.mz) as base_mz from v join b on v.run = b.run and v.scan = b.scan and v.inten = b.base_inten group by v.run, v.scan),
 s as (select a.run, a.scan, coalesce(b.n_points, 0) as n_points, coalesce(b.tic, 0.0::double) as tic, m.base_mz, coalesce(b.base_inten, 0.0::double) as base_inten
   from (select distinct run, scan from scans) a left join b on a.run = b.run and a.scan = b.scan left join m on a.run = m.run and a.scan = m.scan)"""
-EIC = V + """, h as (select v.run, f.group_id, v.scan, v.mz, v.inten, v.pos from v join aligned_feature_table f on v.study = f.study and abs(v.mz - f.mz) <= f.mz * (10.0::double / 1e6)),
+TARGETS = """, bn as (select run, study, cast(floor(ln(mz) / 2e-5::double) as bigint) as bin, count(distinct scan) as n from v group by 1, 2, 3), rs as (select run, count(distinct scan) as total from v group by run),
+sp as (select split_part(run, '_', 1) as study, min(minutes) as a, max(minutes) as b from tm group by 1),
+ft as (select group_id, study, mz, rt_min, rt_max from aligned_feature_table union all select o.group_id, o.study, o.mz, a + (b - a) / 4, b - (b - a) / 4 from (select distinct bn.study, bn.bin as group_id, exp((bn.bin + 0.5::double) * 2e-5::double) as mz from bn join rs on bn.run = rs.run where bn.n >= 0.3::double * rs.total) o join sp on o.study = sp.study)"""
+EIC = V + TIMES + TARGETS + """, h as (select v.run, f.group_id, v.scan, v.mz, v.inten, v.pos from v join ft f on v.study = f.study and abs(v.mz - f.mz) <= f.mz * (10.0::double / 1e6)),
 e as (select run, group_id, scan, mz, inten from h qualify row_number() over (partition by run, group_id, scan order by inten desc, pos) = 1)"""
 ORACLES = {
     "q_scans": SUMMARY + " select run, scan, n_points, round(tic, 3) as tic, base_mz, base_inten from s",
     "q_scan_minutes": V + TIMES + " select run, scan, minutes from tm",
     "q_eic": EIC + ", n as (select run, count(distinct scan) as n_all from scans group by run) select e.run, e.group_id, count(*) as n_scans, n.n_all - count(*) as n_zero, max(e.inten) as height, round(sum(e.inten), 3) as total from e join n on e.run = n.run group by e.run, e.group_id, n.n_all",
     "q_eic_argmax": EIC + " select run, group_id, scan, mz, inten from e qualify row_number() over (partition by run, group_id order by inten desc, scan) = 1",
-    "q_gapfill": EIC + TIMES + """, x as (select e.run, e.group_id, e.inten, tm.minutes, tm.scan from e join tm on e.run = tm.run and e.scan = tm.scan join aligned_feature_table f on e.group_id = f.group_id where tm.minutes between f.rt_min and f.rt_max),
+    "q_gapfill": EIC + """, x as (select e.run, e.group_id, e.inten, tm.minutes, tm.scan from e join tm on e.run = tm.run and e.scan = tm.scan join ft f on e.group_id = f.group_id and f.study = split_part(e.run, '_', 1) where tm.minutes between f.rt_min and f.rt_max),
 y as (select run, group_id, inten, (minutes - lag(minutes) over w) * (inten + lag(inten) over w) / 2 as a from x window w as (partition by run, group_id order by minutes, scan))
 select run, group_id, count(*) as n_scans, max(inten) as height, round(coalesce(sum(a), 0), 3) as area from y group by run, group_id""",
     "q_noise_cells": V + TIMES + """, x as (select v.run, cast(least(floor(16 * ln(v.mz / 50.0::double) / ln(1700.0::double / 50)), 15) as integer) as band, cast(floor(tm.minutes) as integer) as block, v.inten from v join tm on v.run = tm.run and v.scan = tm.scan where v.mz between 50 and 1700),
 f as (select run, quantile_cont(inten, 0.01) as fl from x group by run), c as (select run, band, block, count(*) as n, median(inten) as m from x group by run, band, block)
 select c.run, c.band, c.block, c.n, round(case when c.n >= 50 then c.m else f.fl end, 3) as noise from c join f on c.run = f.run""",
-    "q_sideband": V + " select run, count(*) as n from v a where exists (select 1 from v b where a.run = b.run and a.scan = b.scan and b.inten >= 10 * a.inten and abs(b.mz - a.mz) <= a.mz * (100.0::double / 1e6)) group by run",
+    "q_sideband": V + " select run, count(*) as n from v a where exists (select 1 from v b where a.run = b.run and a.scan = b.scan and b.inten >= 10 * a.inten and abs(b.mz - a.mz) <= a.mz * (1000.0::double / 1e6)) group by run",
     "q_neighbors": V + """, j as (select a.run, a.scan, a.pos, a.mz, b.mz as mb from v a join v b on a.run = b.run and b.scan = a.scan + 1 and abs(b.mz - a.mz) <= a.mz * (20.0::double / 1e6) qualify row_number() over (partition by a.run, a.scan, a.pos, a.mz order by b.inten desc, b.pos) = 1)
 select run, count(*) as n_linked, round(avg(abs((mb / mz - 1) * 1e6)), 6) as mean_ppm from j group by run""",
     "q_smooth121": SUMMARY + " select run, scan, round((coalesce(lag(tic) over w, 0) + 2 * tic + coalesce(lead(tic) over w, 0)) / 4, 3) as smooth from s window w as (partition by run order by scan)",
@@ -185,6 +203,6 @@ select run, count(*) as n_linked, round(avg(abs((mb / mz - 1) * 1e6)), 6) as mea
     "q_bin_scans": V + " select run, cast(floor(ln(mz) / (10.0::double * 1e-6)) as bigint) as bin, count(distinct scan) as n_scans from v group by 1, 2 having count(distinct scan) >= 10",
     "q_asof_scan": V + TIMES + ", x as (select m.map_id, tm.scan from ms2_map m left join tm on m.file = tm.run and tm.minutes <= m.rt_s / 60 qualify row_number() over (partition by m.map_id order by tm.minutes desc nulls last, tm.scan desc) = 1) select map_id, scan as ms1_scan from x",
     "q_precursor_ms1": V + TIMES + """, x as (select m.map_id, m.file, m.precursor_mz, tm.scan from ms2_map m join tm on m.file = tm.run and tm.minutes <= m.rt_s / 60 where m.precursor_mz > 0 qualify row_number() over (partition by m.map_id order by tm.minutes desc, tm.scan desc) = 1)
-select x.map_id, v.mz, v.inten from x join v on x.file = v.run and x.scan = v.scan and abs(v.mz - x.precursor_mz) <= x.precursor_mz * (10.0::double / 1e6) qualify row_number() over (partition by x.map_id order by v.inten desc, v.pos) = 1""",
+select x.map_id, v.mz, v.inten, round(least(v.inten / sum(v.inten) over (partition by x.map_id), 1), 6) as purity from x join v on x.file = v.run and x.scan = v.scan and abs(v.mz - x.precursor_mz) <= 3.0::double qualify row_number() over (partition by x.map_id order by v.inten desc, v.pos) = 1""",
 }
 ORACLES |= {f"{k}_whole": t.by_run(ORACLES[k]) for k in ("q_asof_scan", "q_precursor_ms1")}
