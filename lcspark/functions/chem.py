@@ -50,7 +50,7 @@ def dbe2(n: dict[str, Column]) -> Column:
     return 2 * n["C"] + 2 * n["Si"] + 2 + n["N"] + n["P"] - n["H"] - n["F"] - n["Cl"] - n["Br"] - n["I"] - n["Na"] - n["K"]
 
 
-def _piece_mass(piece: str) -> float:
+def piece_mass(piece: str) -> float:
     import re
 
     return sum(MASS[e] * int(k or 1) for e, k in re.findall(r"([A-Z][a-z]?)(\d*)", piece))
@@ -66,7 +66,7 @@ def adduct_parts(adduct: Column) -> tuple[Column, Column, Column]:
     ok = text.rlike(shape)
     g = lambda k: F.regexp_extract(text, shape, k)
     number = lambda c: F.when(c == "", 1).otherwise(F.nullif(c, F.lit("")).cast("int"))
-    masses = F.create_map(*[x for p, f in ADDUCT_PIECES.items() for x in (F.lit(p), F.lit(_piece_mass(f)))])
+    masses = F.create_map(*[x for p, f in ADDUCT_PIECES.items() for x in (F.lit(p), F.lit(piece_mass(f)))])
     terms = F.regexp_extract_all(g(2), F.lit(r"([+-][0-9]*[A-Za-z][A-Za-z0-9]*)"), F.lit(1))
     term = lambda t: F.when(t.startswith("-"), -1.0).otherwise(1.0) * number(F.regexp_extract(t, r"\A[+-]([0-9]*)", 1)) * F.try_element_at(masses, F.regexp_extract(t, r"\A[+-][0-9]*(.*)\z", 1))
     delta = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + term(t))

@@ -5,11 +5,15 @@ Graph rules run as rounds of joins whose state is written to the shared folder a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcspark.band import band_join
-from lcspark.constants import MASS, PROTON
+from lcspark.constants import ADDUCT_PIECES, ELECTRON
+from lcspark.functions.chem import piece_mass
+from lcspark.operators.traces import study_of
 from lcspark.session import materialise
 
 
@@ -51,31 +55,64 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state
 
 
-#: Ions a positive run shows (name, molecules, mass added, charge); the first is the primary one.
-POSITIVE = (("[M+H]+", 1, PROTON, 1), ("[M+Na]+", 1, MASS["Na"] - 0.00054857990946, 1), ("[M+K]+", 1, MASS["K"] - 0.00054857990946, 1), ("[M+NH4]+", 1, 18.033825, 1), ("[M+H-H2O]+", 1, PROTON - 18.010565, 1), ("[2M+H]+", 2, PROTON, 1), ("[M+2H]2+", 1, 2 * PROTON, 2))
+#: The ions that runs of a polarity show; the first is the primary one.
+IONS = {
+    "pos": """[M+H]+ [M+NH4]+ [M+Na]+ [M+K]+ [M+H-H2O]+ [M+H-2H2O]+ [M+H-NH3]+ [M+H-HCOOH]+ [M+2Na-H]+ [M+CH3OH+H]+ [M+ACN+H]+ [M+ACN+Na]+
+        [M+2H]2+ [M+H+Na]2+ [2M+H]+ [2M+NH4]+ [2M+Na]+""".split(),
+    "neg": "[M-H]- [M+Cl]- [M+HCOO]- [M+CH3COO]- [M-H-H2O]- [M-H-CO2]- [M+Na-2H]- [M+K-2H]- [M+Br]- [M-2H]2- [2M-H]- [2M+HCOO]-".split(),
+}
+
+
+def ion_table(polarity: str) -> list[tuple[str, int, float, int]]:
+    """Name, molecules, mass added to them and charge of each ion of a polarity."""
+    out = []
+    for name in IONS[polarity]:
+        n, pieces, z, sign = re.fullmatch(r"\[(\d*)M(.*)\](\d*)([+-])", name).groups()
+        charge = int(z or 1) * (1 if sign == "+" else -1)
+        delta = sum((-1 if s == "-" else 1) * int(k or 1) * piece_mass(ADDUCT_PIECES[p]) for s, k, p in re.findall(r"([+-])(\d*)([A-Za-z][A-Za-z0-9]*)", pieces))
+        out.append((name, int(n or 1), delta - charge * ELECTRON, abs(charge)))
+    return out
+
+
+def study_polarity(scans: DataFrame) -> DataFrame:
+    """``(study, polarity)``: ``neg`` where most of a study's scans with a known polarity are negative, else ``pos``; however it is spelled."""
+    p = F.substring(F.lower(F.trim("polarity")), 1, 3)
+    g = scans.select(study_of(F.col("run")).alias("study"), F.when(p == "neg", 1).when(p == "pos", -1).otherwise(0).alias("v")).groupBy("study").agg(F.sum("v").alias("v"))
+    return g.select("study", F.when(F.col("v") > 0, "neg").otherwise("pos").alias("polarity"))
 
 
-def roles(members: DataFrame, ppm: float = 5.0, least_mass: float = 50.0) -> DataFrame:
+def roles(members: DataFrame, ppm: float = 5.0, least_mass: float = 50.0, polarity: str = "pos", isotopes: DataFrame | None = None) -> DataFrame:
     """``(id, center, role, neutral_mass)`` of ``members(id, center, mz, weight)``: the neutral mass that explains most members of a star names them.
 
-    Every member proposes its mass under every ion; hypotheses meet their star's other proposals in a tolerance join. Best is the mass of the
-    most members, then one that holds the primary ion, then of the largest weight, then the smallest. Without two explained members, and for
-    members the mass does not explain, the role is ``base`` for the center and the m/z difference to it for the others.
+    Every member proposes its mass under every ion of the polarity; hypotheses meet their star's other proposals in a tolerance join. Best is the
+    mass of the most members, then one that holds the primary ion, then of the largest weight, then the smallest. Without two explained members, and
+    for members the mass does not explain, the role is ``base`` for the center and the m/z difference to it for the others. ``isotopes(id, parent, k)``:
+    isotope peaks take their parent's role and ``M+k``, and propose nothing.
     """
-    ions = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(n)).alias("n"), F.lit(float(d)).alias("d"), F.lit(float(z)).alias("z")) for k, n, d, z in POSITIVE])
+    table = ion_table(polarity)
+    ions = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(n)).alias("n"), F.lit(float(d)).alias("d"), F.lit(float(z)).alias("z")) for k, n, d, z in table])
+    whole = members
+    if isotopes is not None:
+        members = members.join(isotopes.select("id"), "id", "left_anti")
     p = members.select("id", "center", "mz", "weight", F.explode(ions).alias("i")).select("id", "center", "mz", "weight", F.col("i.name").alias("name"), ((F.col("mz") * F.col("i.z") - F.col("i.d")) / F.col("i.n")).alias("m")).filter(F.col("m") >= least_mass)
     p = materialise(p)
     other = p.select("center", F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("weight").alias("weight2"), F.col("m").alias("m2"))
     met = band_join(p.select("center", "id", "name", "m"), other, "m", "m2", ppm, ["center"])
     each = met.groupBy("center", "id", "name", "m", "id2").agg(F.min(F.struct(F.abs(F.col("m2") - F.col("m")).alias("o"), F.col("name2").alias("n"))).alias("_b"), F.max("weight2").alias("w"))
-    h = each.groupBy("center", "id", "name", "m").agg(F.count("*").alias("n"), F.max((F.col("_b.n") == POSITIVE[0][0]).cast("int")).alias("primary"), F.sum("w").alias("w"))
+    h = each.groupBy("center", "id", "name", "m").agg(F.count("*").alias("n"), F.max((F.col("_b.n") == table[0][0]).cast("int")).alias("primary"), F.sum("w").alias("w"))
     best = h.filter("n >= 2").groupBy("center").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("primary")).alias("p"), (-F.col("w")).alias("w"), "m", "id", "name")).alias("_h"))
     best = best.select("center", F.col("_h.id").alias("id"), F.col("_h.name").alias("name"), F.col("_h.m").alias("mass"))
     named = each.join(best, ["center", "id", "name"]).select("center", F.col("id2").alias("id"), F.col("_b.n").alias("role"), "mass")
-    base = members.select(F.col("id").alias("center"), F.col("mz").alias("_base"))
+    base = whole.select(F.col("id").alias("center"), F.col("mz").alias("_base"))
     d = members.join(base, "center").join(named, ["center", "id"], "left")
     rest = F.when(F.col("id") == F.col("center"), "base").otherwise(F.format_string("%+.4f", F.col("mz") - F.col("_base")))
-    return d.select("id", "center", F.coalesce("role", rest).alias("role"), F.col("mass").alias("neutral_mass"))
+    out = d.select("id", "center", F.coalesce("role", rest).alias("role"), F.col("mass").alias("neutral_mass"))
+    if isotopes is None:
+        return out
+    of = out.select(F.col("id").alias("parent"), F.col("role").alias("_role"), F.col("neutral_mass").alias("_mass"))
+    child = whole.join(isotopes, "id").join(base, "center", "left").join(of, "parent", "left")
+    role = F.coalesce(F.concat("_role", F.lit(" M+"), F.col("k").cast("string")), F.format_string("%+.4f", F.col("mz") - F.col("_base")))
+    return out.unionByName(child.select("id", "center", role.alias("role"), F.col("_mass").alias("neutral_mass")))
 
 
 def territories(pairs: DataFrame, positions: DataFrame) -> DataFrame:

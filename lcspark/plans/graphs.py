@@ -11,7 +11,7 @@ from lcspark.operators.halogen import halogens
 from lcspark.operators.stats import ion_pairs
 from lcspark.operators.traces import by_run, run_key, valid_points
 from lcspark.plans.features import PAIRS, seen
-from lcspark.session import materialise
+from lcspark.session import materialise, small
 from lcspark.sources.tables import read
 
 
@@ -30,8 +30,11 @@ def q_stars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_roles(spark: SparkSession, d: str) -> DataFrame:
-    m = _stars(spark, d).join(_features(spark, d).select(F.col("group_id").alias("id"), "mz", F.col("n_detected").cast("double").alias("weight")), "id")
-    return c.roles(m).select(F.col("id").alias("group_id"), F.col("center").alias("center_id"), "role", F.round("neutral_mass", 6).alias("neutral_mass"))
+    """Ions of the clusters under their neutral mass, by the polarity of the study's runs."""
+    f = _features(spark, d).select(F.col("group_id").alias("id"), "study", "mz", F.col("n_detected").cast("double").alias("weight"))
+    m = materialise(_stars(spark, d).join(f, "id").join(small(c.study_polarity(read(spark, d, "scans"))), "study", "left"))
+    both = [c.roles(m.filter(F.coalesce("polarity", F.lit("pos")) == p).drop("study", "polarity"), polarity=p) for p in ("pos", "neg")]
+    return both[0].unionByName(both[1]).select(F.col("id").alias("group_id"), F.col("center").alias("center_id"), "role", F.round("neutral_mass", 6).alias("neutral_mass"))
 
 
 def q_components(spark: SparkSession, d: str) -> DataFrame:

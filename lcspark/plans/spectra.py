@@ -199,7 +199,7 @@ _DBE = "2 * (C_ + Si_) + 2 + N_ + P_ - H_ - F_ - Cl_ - Br_ - I_ - Na_ - K_"
 _CAP = lambda row: " and ".join(f"{e}_ <= {c}" for e, c in zip(chem.CAP_ELEMENTS, row))
 _RATIOS = " and ".join(f"{e}_ <= {r} * C_" for e, r in chem.PER_CARBON.items()) + " and case " + " ".join(f"when mass < {edge} then {_CAP(row)}" for edge, row in chem.CAPS.items() if edge != float("inf")) + f" else {_CAP(chem.CAPS[float('inf')])} end"
 _COMBOS = "not (N_ > 0 and O_ > 0 and P_ > 0 and S_ > 0 and (N_ >= 10 or O_ >= 20 or P_ >= 4 or S_ >= 3)) and not (N_ > 3 and O_ > 3 and P_ > 3 and (N_ >= 11 or O_ >= 22 or P_ >= 6)) and not (O_ > 1 and P_ > 1 and S_ > 1 and (O_ >= 14 or P_ >= 3 or S_ >= 3)) and not (P_ > 1 and S_ > 1 and N_ > 1 and (P_ >= 3 or S_ >= 3 or N_ >= 4)) and not (N_ > 6 and O_ > 6 and S_ > 6 and (N_ >= 19 or O_ >= 14 or S_ >= 8))"
-_PIECES = "pieces as (select * from (values " + ", ".join(f"('{p}', {chem._piece_mass(f)!r}::double)" for p, f in ADDUCT_PIECES.items()) + ") t(p, pm))"
+_PIECES = "pieces as (select * from (values " + ", ".join(f"('{p}', {chem.piece_mass(f)!r}::double)" for p, f in ADDUCT_PIECES.items()) + ") t(p, pm))"
 DEFAULT = HITS + ", b as (select group_id, spectrum, hit_id, name, score from h qualify row_number() over (partition by group_id order by score desc, n_matched desc nulls last, library_index nulls last, hit_id) = 1)"
 ORACLES = {
     "q_assign": """select m.map_id, f.group_id from ms2_map m join aligned_feature_table f on m.study = f.study and abs(f.mz - m.precursor_mz) <= m.precursor_mz * (10.0::double / 1e6) and m.rt_s / 60 between f.rt_min and f.rt_max where m.precursor_mz > 0
