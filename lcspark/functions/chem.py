@@ -127,3 +127,26 @@ def precursor_ok(n: dict[str, Column], mass: Column, even_electron: bool = False
     d = dbe2(n)
     ok = (n["C"] > 0) & (10 * n["H"] >= n["C"]) & (n["H"] <= 6 * n["C"]) & ratios_ok(n, mass) & combinations_ok(n) & (d >= -1)
     return ok & (d % 2 != 0) if even_electron else ok
+
+
+def most_hydrogens(n: dict[str, Column], extra: int) -> Column:
+    """Hydrogens that a sum of saturated pieces can carry: two for C, O and S, three for N and P, four for Si, one for a monovalent atom, and ``extra``."""
+    return 2 * (n["C"] + n["O"] + n["S"]) + 3 * (n["N"] + n["P"]) + n["F"] + n["Cl"] + n["Br"] + n["I"] + n["Na"] + n["K"] + 4 * n["Si"] + extra
+
+
+def _small_inorganic(n: dict[str, Column], extra: int) -> Column:
+    heavy = [n[e] for e in MASS if e != "H"]
+    atoms, kinds = sum(heavy[1:], heavy[0]), sum([(x > 0).cast("int") for x in heavy[1:]], (heavy[0] > 0).cast("int"))
+    return (atoms >= 1) & (atoms <= 6) & (kinds <= 2) & (n["H"] <= most_hydrogens(n, extra))
+
+
+def loss_ok(n: dict[str, Column], mass: Column) -> Column:
+    """A neutral loss, perhaps of several molecules: hydrogens within the most, ratios and caps; without carbon H to H4 or a small inorganic."""
+    heavy = [n[e] for e in MASS if e != "H"]
+    bare = sum(heavy[1:], heavy[0]) == 0
+    return F.when(n["C"] > 0, (n["H"] <= most_hydrogens(n, 2)) & ratios_ok(n, mass)).when(bare, n["H"].between(1, 4)).otherwise(_small_inorganic(n, 0))
+
+
+def ion_ok(n: dict[str, Column], mass: Column) -> Column:
+    """A fragment ion, odd or even in electrons: hydrogens, ratios, caps and combinations; without carbon only a small inorganic ion."""
+    return F.when(n["C"] > 0, (n["H"] <= most_hydrogens(n, 2)) & ratios_ok(n, mass) & combinations_ok(n)).otherwise(_small_inorganic(n, 1))

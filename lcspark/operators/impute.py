@@ -72,7 +72,7 @@ def fill_widths(features: DataFrame) -> DataFrame:
     d = d.withColumn("_left", F.col("rt") - F.col("rt_min")).withColumn("_right", F.col("rt_max") - F.col("rt")).withColumn("_time", F.concat_ws("|", "study", F.floor("rt").cast("string")))
     d = materialise(d.withColumnRenamed("_time", "minute"))
     for c in ("_left", "_right", "rt_sd"):
-        d = mixed_effects(d, c, "compound_id", "minute").withColumn(f"{c}_predicted", F.greatest(f"{c}_predicted", F.lit(0.0)))
+        d = mixed_effects(d, c, "compound_id", "minute").withColumn(f"{c}_predicted", F.when(F.col(f"{c}_predicted").isNotNull(), F.greatest(f"{c}_predicted", F.lit(0.0))))
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     d = d.withColumn("_lo", F.coalesce(known("rt_min"), F.col("rt") - F.col("_left_predicted"))).withColumn("_hi", F.coalesce(known("rt_max"), F.col("rt") + F.col("_right_predicted"))).withColumn("_sd", F.coalesce(known("rt_sd"), F.col("rt_sd_predicted")))
     mask = lambda old, new: (known(old).isNull() & F.col(new).isNotNull()).cast("int")
