@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcspark.session import materialise, small
+from lcspark.session import BROADCAST_ROWS, materialise, small
 
 ION_PPM, JUMP_FROM_PPM, JUMP_TO_PPM = 20.0, 100.0, 600.0
 STRETCH, MARGIN = 2048, 64
@@ -29,6 +29,8 @@ SPIKE, STUCK_RUN, STUCK_SPREAD, LOWEST_MZ, HIGHEST_MZ, HIGHEST_INTEN = 10.0, 8,
 #: Shares of the noise variance by which level and slope of a trace may move from scan to scan, and the share of the slope that lasts.
 LEVEL_DRIFT, SLOPE_DRIFT, DAMPING = 0.05, 0.01, 0.95
 BIN = 5e-6
+#: Parts that the scans of an ion are spread over where its table is too large to be broadcast.
+SALTS = 32
 
 
 def impossible(points: DataFrame) -> DataFrame:
@@ -48,7 +50,8 @@ def ions(points: DataFrame, least_share: float = 0.25) -> DataFrame:
     """``(run, ion_mz, usual)``: m/z values occupied nearly throughout a run, with their usual intensity.
 
     A run's ions are the local maxima of its m/z histogram (rolling over 20 ppm to both sides) that hold at least ``least_share`` of the
-    highest one's count and 5 centroids. The windows order the occupied bins of a run, whose number the m/z range bounds whatever the run's size.
+    highest one's count and 5 centroids: an ion seen in less than a quarter of the scans that the commonest one is seen in has no usual behaviour to
+    be judged by, and its centroids are only checked for impossible values. The windows order the occupied bins of a run, whose number the m/z range bounds whatever the run's size.
     """
     d = points.withColumn("_bin", F.floor(F.log("mz") / BIN))
     h = d.groupBy("run", "_bin").agg(F.count("*").alias("_n"), F.sum("mz").alias("_mz"), F.sum(F.log(F.col("inten").cast("double"))).alias("_i"))
@@ -66,10 +69,16 @@ def traces(points: DataFrame, ion_table: DataFrame) -> DataFrame:
     reach = JUMP_TO_PPM * 1e-6 + 1e-5
     lo, hi = F.floor((F.log("ion_mz") - reach) / w), F.floor((F.log("ion_mz") + reach) / w)
     near = ion_table.select(F.col("run").alias("_run"), "ion_mz", F.explode(F.sequence(lo, hi)).alias("_b"))
-    near = small(near)
-    d = points.select("run", "scan", "pos", "mz", F.log(F.col("inten").cast("double")).alias("y"), F.floor(F.log("mz") / w).alias("_bin"))
+    d = points.select("run", "scan", "pos", "mz", F.log(F.col("inten").cast("double")).alias("y"), F.floor(F.log("mz") / w).alias("_bin"), F.pmod("scan", F.lit(SALTS)).alias("_salt"))
     off = F.abs(F.col("mz") / F.col("ion_mz") - 1) * 1e6
-    d = d.join(near, (F.col("run") == F.col("_run")) & (F.col("_bin") == F.col("_b"))).withColumn("_off", off)
+    on = (F.col("run") == F.col("_run")) & (F.col("_bin") == F.col("_b"))
+    if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        near = F.broadcast(near)
+    else:
+        # an ion of a long run is a hot key: its scans are spread, and the ion table, which is small beside the points, is repeated for them
+        near = near.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("_salt") == F.col("_s"))
+    d = d.join(near, on).withColumn("_off", off)
     jump = (F.col("_off") >= JUMP_FROM_PPM) & (F.col("_off") <= JUMP_TO_PPM) & (F.col("y") > float(np.log(STRAY)))
     return d.filter((F.col("_off") <= ION_PPM) | jump).select("run", "ion_mz", "scan", "pos", "y", (F.col("_off") > ION_PPM).alias("jump"))
 
@@ -178,10 +187,15 @@ def _filter_stretches(stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     schema = pa.schema([("run", pa.string()), ("scan", pa.int32()), ("pos", pa.int64()), ("kind", pa.string()), ("off", pa.float64()), ("scatter", pa.float64()), ("weight", pa.float64())])
     rest: pa.Table | None = None
 
+    def cuts(t: pa.Table) -> np.ndarray:
+        """Where a stretch begins: another ion, part or run; a hash that two share does not join them."""
+        key, ion, seg, run = t["trace"].to_numpy(), t["ion_mz"].to_numpy(), t["seg"].to_numpy(), t["run"].combine_chunks().dictionary_encode()
+        run = (run.combine_chunks() if isinstance(run, pa.ChunkedArray) else run).indices.to_numpy()
+        return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ion[1:] != ion[:-1]) | (seg[1:] != seg[:-1]) | (run[1:] != run[:-1])))
+
     def work(t: pa.Table) -> pa.RecordBatch:
-        key = t["trace"].to_numpy()
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(cut[1:], len(key))
+        cut = cuts(t)
+        ends = np.append(cut[1:], t.num_rows)
         a = {c: t[c].to_numpy() for c in ("scan", "pos", "y", "jump", "seg")}
         # by length, so that the padded matrix of a chunk stays full
         order = np.argsort(ends - cut, kind="stable")
@@ -197,8 +211,7 @@ def _filter_stretches(stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         t = pa.Table.from_batches([b])
         rest = t if rest is None else pa.concat_tables([rest, t])
         if rest.num_rows >= 200_000:
-            key = rest["trace"].to_numpy()
-            last = int(np.searchsorted(-(key != key[-1]).astype(int), 0))
+            last = int(cuts(rest)[-1])
             if last:
                 yield work(rest.slice(0, last))
                 rest = rest.slice(last)
@@ -219,8 +232,8 @@ def flag_readings(points: DataFrame, stretch: int = STRETCH) -> DataFrame:
     # the stretch of a scan, and the neighbouring one whose margin it lies in
     at, rest = F.floor(F.col("scan") / stretch), F.pmod(F.col("scan"), F.lit(stretch))
     segs = F.when(rest < MARGIN, F.array(at, at - 1)).when(rest >= stretch - MARGIN, F.array(at, at + 1)).otherwise(F.array(at))
-    d = d.withColumn("seg", F.explode(segs)).withColumn("trace", F.xxhash64("run", "ion_mz", "seg")).drop("ion_mz")
-    found = materialise(d.repartition("trace").sortWithinPartitions("trace", "scan").mapInArrow(partial(_filter_stretches, stretch), _OUT))
+    d = d.withColumn("seg", F.explode(segs)).withColumn("trace", F.xxhash64("run", "ion_mz", "seg"))
+    found = materialise(d.repartition("trace").sortWithinPartitions("trace", "run", "ion_mz", "seg", "scan").mapInArrow(partial(_filter_stretches, stretch), _OUT))
     scatter = found.filter("scatter is not null").groupBy("run").agg(F.percentile_approx("scatter", 0.5, 10_000).alias("usual"))
     cases = found.filter("kind is not null").drop("scatter", "weight").join(small(scatter), "run")
     limit = F.greatest(F.col("usual"), F.lit(1e-3)) * SPIKE
