@@ -19,8 +19,12 @@ SHARES = {
 }
 # Atoms per Da of the average organic molecule.
 AVERAGE = {"C": 4.9384 / 111.1254, "H": 7.7583 / 111.1254, "N": 1.3577 / 111.1254, "O": 1.4773 / 111.1254}
-HYPOTHESES = {"none": {}, "S": {"S": 1}, "S2": {"S": 2}, "Cl": {"Cl": 1}, "Cl2": {"Cl": 2}, "Cl3": {"Cl": 3}, "Br": {"Br": 1}, "Br2": {"Br": 2}, "BrCl": {"Br": 1, "Cl": 1}}
+# Atom sets that a pattern is compared with; gains that make a verdict, and the least M+2; the relative and absolute scatter of a ratio.
+HYPOTHESES = {"none": {}, "Si": {"Si": 1}, "S": {"S": 1}, "S2": {"S": 2}, "Cl": {"Cl": 1}, "Cl2": {"Cl": 2}, "Cl3": {"Cl": 3}, "Br": {"Br": 1}, "Br2": {"Br": 2}, "BrCl": {"Br": 1, "Cl": 1}}
 STEPS, STRONG, POSSIBLE, LEAST_M2 = 5, 9.0, 4.0, 0.12
+RATIO_SD, RATIO_FLOOR = 0.15, 0.01
+# An even step lies between that of chlorine or bromine and that of carbon: its middle, and half its width, a mass step each.
+EVEN_STEP, EVEN_HALF = 1.0011, 0.0023
 
 
 @cache
@@ -46,7 +50,7 @@ def _ratio(p: np.ndarray) -> float:
 
 def _expected(mass: float, extra: dict[str, int], first: float) -> np.ndarray:
     """Ratios of the steps to the lightest ion for an average molecule with ``extra`` atoms, its carbons as M+1 (``first``) demands them."""
-    own = {"S": 31.972, "Cl": 34.969, "Br": 78.918}
+    own = {"S": 31.972, "Cl": 34.969, "Br": 78.918, "Si": 27.977}
     rest = max(mass - sum(own[e] * n for e, n in extra.items()), 12.0)
     atoms = {e: round(a * rest) for e, a in AVERAGE.items()}
     if np.isfinite(first):
@@ -70,7 +74,7 @@ def verdict(mass: float, ratios: list[float | None]) -> tuple[str, str]:
     fit = {}
     for name, extra in HYPOTHESES.items():
         want = _expected(mass, extra, got[0])
-        fit[name] = float(np.minimum((((got - want) / np.sqrt((0.15 * want) ** 2 + 0.01**2))[known]) ** 2, 400).sum())
+        fit[name] = float(np.minimum((((got - want) / np.sqrt((RATIO_SD * want) ** 2 + RATIO_FLOOR**2))[known]) ** 2, 400).sum())
     halogen = {k: v for k, v in fit.items() if "Cl" in k or "Br" in k}
     best = min(halogen, key=halogen.get)
     gain = min(v for k, v in fit.items() if k not in halogen) - halogen[best]
@@ -79,24 +83,48 @@ def verdict(mass: float, ratios: list[float | None]) -> tuple[str, str]:
     return "no", min(fit, key=fit.get)
 
 
-def halogens(ions: DataFrame, ppm: float = 10.0) -> DataFrame:
-    """``(run, mz, verdict, pattern, n_ratios)`` of ``ions(run, scan, mz, inten)``, the peaks of spectra: each ion that has a peak two mass steps
-    above it, with the ratios of the peaks one to four steps above in the same spectrum.
+def _steps(ions: DataFrame, peaks: DataFrame, keys: list[str], ppm: float) -> DataFrame:
+    """``ions(*keys, scan, mz_o, inten_o)`` with ``k`` and ``inten_k``: the highest of ``peaks(run, scan, mz, inten)`` one to four mass steps above in the same scan. Two narrow
+    joins: odd steps are carbon's within ``ppm``, even ones a span of a few mDa."""
+    out = []
+    for even in (0, 1):
+        ks = [k for k in range(1, STEPS) if k % 2 == 1 - even]
+        a = ions.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("_at", F.col("mz_o") + F.col("k") * (EVEN_STEP if even else C13))
+        far = F.col("mz_o") * ppm / 1e6 + (F.col("k") * EVEN_HALF if even else 0.0)
+        d = band_join(a, peaks.select("run", "scan", "mz", "inten"), "_at", "mz", 0.0, ["run", "scan"], F.abs(F.col("mz") - F.col("_at")) <= far, da=max(ks) * EVEN_HALF * even + 2000 * ppm / 1e6)
+        out.append(d.groupBy(*keys, "scan", "k").agg(F.max("inten").alias("inten_k")))
+    return out[0].unionByName(out[1])
+
+
+def patterns(own: DataFrame, peaks: DataFrame, ppm: float = 10.0, half: float = 0.5) -> DataFrame:
+    """``(run, group_id, mz, n_scans, r1, r2, r3, r4)`` of each trace of ``own(run, group_id, scan, mz, inten)``: its isotope steps in ``peaks(run, scan, mz, inten)``, summed over the scans in
+    which it reaches ``half`` of its height, as ratios to it; null for a step that no scan shows."""
+    key = ["run", "group_id"]
+    top = own.filter("inten > 0").groupBy(*key).agg(F.max("inten").alias("_h"))
+    core = own.join(top, key).filter(F.col("inten") >= half * F.col("_h")).select(*key, "scan", F.col("mz").alias("mz_o"), F.col("inten").alias("inten_o"))
+    base = core.groupBy(*key).agg(F.count("*").alias("n_scans"), F.sum("inten_o").alias("_s"), (F.sum(F.col("mz_o") * F.col("inten_o")) / F.sum("inten_o")).alias("mz"))
+    got = _steps(core, peaks, key, ppm).groupBy(*key).agg(*[F.sum(F.when(F.col("k") == k, F.col("inten_k"))).alias(f"_s{k}") for k in range(1, STEPS)])
+    return base.join(got, key, "left").select(*key, "mz", "n_scans", *[(F.col(f"_s{k}") / F.col("_s")).alias(f"r{k}") for k in range(1, STEPS)])
 
-    The steps are found by a tolerance join; the ratios of an ion are a row, which an Arrow map judges.
-    """
-    ks = F.array(*[F.lit(k) for k in range(1, STEPS)])
-    a = ions.select("run", "scan", "mz", "inten", F.explode(ks).alias("k")).withColumn("_at", F.col("mz") + F.col("k") * F.when(F.col("k") % 2 == 0, F.lit(0.99880)).otherwise(F.lit(C13)))
-    b = ions.select("run", "scan", F.col("mz").alias("mz_b"), F.col("inten").alias("inten_b"))
-    # an even step lies between that of chlorine or bromine and that of carbon
-    hit = band_join(a, b, "_at", "mz_b", ppm + 6000.0, ["run", "scan"], F.abs(F.col("mz_b") - F.col("_at")) <= F.col("mz") * ppm / 1e6 + F.when(F.col("k") % 2 == 0, F.col("k") * 0.0046).otherwise(0.0))
-    r = hit.groupBy("run", "scan", "mz", "k").agg((F.max("inten_b") / F.first("inten")).alias("r"))
-    one = r.groupBy("run", "mz").agg(*[F.avg(F.when(F.col("k") == k, F.col("r"))).alias(f"r{k}") for k in range(1, STEPS)]).filter("r2 is not null")
+
+def judged(ratios: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, mz, verdict, pattern, n_ratios)`` of ``ratios(*keys, mz, r1, r2, r3, r4)``: each row on its own, in an Arrow map."""
+    types = ", ".join(f"{k} {t}" for k, t in ratios.select(*keys).dtypes)
 
     def work(batches):
         for x in batches:
-            rows = [verdict(m, list(q)) for m, q in zip(x["mz"].to_pylist(), zip(*[x[f"r{k}"].to_pylist() for k in range(1, STEPS)]))]
-            n = [sum(v is not None for v in q) for q in zip(*[x[f"r{k}"].to_pylist() for k in range(1, STEPS)])]
-            yield pa.RecordBatch.from_arrays([x["run"], x["mz"], pa.array([v for v, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string()), pa.array(n, pa.int32())], names=["run", "mz", "verdict", "pattern", "n_ratios"])
+            q = list(zip(*[x[f"r{k}"].to_pylist() for k in range(1, STEPS)]))
+            rows = [verdict(m, list(v)) for m, v in zip(x["mz"].to_pylist(), q)]
+            n = [sum(v is not None for v in y) for y in q]
+            yield pa.RecordBatch.from_arrays([*[x[k] for k in keys], x["mz"], pa.array([v for v, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string()), pa.array(n, pa.int32())], names=[*keys, "mz", "verdict", "pattern", "n_ratios"])
+
+    return ratios.select(*keys, "mz", *[f"r{k}" for k in range(1, STEPS)]).mapInArrow(work, f"{types}, mz double, verdict string, pattern string, n_ratios int")
 
-    return one.mapInArrow(work, "run string, mz double, verdict string, pattern string, n_ratios int")
+
+def halogens(ions: DataFrame, ppm: float = 10.0) -> DataFrame:
+    """``(run, scan, mz, verdict, pattern, n_ratios)`` of ``ions(run, scan, mz, inten)``, the peaks of spectra: each peak that has one two mass steps above it, by its steps in the same
+    spectrum."""
+    d = ions.select("run", "scan", F.col("mz").alias("mz_o"), F.col("inten").alias("inten_o"))
+    got = _steps(d, ions, ["run", "mz_o", "inten_o"], ppm)
+    one = got.groupBy("run", "scan", F.col("mz_o").alias("mz"), "inten_o").agg(*[(F.max(F.when(F.col("k") == k, F.col("inten_k"))) / F.first("inten_o")).alias(f"r{k}") for k in range(1, STEPS)])
+    return judged(one.filter("r2 is not null"), ["run", "scan"])

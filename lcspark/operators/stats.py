@@ -81,3 +81,16 @@ def confusion(df: DataFrame, group: list[str], truth: Column, called: Column) ->
     t, c = F.coalesce(truth, F.lit(False)), F.coalesce(called, F.lit(False))
     d = df.groupBy(*group).agg(F.count_if(t & c).alias("tp"), F.count_if(t & ~c).alias("fn"), F.count_if(~t & c).alias("fp"), F.count_if(~t & ~c).alias("tn"))
     return d.withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn"))).withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("fpr", F.try_divide("fp", F.col("fp") + F.col("tn")))
+
+
+def spread_rank(df: DataFrame, keys: list[str], score: str, order: list[Column], step: float) -> DataFrame:
+    """``df`` with ``rank``: the place of each row in its group, ``score`` falling, then ``order``. Rows are ranked inside steps of the score, and a step starts behind the
+    rows of all higher ones, so that a group of any size is sorted in as many tasks as its scores have steps."""
+    d = df.withColumn("_s", F.floor(F.greatest(F.least(F.col(score) / step, F.lit(1e9)), F.lit(-1e9))))
+    n = d.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_above", F.coalesce(above, F.lit(0))).drop("_n")
+    w = Window.partitionBy(*keys, "_s").orderBy(F.col(score).desc(), *order)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_s"]]
+    j = d.alias("a").join(n.alias("b"), on).select("a.*", "b._above")
+    return j.withColumn("rank", (F.row_number().over(w) + F.col("_above")).cast("int")).drop("_s", "_above")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lcspark.operators import compounds as c
 from lcspark.operators.features import coeluting, isomer_candidates, proven_pairs, shared_positions
-from lcspark.operators.halogen import halogens
+from lcspark.operators.halogen import judged, patterns
 from lcspark.operators.stats import ion_pairs
 from lcspark.operators.traces import by_run, run_key, valid_points
-from lcspark.plans.features import PAIRS, seen
+from lcspark.plans.features import COELUTE, PAIRS, seen
+from lcspark.plans.shape import DENSE, dense
 from lcspark.session import materialise, small
 from lcspark.sources.tables import read
 
@@ -115,10 +116,18 @@ def q_warp_apply_whole(spark: SparkSession, d: str) -> DataFrame:
     return _warped(spark, d, run_key(F.col("file")))
 
 
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    return patterns(dense(spark, d).select("run", "group_id", "scan", "mz", "inten"), valid_points(read(spark, d, "points")))
+
+
+def q_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Isotope ratios of the ions that a run shows nearly throughout."""
+    return _patterns(spark, d).select("run", "group_id", "n_scans", F.round("mz", 6).alias("mz"), *[F.round(f"r{k}", 6).alias(f"r{k}") for k in range(1, 5)])
+
+
 def q_halogen(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts on every centroid with a partner two mass steps above it in its scan, counted by run."""
-    v = halogens(valid_points(read(spark, d, "points")).select("run", "scan", "mz", "inten"))
-    return v.groupBy("run", "verdict", "pattern").agg(F.count("*").alias("n"))
+    """Verdicts on those ions."""
+    return judged(_patterns(spark, d), ["run", "group_id"]).select("run", "group_id", "verdict", "pattern", "n_ratios")
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -126,7 +135,18 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 CHAINS = PAIRS.replace("with p as", "with recursive p as") + ", e as (select a, b from p union select b, a from p), walk as (select a as id, a as seen from e union select w.id, e.b from walk w join e on w.seen = e.a), comp as (select id, min(seen) as component from walk group by id)"
 KNOTS = """with a as (select file, rt_s, rt_aligned_s, cast(ntile(20) over (partition by file order by rt_s, map_id) as integer) as knot from ms2_map where file is not null and rt_s is not null and rt_aligned_s is not null),
 g as (select file, knot, median(rt_s) as n, median(rt_aligned_s) as c from a group by file, knot), k as (select * from g window w as (partition by file order by knot rows between unbounded preceding and 1 preceding) qualify coalesce(n > max(n) over w and c > max(c) over w, true))"""
+#: Greedy stars: nodes in order of weight; one with no earlier center beside it is a center, any other belongs to the first center beside it.
+STARS = COELUTE.replace("with p as", "with recursive p as") + """, n as (select group_id as id, n_detected as w, row_number() over (order by n_detected desc nulls last, group_id) as k from aligned_feature_table), ed as (select a as x, b as y from p union select b, a from p),
+nb as (select n.k, coalesce(list(m.k) filter (m.k < n.k), []) as l from n left join ed on ed.x = n.id left join n m on m.id = ed.y group by n.k),
+st as (select 0::bigint as k, []::bigint[] as c union all select nb.k, case when list_has_any(st.c, nb.l) then st.c else list_append(st.c, nb.k) end from st join nb on nb.k = st.k + 1),
+ce as (select unnest(c) as k from (select c from st order by k desc limit 1)), star as (select n.id, coalesce((select min(m.k) from ed join n m on m.id = ed.y join ce on ce.k = m.k where ed.x = n.id and m.k < n.k), n.k) as ck from n)"""
+PATTERNS = DENSE + """, tp as (select run, group_id, max(inten) as h from dn where inten > 0 group by 1, 2), co as (select dn.run, dn.group_id, dn.scan, dn.mz, dn.inten from dn join tp on dn.run = tp.run and dn.group_id = tp.group_id where dn.inten >= 0.5 * tp.h),
+ba as (select run, group_id, count(*) as n_scans, sum(inten) as s, sum(mz * inten) / sum(inten) as mz from co group by 1, 2),
+hk as (select co.run, co.group_id, co.scan, k, max(v.inten) as i from co, unnest([1, 2, 3, 4]) t(k) join v on v.run = co.run and v.scan = co.scan and abs(v.mz - (co.mz + k * case when k % 2 = 0 then 1.0011::double else 1.0033548378::double end)) <= co.mz * 10 / 1e6 + case when k % 2 = 0 then k * 0.0023::double else 0 end group by 1, 2, 3, 4),
+sk as (select run, group_id, sum(i) filter (k = 1) as s1, sum(i) filter (k = 2) as s2, sum(i) filter (k = 3) as s3, sum(i) filter (k = 4) as s4 from hk group by 1, 2)"""
 ORACLES = {
+    "q_stars": STARS + " select star.id as group_id, n.id as center_id from star join n on n.k = star.ck",
+    "q_patterns": PATTERNS + " select ba.run, ba.group_id, n_scans, round(mz, 6) as mz, round(s1 / s, 6) as r1, round(s2 / s, 6) as r2, round(s3 / s, 6) as r3, round(s4 / s, 6) as r4 from ba left join sk on ba.run = sk.run and ba.group_id = sk.group_id",
     "q_components": CHAINS + " select id as group_id, component from comp",
     "q_territories": CHAINS + " select id as group_id, round((lag(rt) over w + rt) / 2, 6) as lo, round((lead(rt) over w + rt) / 2, 6) as hi from comp join aligned_feature_table f on comp.id = f.group_id window w as (partition by component order by rt, id)",
     "q_int_corr": """with v as (select run, scan, cast(floor(ln(mz) / 1e-4::double) as bigint) as bin, max(cast(inten as double)) as i from points where inten > 0 and isfinite(inten) and mz > 0 and isfinite(mz) group by 1, 2, 3),

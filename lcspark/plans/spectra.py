@@ -9,7 +9,7 @@ from lcspark.constants import ADDUCT_PIECES, ELECTRON, MASS
 from lcspark.functions import chem
 from lcspark.functions.spectra import METHODS
 from lcspark.operators import spectra as s
-from lcspark.operators.stats import confusion
+from lcspark.operators.stats import confusion, spread_rank
 from lcspark.operators.traces import by_run, run_key
 from lcspark.session import once, small
 from lcspark.sources.tables import read
@@ -40,8 +40,8 @@ def _order() -> list:
 
 def q_rank_hits(spark: SparkSession, d: str) -> DataFrame:
     """Every hit with its rank in its feature's spectrum copy."""
-    w = Window.partitionBy("group_id", "spectrum").orderBy(*_order())
-    return _hits(spark, d).select("hit_id", F.row_number().over(w).alias("rank"))
+    h = _hits(spark, d).select("hit_id", "group_id", "spectrum", "score", "n_matched", "library_index")
+    return spread_rank(h, ["group_id", "spectrum"], "score", _order()[1:], 0.02).select("hit_id", "rank")
 
 
 def q_default_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lcspark.session import materialise
+
 RECORD = "lib string, rec int, name string, precursor_mz double, precursor_type string, mode tinyint, formula string, inchikey string, smiles string, comment string, peaks array<struct<mz:double,inten:float>>, n_skipped int"
 
 # The keys a library may use for a column, without case and punctuation.
@@ -93,6 +95,46 @@ def read_msp(spark: SparkSession, path: str) -> DataFrame:
     return d.mapInPandas(_parsed, RECORD)
 
 
+SPLIT = "lib string, block long, skipped boolean, name string, precursor_mz double, precursor_type string, mode int, formula string, inchikey string, smiles string, comment string, peaks array<struct<mz:double,inten:double>>"
+
+
+def _parsed_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in SPLIT.split(", ")]
+    for b in batches:
+        rows = []
+        for path, block, text in zip(b["path"], b["block"], b["value"]):
+            lib = re.sub(r"\.msp$", "", path.rsplit("/", 1)[-1], flags=re.I)
+            for f, p in records(text or ""):
+                skip = f.get("level", "").strip().lower() in ("1", "ms1") or not p
+                text_of = lambda k: f.get(k) or None  # noqa: B023, E731
+                rows.append((lib, block, skip, f.get("name", ""), _number(f.get("precursor_mz")), text_of("precursor_type"), _mode(f), text_of("formula"), text_of("inchikey"), text_of("smiles"), text_of("comment"), [{"mz": m, "inten": i} for m, i in sorted(p)]))
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def read_msp_split(spark: SparkSession, path: str, separator: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+    """Libraries of any size: the loaded records with ``rec``, and ``(lib, n_loaded, n_skipped)``, also of a file that holds skipped ones only.
+
+    Files are split where ``separator`` stands, inside a file too, so that a task holds a block of it. ``rec`` counts the loaded records of a file in its order: inside a block, behind those
+    of the blocks before it; no file is sorted as a whole.
+    """
+    t = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    d = t.filter("length(trim(value)) > 0").mapInPandas(_parsed_records, SPLIT).withColumn("_id", F.monotonically_increasing_id())
+    d = materialise(d)
+    counts = d.groupBy("lib").agg(F.count_if(~F.col("skipped")).alias("n_loaded"), F.count_if("skipped").alias("n_skipped"))
+    kept = d.filter(~F.col("skipped")).drop("skipped")
+    blocks = kept.groupBy("lib", "block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lib").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_before", before).drop("_n")
+    rec = F.row_number().over(Window.partitionBy("lib", "block").orderBy("_id")) - 1
+    out = kept.withColumn("_k", rec).join(blocks, ["lib", "block"]).withColumn("rec", (F.col("_before") + F.col("_k")).cast("int"))
+    return out.drop("_k", "_before", "_id", "block"), counts
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """A library by the form of its file: ``.msp`` text, else a Parquet table."""
+    return read_msp_split(spark, path)[0] if path.lower().rstrip("/").endswith((".msp", "*")) else spark.read.parquet(path)
+
+
 def msp_text(peaks: str = "peaks") -> Column:
     """A library row as one .msp record; null fields are left out."""
     line = lambda key, c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{key}: "), F.col(c).cast("string")))
