@@ -81,3 +81,28 @@ def test_peak_groups_and_names(spark):
     assert got == {1: (1, 2), 2: (1, 2), 3: (2, 1), 4: (2, 1)}
     named = {r.id: (r.name, r.kind) for r in truth.annotated(p.withColumn("height", F.when(F.col("id") == 1, 99.0).otherwise(F.col("height"))), "k", {"M+1": ("isotope", 1.00335), "Na": ("adduct", 21.9819)}).collect()}
     assert named == {1: (None, "base"), 2: ("M+1", "isotope"), 3: (None, "fragment"), 4: ("Na", "adduct")}
+
+
+def test_complementary_groups_merge_without_chains(spark):
+    from lcspark.operators import scans
+
+    g = [(1, 300.0, 2.0, 9), (2, 300.0003, 2.03, 4), (3, 300.0002, 2.06, 3), (4, 300.0, 2.02, 2), (5, 400.0, 2.0, 5), (6, 300.0, 5.0, 3)]
+    f = spark.createDataFrame([("s", i, mz, rt, rt - 0.05, rt + 0.05, n) for i, mz, rt, n in g], "study string, group_id bigint, mz double, rt double, rt_min double, rt_max double, n_detected int")
+    runs = {1: "abc", 2: "de", 3: "ef", 4: "a", 5: "x", 6: "y"}
+    seen = spark.createDataFrame([(i, r) for i, x in runs.items() for r in x], "group_id bigint, run string")
+    # 1 takes 2 (nearest that shares no run); 3 then shares e with it; 4 shares a with 1, and 3 takes it
+    assert {(r.id, r.target) for r in scans.merge_complementary(f, seen).collect()} == {(2, 1), (4, 3)}
+    assert scans.merge_complementary(f.limit(0), seen).count() == 0
+
+
+def test_a_jumped_scan_is_moved_back(spark):
+    from lcspark.operators import scans
+
+    rng = np.random.default_rng(4)
+    ions = np.linspace(150, 900, 20)
+    rows = [("r", g, s, s / 60, float(m * (1 + (rng.normal(0, 0.5) + (12 if s in (30, 50, 70, 90) else 0)) * 1e-6)), 1e5) for s in range(100) for g, m in enumerate(ions)]
+    t = spark.createDataFrame(rows, "run string, group_id bigint, scan int, minutes double, mz double, inten double")
+    sh = scans.scan_shifts(t).cache()
+    assert {r.scan for r in sh.filter("jumped = 1").collect()} == {30, 50, 70, 90}
+    back = scans.corrected_mz(t.select("run", "scan", "group_id", "mz"), sh).filter("moved = 1").collect()
+    assert len(back) == 80 and max(abs(r.mz / ions[r.group_id] - 1) * 1e6 for r in back) < 4

@@ -1,9 +1,9 @@
 import pytest
 from sqlcheck import connection, same
 
-from lcspark.plans import align, features, graphs, ions, prep, shape, spectra, streams, study, traces, truth
+from lcspark.plans import align, features, graphs, ions, prep, scans, shape, spectra, streams, study, traces, truth
 
-MODULES = (prep, traces, shape, features, spectra, streams, graphs, align, truth, ions, study)
+MODULES = (prep, traces, shape, features, spectra, streams, graphs, align, truth, ions, study, scans)
 QUERIES = {k: (f, m.ORACLES.get(k)) for m in MODULES for k, f in m.QUERIES.items()}
 
 
