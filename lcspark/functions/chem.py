@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.constants import ADDUCT_PIECES, ELECTRON, MASS
+from lcspark.constants import ADDUCT_PIECES, COMBINATIONS, ELECTRON, MASS
 from lcspark.session import once
 
 
@@ -105,15 +105,8 @@ def ratios_ok(n: dict[str, Column], mass: Column) -> Column:
 
 def combinations_ok(n: dict[str, Column]) -> Column:
     """Heteroatom combinations that occur: each rule bounds its elements once all of them exceed a number."""
-    rules = (  # (elements and the number each must exceed, for the rule to hold), (highest counts)
-        ({"N": 0, "O": 0, "P": 0, "S": 0}, {"N": 9, "O": 19, "P": 3, "S": 2}),
-        ({"N": 3, "O": 3, "P": 3}, {"N": 10, "O": 21, "P": 5}),
-        ({"O": 1, "P": 1, "S": 1}, {"O": 13, "P": 2, "S": 2}),
-        ({"P": 1, "S": 1, "N": 1}, {"P": 2, "S": 2, "N": 3}),
-        ({"N": 6, "O": 6, "S": 6}, {"N": 18, "O": 13, "S": 7}),
-    )
     ok = F.lit(True)
-    for over, most in rules:
+    for over, most in COMBINATIONS:
         applies = F.lit(True)
         for e, k in over.items():
             applies = applies & (n[e] > k)

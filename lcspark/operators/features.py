@@ -152,14 +152,16 @@ def _claim(mz: np.ndarray, rt: np.ndarray, width: np.ndarray, height: np.ndarray
 def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05) -> DataFrame:
     """``(study, member_id, group_no)`` of ``members(study, member_id, run, mz, rt, width, height)``: cross-run groups, each named by its seed.
 
-    The rule looks no farther than its tolerances, so each m/z island is grouped on its own; islands are cut again where the time leaves a
-    gap wider than any pair may span, so that a crowded m/z does not make a large task.
+    The rule looks no farther than its tolerances, so each m/z island is grouped on its own; islands are cut again where a member lies beyond the reach of all
+    before it, each by its own width, so that neither a crowded m/z nor one wide peak makes a large task.
     """
     d = members.dropna(subset=["study", "member_id", "run", "mz", "rt", "height"]).withColumn("width", F.coalesce("width", F.lit(0.0)))
     d = islands(d, "study", "mz", ppm)
-    reach = d.agg(F.greatest(F.max("width") * 0.5, F.lit(rt_tol))).scalar()
     order = Window.partitionBy("study", "island").orderBy("rt", "member_id")
-    d = d.withColumn("_new", F.when(F.col("rt") - F.lag("rt").over(order) <= reach, 0).otherwise(1)).withColumn("part", F.sum("_new").over(order))
+    # a pair spans no more than the smaller reach of the two
+    reach = F.greatest(F.col("width") * 0.5, F.lit(rt_tol))
+    d = d.withColumn("_to", F.max(F.col("rt") + reach).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_new", F.when(F.col("rt") <= F.col("_to"), 0).otherwise(1)).withColumn("part", F.sum("_new").over(order))
 
     def work(t: pa.Table) -> pa.Table:
         a = {c: t[c].to_numpy() for c in ("mz", "rt", "width", "height", "member_id")}

@@ -1,7 +1,7 @@
 """Chromatographic features of centroided runs.
 
-Centroids are first cut into m/z islands per run with DataFrame operations; an island is picked on its own, as no rule looks across its gaps.
-Within one, every centroid is joined to the strongest near centroid of the scans around it, and peaks grow from the strongest centroid down:
+A run is cut into tiles of m/z and scans that overlap by more than a peak is wide, whatever lies in them, so that no task grows with a run; of a tile the peaks
+are kept whose apex lies in its core. Within one, every centroid is joined to the strongest near centroid of the scans around it, and peaks grow from the strongest centroid down:
 a centroid joins the highest peak it touches, and two peaks that meet at it become one unless the lower stands out by its persistence.
 """
 
@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.operators.features import islands
 from lcspark.operators.traces import valid_points
-from lcspark.session import keyed
+from lcspark.session import keyed, small
+
+#: Tiles: width in log m/z and overlap in ppm, scans and their overlap.
+TILE, OVERLAP_PPM, STRETCH, OVERLAP_SCANS = 0.03, 100.0, 2048, 192
 
 _FEATURES = "run string, mz double, rt double, rt_apex double, rt_min double, rt_max double, height double, area double, fwhm double, n_scans int, n_points int, mz_sd_ppm double, snr double"
 
@@ -96,27 +98,29 @@ def _row(run: str, t: np.ndarray, scan: np.ndarray, mz: np.ndarray, inten: np.nd
 def pick(points: DataFrame, times: DataFrame, ppm: float = 15.0, reach: int = 3, share: float = 0.5, min_scans: int = 4, min_snr: float = 3.0) -> DataFrame:
     """Features of ``points`` with the scan times ``times(run, scan, minutes)``: apex, bounds, height, trapezoid area, FWHM, m/z and its spread.
 
-    A run's noise is its median intensity. An island is cut again where no scan within ``reach`` continues it; ties between centroids go to the
-    earlier one. Points that are not valid, or of scans without a time, are left out; empty tables give no feature.
+    A run's noise is the lower quartile of its intensities. Ties between centroids go to the earlier one. Points that are not valid, or of scans without a
+    time, are left out; empty tables give no feature. A peak longer than ``OVERLAP_SCANS`` to one side of its apex is cut at a tile's end.
     """
     p = valid_points(points).join(times.select("run", "scan", "minutes"), ["run", "scan"])
-    p = islands(p, "run", "mz", ppm)
-    order = Window.partitionBy("run", "island").orderBy("scan", "pos")
-    p = p.withColumn("_new", F.when(F.col("scan") - F.lag("scan").over(order) <= reach, 0).otherwise(1)).withColumn("part", F.sum("_new").over(order)).drop("_new")
-    noise = p.groupBy("run").agg(F.percentile_approx("inten", 0.25, 1000).alias("noise"))
-    size = Window.partitionBy("run", "island", "part")
-    p = p.withColumn("_n", F.count("*").over(size)).filter(F.col("_n") >= min_scans).drop("_n").join(noise, "run")
-
-    def work(g: pa.Table) -> pa.Table:
+    noise = small(p.groupBy("run").agg(F.percentile_approx("inten", 0.25, 1000).alias("noise")))
+    x = F.log("mz") / TILE
+    edge = OVERLAP_PPM * 1e-6 / TILE
+    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))
+    p = p.withColumn("tile", tiles(x - edge, x + edge)).withColumn("part", tiles((F.col("scan") - OVERLAP_SCANS) / STRETCH, (F.col("scan") + OVERLAP_SCANS) / STRETCH)).join(noise, "run")
+
+    def work(key: tuple, g: pa.Table) -> pa.Table:
+        tile, part = key[1].as_py(), key[2].as_py()
         a = {c: g[c].to_numpy() for c in ("scan", "mz", "inten", "minutes")}
         by = np.lexsort((a["mz"], a["scan"]))
         a = {c: v[by] for c, v in a.items()}
         run, floor_ = g["run"][0].as_py(), float(g["noise"][0].as_py())
         label = basins(a["scan"].astype(np.int64), a["mz"], a["inten"], ppm, reach, share, floor_)
+        core = (np.floor(np.log(a["mz"]) / TILE) == tile) & (a["scan"] // STRETCH == part)
+        order = np.argsort(label, kind="stable")
         rows = []
-        for b in np.unique(label):
-            own = label == b
-            if len(np.unique(a["scan"][own])) >= min_scans:
+        for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(order) else ():
+            # a peak is named by its apex, which one tile alone has in its core
+            if core[label[own[0]]] and len(own) >= min_scans and len(np.unique(a["scan"][own])) >= min_scans:
                 r = _row(run, a["minutes"][own], a["scan"][own], a["mz"][own], a["inten"][own], floor_)
                 if r[-1] >= min_snr:
                     rows.append(r)
@@ -124,4 +128,4 @@ def pick(points: DataFrame, times: DataFrame, ppm: float = 15.0, reach: int = 3,
         kinds = [pa.string(), *[pa.float64()] * 8, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds))})
 
-    return keyed(p, "run", "island", "part").groupBy("run", "island", "part").applyInArrow(work, _FEATURES)
+    return keyed(p, "run", "tile", "part").groupBy("run", "tile", "part").applyInArrow(work, _FEATURES)

@@ -19,7 +19,8 @@ def r(c: str, n: int = 6):
 
 def q_half_widths(spark: SparkSession, d: str) -> DataFrame:
     t = dense(spark, d)
-    return s.half_widths(t, shape.candidates(t)).select("run", "group_id", "block", r("left"), r("right"))
+    # what lies halfway between two digits is moved to one side
+    return s.half_widths(t, shape.candidates(t)).select("run", "group_id", "block", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("left", "right")])
 
 
 def q_scan_gains(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +94,7 @@ aq as (select *, (wd - b * wx) / w as a from bq), shq as (select run, scan, n, a
 ORACLES = {
     "q_half_widths": DENSE + CAND + """, z as (select dn.*, c.scan_apex, c.height, lead(dn.minutes) over w as mn, lead(dn.inten) over w as i2, lag(dn.minutes) over w as mp, lag(dn.inten) over w as i0 from dn join cd c on dn.run = c.run and dn.group_id = c.group_id and dn.block = c.block window w as (partition by dn.run, dn.group_id, dn.block order by dn.scan)),
 x as (select run, group_id, block, scan, scan_apex, minutes + (mn - minutes) * (height / 2 - inten) / nullif(i2 - inten, 0) as l, minutes + (mp - minutes) * (height / 2 - inten) / nullif(i0 - inten, 0) as r, inten < height / 2 as below from z)
-select run, group_id, block, round(arg_max(l, scan) filter (below and scan < scan_apex), 6) as left, round(arg_min(r, scan) filter (below and scan > scan_apex), 6) as right from x group by 1, 2, 3""",
+select run, group_id, block, round(arg_max(l, scan) filter (below and scan < scan_apex) + 1e-9, 6) as left, round(arg_min(r, scan) filter (below and scan > scan_apex) + 1e-9, 6) as right from x group by 1, 2, 3""",
     "q_scan_gains": DENSE + """, y as (select run, group_id, scan, ln(inten) as y, median(ln(inten)) over (partition by run, group_id) as m from dn where inten > 0) select run, scan, count(*) as n, round(exp(median(y - m)), 6) as gain from y group by 1, 2 having count(*) >= 5""",
     "q_scan_shifts": SHIFTS + " select run, scan, n, round(a, 4) as a, round(b, 3) as b, round(chi2, 4) as chi2, jumped from shq",
     "q_corrected_mz": SHIFTS + """, rn as (select run from shq where jumped = 1 group by run having count(*) >= 3), jq as (select shq.* from shq join rn on shq.run = rn.run where jumped = 1), mv as (select v.run, v.mz, jq.a, case when jq.a is not null then v.mz / (1 + (jq.a + jq.b / sqrt(v.mz)) * 1e-6) else v.mz end as x from v left join jq on v.run = jq.run and v.scan = jq.scan)

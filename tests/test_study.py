@@ -145,3 +145,22 @@ def test_a_peak_is_confirmed_and_a_slope_is_not(spark):
     assert got[1].is_apex == 1 and abs(got[1].top_scan - 48) <= 1 and got[1].prominence > 5e4 and got[2].is_apex == 0
     ref = spark.createDataFrame([("s", g, 1e5, 100.0) for g in (1, 2, 3)], "study string, group_id bigint, height double, noise double")
     assert {r.group_id: r.confirmed for r in shape.confirmed(p, ref).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_tiles_do_not_change_what_is_picked(spark, monkeypatch):
+    from lcspark.operators import pick
+
+    rng = np.random.default_rng(6)
+    pts = []
+    for k in range(40):
+        mz, at, h = float(rng.uniform(200, 260)), int(rng.integers(30, 570)), float(np.exp(rng.uniform(9, 13)))
+        pts += [("r", s, k, mz * (1 + rng.normal(0, 1e-6)), h * float(np.exp(-((s - at) ** 2) / 18))) for s in range(max(at - 10, 1), at + 11)]
+    pts += [("r", int(rng.integers(1, 600)), 900 + k, float(rng.uniform(200, 260)), float(rng.uniform(50, 400))) for k in range(1500)]
+    d = spark.createDataFrame([p for p in pts if p[4] > 100], "run string, scan int, pos bigint, mz double, inten double")
+    times = spark.range(1, 620).select(F.lit("r").alias("run"), F.col("id").cast("int").alias("scan"), (F.col("id") / 60).alias("minutes"))
+    rows = lambda: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in pick.pick(d, times).collect())
+    whole = rows()
+    monkeypatch.setattr(pick, "STRETCH", 64)
+    monkeypatch.setattr(pick, "OVERLAP_SCANS", 40)
+    monkeypatch.setattr(pick, "TILE", 0.002)
+    assert rows() == whole and 30 <= len(whole) <= 60
