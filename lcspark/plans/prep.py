@@ -142,7 +142,7 @@ ORACLES = {
   union all select 'aligned_feature_table', group_id, 'n_filled', group_id from features where n_filled_filled = 1
   union all select 'aligned_feature_table', group_id, 'possible_halogen', group_id from features where possible_halogen_filled = 1""",
     "p5_features": _FILLED + "select group_id, study, n_filled, n_filled_filled, possible_halogen, possible_halogen_filled from features",
-    "p4_impossible": "select distinct run, scan, pos from points where coalesce(isnan(inten) or inten <= 0 or inten > 1e12, false) or coalesce(isnan(mz) or mz < 50 or mz > 1700, false)",
+    "p4_impossible": "select distinct run, scan, pos from points where coalesce(cast(inten as varchar) = 'nan' or inten <= 0 or inten > 1e12, false) or coalesce(cast(mz as varchar) = 'nan' or mz < 50 or mz > 1700, false)",
     "p5_widths": _WIDTHS + """ select f.group_id, round(coalesce(f.rt_min, f.rt - l_p.p), 6) as rt_min, cast(f.rt_min is null and f.rt is not null as integer) as rt_min_filled, round(coalesce(f.rt_max, f.rt + r_p.p), 6) as rt_max,
   cast(f.rt_max is null and f.rt is not null as integer) as rt_max_filled, round(coalesce(f.rt_sd, s_p.p), 6) as rt_sd, cast(f.rt_sd is null and s_p.p is not null as integer) as rt_sd_filled
   from f join l_p on f.group_id = l_p.group_id join r_p on f.group_id = r_p.group_id join s_p on f.group_id = s_p.group_id""",
