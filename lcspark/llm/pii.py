@@ -56,13 +56,17 @@ prévenue locataire salarié salariée""".split()
 DEEDS = """met wrote said stated testified signed told replied lived married phoned visited swore thanked traf schrieb sagte erklärte unterschrieb wohnte
 heiratete bezeugte rencontra écrivit déclara signa témoigna habitait épousa""".split()
 
-_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+(?:\s?@\s?|\s?[\[(](?:at|ät)[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(](?:dot|punkt|point)[\])]\s?)[\w-]+)+", re.I)
+# Mail is anchored on its sign, from which the local part is read backwards.
+_AT_SIGN = re.compile(r"@|[\[(](?:at|AT|At|ät|ÄT|Ät)[\])]")
+_DOMAIN = re.compile(r"\s?[\w-]+(?:(?:\.|\s?[\[(](?:dot|punkt|point)[\])]\s?)[\w-]+)+", re.I)
 _WRITTEN = re.compile(r"(?<![\w.+-])[\w.+-]+\s(?:at|AT|arobase)\s[\w-]+(?:\s(?:dot|DOT|punkt|point)\s[\w-]+)+")
 # Numbers are looked at as clusters of digits and their signs; the words before a cluster and its shape say what it is.
-_CLUSTER = re.compile(r"[+(]?\d[\d\s().+/-]{4,}")
+_CLUSTER = re.compile(r"\d[\d\s().+/-]{4,}")
 _PHONE = re.compile(r"(?<![\w./+-])(?:\+\d{1,3}[\s.-]?(?:\(0\))?|00\s?\d{2}\s?(?:\(0\)\s?)?|\(0?\d{2,5}\)\s?|0\d{1,4}[\s./-]?)\d{1,9}(?:[\s.-]\d{2,9}){0,5}(?![\w/])")
 _DATE = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d")
-_REFERENCE = re.compile(r"(?:ref\.?|INV-|no\. of file|[Dd]ocket|Geschäft|Affaire|folios?)\s*$")
+_REFERENCES = ("ref", "ref.", "INV-", "no. of file", "Docket", "docket", "Geschäft", "Affaire", "folio", "folios")
+# Parts of which one stands in whatever _ID_BEFORE finds.
+_ID_STEMS = ("tax", "identity", "personal", "passport", "insurance", "security", "id", "ausweis", "ahv", "steuer", "sozial", "passeport", "pièce", "numéro", "sécurité", "avs")
 _ID_BEFORE = re.compile(
     r"(?i:tax\s+(?:ID|no|number)|identity\s+(?:no|number|card)|personal\s+(?:no|number|ID)|passport(?:\s+no)?|national\s+insurance(?:\s+(?:ref|no|number))?|social\s+security(?:\s+(?:no|number))?|\bID(?:\s+(?:number|no|card))?"
     r"|Ausweis(?:-?Nr|nummer)?|AHV[\w-]*(?:\s+Nr)?|Personal(?:nummer|ausweis)|Steuer(?:-?ID|nummer)|Sozialversicherungsnummer|passeport|pièce\s+d['’]identité|numéro\s+(?:fiscal|d['’]identité|AVS)|sécurité\s+sociale|\bAVS)"
@@ -95,6 +99,9 @@ _FR = re.compile(r"\b(?:la|le|les|que|du|des|est|dans|une)\b")
 _EN_DE = re.compile(r"\b(?:the|of|and|der|die|das|und|nicht)\b")
 
 
+_DOTS, _ATS = (" dot ", " DOT ", "\ndot ", " dot\n", " punkt ", " point ", "\npoint ", " point\n"), (" at ", " at\n", "\nat ", " AT ", "arobase")
+
+
 def _back(t: str, a: int, signs: int) -> int:
     """Where the ``signs`` signs before ``a`` begin, blanks not counted."""
     b, want = a, signs
@@ -112,10 +119,15 @@ def _spans(t: str) -> list[tuple[int, int, str]]:
         if all(b <= x or a >= y for x, y, _ in out):
             out.append((a, b, kind))
 
-    if "@" in t or "(at" in t or "[at" in t or "(AT" in t or "[AT" in t or "(ät" in t:
-        for m in _EMAIL.finditer(t):
-            add(m.start(), m.end(), "email")
-    if " dot " in t or " DOT " in t or "\ndot " in t or " dot\n" in t or " punkt " in t or " point " in t:
+    if "@" in t or "(at" in t or "[at" in t or "(AT" in t or "[AT" in t or "(ät" in t or "(At" in t:
+        for m in _AT_SIGN.finditer(t):
+            b = m.start() - (m.start() > 0 and t[m.start() - 1].isspace())
+            a = b
+            while a and (t[a - 1].isalnum() or t[a - 1] in "_.+-"):
+                a -= 1
+            if a < b and (d := _DOMAIN.match(t, m.end())):
+                add(a, d.end(), "email")
+    if any(x in t for x in _DOTS) and any(x in t for x in _ATS):
         for m in _WRITTEN.finditer(t):
             add(m.start(), m.end(), "email")
     phones: list[tuple[int, int]] = []
@@ -123,10 +135,14 @@ def _spans(t: str) -> list[tuple[int, int, str]]:
         a, b = m.span()
         if sum(map(str.isdigit, m.group())) < 6:
             continue
+        # a sign before the first digit belongs to the number
+        plain = not (a and t[a - 1] in "+(")
+        a -= not plain
         before = t[_back(t, a, 56) : a]
-        if m.group()[0].isdigit() and (k := _ID_BEFORE.search(before)) and (v := _ID_VALUE.match(t, a - len(k[1]))) and sum(map(str.isdigit, v.group())) >= 6:
+        low = before.lower()
+        if plain and any(x in low for x in _ID_STEMS) and (k := _ID_BEFORE.search(before)) and (v := _ID_VALUE.match(t, a - len(k[1]))) and sum(map(str.isdigit, v.group())) >= 6:
             add(v.start(), v.end(), "id_number")
-        elif _REFERENCE.search(before) is None:
+        elif not before.rstrip().endswith(_REFERENCES):
             # a shape may begin with letters that stand before the cluster
             for v in _ID_SHAPE.finditer(t, max(0, a - 5), min(len(t), b + 2)):
                 add(v.start(), v.end(), "id_number")
