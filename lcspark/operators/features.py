@@ -129,19 +129,21 @@ def islands(members: DataFrame, key: str, mz: str, ppm: float) -> DataFrame:
 _MEMBERS = "study string, member_id bigint, group_no bigint"
 
 
-def _claim(mz: np.ndarray, rt: np.ndarray, width: np.ndarray, height: np.ndarray, run: np.ndarray, ids: np.ndarray, ppm: float, rt_tol: float) -> np.ndarray:
+def _claim(mz: np.ndarray, rt: np.ndarray, width: np.ndarray, height: np.ndarray, run: np.ndarray, ids: np.ndarray, ppm: float, rt_tol: float, sig: np.ndarray) -> np.ndarray:
     """Group of each member (the id of its seed). Tallest first, a seed claims of every other run the free member nearest in time."""
     group = np.full(len(mz), -1, np.int64)
     by_mz = np.argsort(mz, kind="stable")
     sorted_mz = mz[by_mz]
+    widest = float(sig.max(initial=0.0))
     for s in np.lexsort((ids, -height)):
         if group[s] >= 0:
             continue
         group[s] = ids[s]
-        lo, hi = np.searchsorted(sorted_mz, [mz[s] * (1 - ppm * 1e-6), mz[s] * (1 + ppm * 1e-6)])
+        far = max(ppm, 3 * np.hypot(sig[s], widest)) * 1e-6
+        lo, hi = np.searchsorted(sorted_mz, [mz[s] * (1 - far), mz[s] * (1 + far)])
         j = by_mz[lo : hi + 1]
         gap = np.abs(rt[j] - rt[s])
-        ok = (group[j] < 0) & (run[j] != run[s]) & (np.abs(mz[j] - mz[s]) <= mz[s] * ppm * 1e-6) & (gap <= np.maximum(rt_tol, 0.5 * np.minimum(width[j], width[s])))
+        ok = (group[j] < 0) & (run[j] != run[s]) & (np.abs(mz[j] - mz[s]) <= mz[s] * 1e-6 * np.maximum(ppm, 3 * np.hypot(sig[j], sig[s]))) & (gap <= np.maximum(rt_tol, 0.5 * np.minimum(width[j], width[s])))
         j, gap = j[ok], gap[ok]
         order = np.lexsort((ids[j], -height[j], gap))
         _, first = np.unique(run[j][order], return_index=True)
@@ -149,14 +151,17 @@ def _claim(mz: np.ndarray, rt: np.ndarray, width: np.ndarray, height: np.ndarray
     return group
 
 
-def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05) -> DataFrame:
-    """``(study, member_id, group_no)`` of ``members(study, member_id, run, mz, rt, width, height)``: cross-run groups, each named by its seed.
+def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05, most_ppm: float = 30.0) -> DataFrame:
+    """``(study, member_id, group_no)`` of ``members(study, member_id, run, mz, rt, width, height)``: cross-run groups, each named by its seed. With a column ``sigma``, a member's m/z scatter in
+    ppm, a pair's tolerance is three times the two's together, ``ppm`` to ``most_ppm``.
 
     The rule looks no farther than its tolerances, so each m/z island is grouped on its own; islands are cut again where a member lies beyond the reach of all
     before it, each by its own width, so that neither a crowded m/z nor one wide peak makes a large task.
     """
     d = members.dropna(subset=["study", "member_id", "run", "mz", "rt", "height"]).withColumn("width", F.coalesce("width", F.lit(0.0)))
-    d = islands(d, "study", "mz", ppm)
+    # a pair of which both have the largest scatter still lies within the largest tolerance
+    sigma = F.least(F.greatest(F.coalesce(F.col("sigma"), F.lit(0.0)), F.lit(0.0)), F.lit(most_ppm / 3 / 2**0.5)) if "sigma" in members.columns else F.lit(0.0)
+    d = islands(d.withColumn("sigma", sigma), "study", "mz", max(ppm, most_ppm) if "sigma" in members.columns else ppm)
     order = Window.partitionBy("study", "island").orderBy("rt", "member_id")
     # a pair spans no more than the smaller reach of the two
     reach = F.greatest(F.col("width") * 0.5, F.lit(rt_tol))
@@ -164,10 +169,10 @@ def group_members(members: DataFrame, ppm: float = 5.0, rt_tol: float = 0.05) ->
     d = d.withColumn("_new", F.when(F.col("rt") <= F.col("_to"), 0).otherwise(1)).withColumn("part", F.sum("_new").over(order))
 
     def work(t: pa.Table) -> pa.Table:
-        a = {c: t[c].to_numpy() for c in ("mz", "rt", "width", "height", "member_id")}
+        a = {c: t[c].to_numpy() for c in ("mz", "rt", "width", "height", "member_id", "sigma")}
         run = np.unique(np.array(t["run"].to_pylist()), return_inverse=True)[1]
-        g = _claim(a["mz"], a["rt"], a["width"], a["height"], run, a["member_id"], ppm, rt_tol)
+        g = _claim(a["mz"], a["rt"], a["width"], a["height"], run, a["member_id"], ppm, rt_tol, a["sigma"])
         return pa.table({"study": t["study"], "member_id": pa.array(a["member_id"], pa.int64()), "group_no": pa.array(g, pa.int64())})
 
-    d = d.select("study", "island", "part", "member_id", "run", "mz", "rt", "width", F.col("height").cast("double").alias("height"))
+    d = d.select("study", "island", "part", "member_id", "run", "mz", "rt", "width", "sigma", F.col("height").cast("double").alias("height"))
     return keyed(d, "study", "island", "part").groupBy("study", "island", "part").applyInArrow(work, _MEMBERS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.operators import align as a
+from lcspark.operators.stats import weighted_quantile
 from lcspark.operators.traces import RUN_SQL, run_key
 from lcspark.plans.traces import SUMMARY, _summary
 from lcspark.session import materialise
@@ -75,6 +76,15 @@ def q_anchor_weights(spark: SparkSession, d: str) -> DataFrame:
     return a.start_clusters(_anchors(spark, d), "run", "rt", "anchor", 0.02).select("run", "anchor", "cluster", r("weight"))
 
 
+def q_no_harm(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each run's shift to keep in each minute: the weighted median of the shares of it that bring spectra to their feature's time, 0 to 1."""
+    m = read(spark, d, "ms2_map").filter("rt_s is not null and not isnan(rt_s) and rt_aligned_s is not null and not isnan(rt_aligned_s)").withColumn("run", run_key(F.col("file"))).filter("run is not null")
+    f = read(spark, d, "aligned_feature_table").filter("rt is not null").select("group_id", (F.col("rt") * 60).alias("t"))
+    x = m.join(f, "group_id").select("run", F.floor(F.col("rt_s") / 60).alias("minute"), "map_id", (F.col("rt_aligned_s") - F.col("rt_s")).alias("shift"), (F.col("t") - F.col("rt_s")).alias("need")).filter("abs(shift) > 1e-6")
+    x = x.withColumn("part", F.least(F.greatest(F.col("need") / F.col("shift"), F.lit(0.0)), F.lit(1.0))).withColumn("weight", F.abs("shift"))
+    return weighted_quantile(x, ["run", "minute"], "part", "weight", "map_id").select("run", "minute", r("part"))
+
+
 def q_rolling_reference(spark: SparkSession, d: str) -> DataFrame:
     s = _summary(spark, d).filter("tic > 0")
     return a.rolling_reference(s, "run", "scan", "tic").select("run", "centre", r("reference", 3), "n")
@@ -127,6 +137,8 @@ select c.run, c.knot, round(native, 6) as native, round(shift, 6) as shift, n, r
     "q_anchor_weights": ANCHORS + """, st as (select run, min(rt) as s from an group by run union all select run, nx from (select st.run, (select min(an.rt) from an where an.run = st.run and an.rt - st.s > 0.02::double) as nx from st) where nx is not null),
 k as (select run, anchor, rt, row_number() over (partition by run order by rt, anchor) as k from an), c as (select k.run, k.anchor, k.k, max(st.s) as s from k join st on k.run = st.run and st.s <= k.rt group by 1, 2, 3)
 select run, anchor, cast(min(k) over (partition by run, s) as integer) as cluster, round(1.0::double / count(*) over (partition by run, s), 6) as weight from c""",
+    "q_no_harm": f"""with x as (select {RUN_SQL} as run, cast(floor(m.rt_s / 60) as bigint) as minute, m.map_id, m.rt_aligned_s - m.rt_s as s, f.rt * 60 - m.rt_s as n from ms2_map m join aligned_feature_table f on m.group_id = f.group_id where isfinite(m.rt_s) and isfinite(m.rt_aligned_s) and f.rt is not null and m.file is not null),
+y as (select *, least(greatest(n / s, 0), 1) as part, abs(s) as w from x where abs(s) > 1e-6), z as (select run, minute, part, sum(w) over (partition by run, minute order by part, map_id) as c, sum(w) over (partition by run, minute) as t from y) select run, minute, round(min(part), 6) as part from z where c >= 0.5 * t group by 1, 2""",
     "q_rolling_reference": SUMMARY + """, c as (select run, scan, tic, unnest(range(greatest(cast(ceil((scan - 50) / 10.0::double) as bigint), 0), cast(floor((scan + 50) / 10.0::double) as bigint) + 1)) as c from s where tic > 0)
 select run, c * 10 as centre, round(median(tic), 3) as reference, count(*) as n from c group by 1, 2 having count(*) >= 0.5 * 101""",
     "q_two_factors": """with m as (select study, tic / 1e5 as y, precursor_intensity / 1e5 as a, n_peaks / 100.0::double as b from ms2_map where tic > 0 and isfinite(tic) and precursor_intensity > 0 and isfinite(precursor_intensity) and n_peaks > 0),

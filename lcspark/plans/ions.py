@@ -85,6 +85,12 @@ def q_strongest_distinct(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("id").alias("group_id"))
 
 
+def q_satellites(spark: SparkSession, d: str) -> DataFrame:
+    """Ions of a study whose traces hang together, as the sets that correlations of 0.3 or more connect."""
+    e = _shapes(spark, d).filter("weighted >= 0.3").select(F.concat_ws(":", "study", "a").alias("a"), F.concat_ws(":", "study", "b").alias("b"))
+    return c.components(e).select(F.col("id").alias("ion"), F.col("component").alias("first_ion"))
+
+
 QUERIES = {x: f for x, f in globals().items() if x.startswith("q_")}
 
 LINKS = V.replace("with v as", "with recursive v as") + """, p0 as (select run, scan, scan::bigint * 1000000 + pos as id, mz, inten from v),
@@ -96,15 +102,21 @@ b as (select e.run, e.id, e.t, p.effective as eff from e join p on p.run = e.run
 l as (select p.run, p.id, p.effective, case when b.eff > p.effective then b.t end as link from p left join b on p.run = b.run and p.id = b.id)"""
 ROOTS = LINKS + """, wk as (select run, id, id as at from l union all select wk.run, wk.id, l.link from wk join l on l.run = wk.run and l.id = wk.at where l.link is not null), rt as (select wk.run, wk.id, wk.at as root from wk join l on l.run = wk.run and l.id = wk.at where l.link is null)"""
 PEARSON = lambda n, x, y, xx, yy, xy: f"case when {n} >= 3 and {xx} - {x} * {x} / {n} > 0 and {yy} - {y} * {y} / {n} > 0 then ({xy} - {x} * {y} / {n}) / sqrt(({xx} - {x} * {x} / {n}) * ({yy} - {y} * {y} / {n})) end"
+SHAPES = f""", j as (select a.run, a.group_id as a, b.group_id as b, a.inten as x, b.inten as y from dn a join dn b on a.run = b.run and a.scan = b.scan and a.group_id < b.group_id where a.inten > 0 or b.inten > 0),
+g as (select run, split_part(run, '_', 1) as study, a, b, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as xx, sum(y * y) as yy, sum(x * y) as xy, least(max(x), max(y)) as low from j group by 1, 2, 3, 4), h as (select *, {PEARSON("n", "sx", "sy", "xx", "yy", "xy")} as r from g),
+sh as (select study, a, b, count(r) as n_runs, sum(case when r is not null then log10(greatest(low, 10)) * atanh(least(greatest(r, -0.999999::double), 0.999999::double)) end) / sum(case when r is not null then log10(greatest(low, 10)) end) as z, median(r) as median, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(xx) as xx, sum(yy) as yy, sum(xy) as xy from h group by 1, 2, 3)"""
 ORACLES = {
     "q_links": LINKS + " select run, id, round(effective, 3) as effective, link from l",
     "q_roots": ROOTS + " select * from rt",
     "q_basins": ROOTS + """ select rt.run, rt.root, min(p.scan) as scan_lo, max(p.scan) as scan_hi, count(distinct p.scan) as n_scans, count(*) as n_points, max(p.inten) as height, round(sum(p.inten), 2) as area, round(sum(p.mz * p.inten) / sum(p.inten), 6) as mz
   from rt join p on rt.run = p.run and rt.id = p.id group by 1, 2 having count(distinct p.scan) >= 4""",
-    "q_shape_correlations": DENSE + f""", j as (select a.run, a.group_id as a, b.group_id as b, a.inten as x, b.inten as y from dn a join dn b on a.run = b.run and a.scan = b.scan and a.group_id < b.group_id where a.inten > 0 or b.inten > 0),
-g as (select run, split_part(run, '_', 1) as study, a, b, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as xx, sum(y * y) as yy, sum(x * y) as xy, least(max(x), max(y)) as low from j group by 1, 2, 3, 4), h as (select *, {PEARSON("n", "sx", "sy", "xx", "yy", "xy")} as r from g),
-t as (select study, a, b, count(r) as n_runs, sum(case when r is not null then log10(greatest(low, 10)) * atanh(least(greatest(r, -0.999999::double), 0.999999::double)) end) / sum(case when r is not null then log10(greatest(low, 10)) end) as z, median(r) as median, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(xx) as xx, sum(yy) as yy, sum(xy) as xy from h group by 1, 2, 3)
-select study, a, b, n_runs, round((exp(2 * z) - 1) / (exp(2 * z) + 1), 6) as weighted, round(median, 6) as median, round({PEARSON("n", "sx", "sy", "xx", "yy", "xy")}, 6) as pooled from t""",
+    "q_shape_correlations": DENSE + SHAPES + f""" select study, a, b, n_runs, round((exp(2 * z) - 1) / (exp(2 * z) + 1), 6) as weighted, round(median, 6) as median, round({PEARSON("n", "sx", "sy", "xx", "yy", "xy")}, 6) as pooled from sh""",
+    "q_satellites": (DENSE + SHAPES).replace("with v as", "with recursive v as") + """, ed as (select study || ':' || a as a, study || ':' || b as b from sh where (exp(2 * z) - 1) / (exp(2 * z) + 1) >= 0.3), eb as (select a, b from ed union select b, a from ed),
+wl as (select a as id, a as seen from eb union select wl.id, eb.b from wl join eb on wl.seen = eb.a) select id as ion, min(seen) as first_ion from wl group by id""",
+    "q_strongest_distinct": """with recursive f as (select group_id, study, mz, rt, n_detected from aligned_feature_table), ed as (select a.group_id as x, b.group_id as y from f a join f b on a.study = b.study and a.group_id <> b.group_id and abs(a.rt - b.rt) <= 1.0::double and abs(b.mz - a.mz) <= case when a.group_id < b.group_id then a.mz else b.mz end * (2000.0::double / 1e6)),
+n as (select group_id as id, row_number() over (order by n_detected desc nulls last, group_id) as k from f), nb as (select n.k, coalesce(list(m.k) filter (m.k < n.k), []) as l from n left join ed on ed.x = n.id left join n m on m.id = ed.y group by n.k),
+st as (select 0::bigint as k, []::bigint[] as c union all select nb.k, case when list_has_any(st.c, nb.l) then st.c else list_append(st.c, nb.k) end from st join nb on nb.k = st.k + 1)
+select n.id as group_id from n join (select unnest(c) as k from (select c from st order by k desc limit 1)) x on n.k = x.k""",
     "q_coelute_shared": COELUTE.replace("<= 0.02::double", "<= 0.1::double") + ", s as (select distinct group_id, run from filled_mask where filled = 0 and group_id >= 1) select p.a, p.b, count(*) as n_shared from p join s x on p.a = x.group_id join s y on p.b = y.group_id and x.run = y.run group by 1, 2",
     "q_height_correlations": COELUTE.replace("<= 0.02::double", "<= 0.5::double") + f""", h as (select group_id, {RUN_SQL} as run, log10(max(precursor_intensity)) as h from ms2_map where group_id is not null and precursor_intensity > 0 and not isnan(precursor_intensity) and file is not null group by 1, 2),
 j as (select p.a, p.b, x.h as x, y.h as y, y.h - x.h as q from p join h x on p.a = x.group_id join h y on p.b = y.group_id and x.run = y.run), m as (select *, median(q) over (partition by a, b) as m from j)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lcspark.constants import ADDUCT_PIECES
 from lcspark.functions import chem
 from lcspark.operators import align, shape
 from lcspark.operators import study as s
@@ -122,6 +123,23 @@ def q_ion_formula(spark: SparkSession, d: str) -> DataFrame:
     return x.select("library_index", F.coalesce(own, guess).alias("adduct"), F.when(own.isNotNull(), "named").when(guess.isNotNull(), "guessed").otherwise("none").alias("source"))
 
 
+def q_denoise_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why a record is passed whole by the denoising rule, or that it is not: the first that applies."""
+    x = read(spark, d, "library").select("library_index", "formula", "precursor_type", "peaks")
+    delta, _, z = chem.adduct_parts(F.col("precursor_type"))
+    x = once(x, delta=delta, z=z, ok=F.coalesce(chem.is_formula(F.col("formula")), F.lit(False)))
+    why = F.when(F.col("peaks").isNull() | (F.size("peaks") == 0), "no_peaks").when(~F.col("ok"), "no_formula").when(F.col("delta").isNull(), "no_adduct").when(F.abs("z") != 1, "charge").otherwise("applied")
+    return x.select("library_index", why.alias("reason"))
+
+
+def q_spectra_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What is mapped to each feature: spectra, runs, the strongest precursor, how many count for its consensus."""
+    m = read(spark, d, "ms2_map").filter("group_id is not null").withColumn("run", run_key(F.col("file")))
+    best = F.max_by("map_id", F.struct(F.coalesce(F.when(~F.isnan("tic"), F.col("tic")), F.lit(-1.0)), (-F.col("map_id")).alias("k")))
+    g = m.groupBy("group_id").agg(F.count("*").alias("n_spectra"), F.countDistinct("run").alias("n_runs"), best.alias("best"), F.count_if(F.col("in_consensus") == 1).alias("n_in_consensus"))
+    return read(spark, d, "aligned_feature_table").select("group_id").join(g, "group_id", "left").select("group_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_spectra", "n_runs", "n_in_consensus")], "best")
+
+
 def q_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors in tiers: features seen in most runs and alone at their m/z, then seen in most, then the rest; twenty of each of twenty stretches of time."""
     f = read(spark, d, "aligned_feature_table").filter("rt is not null and mz is not null").select("study", "group_id", "mz", "rt", "n_detected")
@@ -238,6 +256,13 @@ z as (select library_index, sum(n) as n from c where n >= 3 group by 1) select l
     "q_ion_formula": FORMULAS + f""", ad as (select * from (values {_ADDUCTS}) t(adduct, n, delta, z)), o as (select w.library_index, w.precursor_type, ad.adduct, abs((ad.n * mass + ad.delta - ad.z * 0.00054857990946::double) / abs(ad.z) - w.precursor_mz) as off from w, ad where w.precursor_mz is not null),
 nm as (select library_index, adduct from o where adduct = precursor_type and off <= 0.02::double), gs as (select library_index, adduct from o where adduct in (select g from (values {_GUESS}) t(g)) and off < 0.02::double qualify row_number() over (partition by library_index order by off, adduct) = 1)
 select w.library_index, coalesce(nm.adduct, gs.adduct) as adduct, case when nm.adduct is not null then 'named' when gs.adduct is not null then 'guessed' else 'none' end as source from w left join nm on w.library_index = nm.library_index left join gs on w.library_index = gs.library_index where w.precursor_mz is not null""",
+    "q_denoise_reasons": """with ad as (select distinct precursor_type as t from library where regexp_full_match(replace(precursor_type, ' ', ''), '\\[[0-9]*M([+-][A-Za-z0-9]+)*\\][0-9]*[+-]')), term as (select t, unnest(regexp_extract_all(regexp_extract(replace(t, ' ', ''), 'M(.*)\\]', 1), '[+-][0-9]*[A-Za-z][A-Za-z0-9]*')) as x from ad),
+pc as (select p from (values """ + ", ".join(f"('{p}')" for p in ADDUCT_PIECES) + """) v(p)), bad as (select distinct t from term where not exists (select 1 from pc where p = regexp_extract(x, '^[+-][0-9]*(.*)$', 1))),
+k as (select t, coalesce(try_cast(nullif(regexp_extract(replace(t, ' ', ''), '\\]([0-9]*)', 1), '') as integer), 1) as z from ad where t not in (select t from bad))
+select l.library_index, case when l.peaks is null or len(l.peaks) = 0 then 'no_peaks' when not coalesce(regexp_full_match(l.formula, '((Br|Cl|Si|Na|I|K|S|P|F|O|N|C|H)[0-9]*)+'), false) then 'no_formula' when k.t is null then 'no_adduct' when k.z <> 1 then 'charge' else 'applied' end as reason from library l left join k on l.precursor_type = k.t""",
+    "q_spectra_summary": f"""with m as (select group_id, {RUN_SQL} as run, map_id, case when not isnan(tic) then tic end as tic, in_consensus from ms2_map where group_id is not null), b as (select group_id, map_id as best from m qualify row_number() over (partition by group_id order by coalesce(tic, -1) desc, map_id) = 1),
+g as (select group_id, count(*) as n_spectra, count(distinct run) as n_runs, count(*) filter (in_consensus = 1) as n_in_consensus from m group by 1)
+select f.group_id, coalesce(n_spectra, 0) as n_spectra, coalesce(n_runs, 0) as n_runs, coalesce(n_in_consensus, 0) as n_in_consensus, b.best from aligned_feature_table f left join g on f.group_id = g.group_id left join b on f.group_id = b.group_id""",
     "q_anchors": """with f as (select a.study, a.group_id, a.rt, a.n_detected, not exists (select 1 from aligned_feature_table b where a.study = b.study and a.group_id <> b.group_id and abs(b.mz - a.mz) <= a.mz * (10.0::double / 1e6) and abs(b.rt - a.rt) <= 0.5::double) as alone from aligned_feature_table a where rt is not null and mz is not null),
 t as (select study, group_id, n_detected, case when n_detected >= 6 and alone then 1 when n_detected >= 6 then 2 else 3 end as tier, cast(least(floor(rt), 19) as integer) as bin from f)
 select study, bin, tier, cast(row_number() over (partition by study, bin order by tier, n_detected desc nulls last, group_id) as integer) as k, group_id from t qualify row_number() over (partition by study, bin order by tier, n_detected desc nulls last, group_id) <= 20""",

@@ -54,6 +54,16 @@ def test_width_widens_the_time(spark):
     assert len(set(_groups(spark, rows(0.2), rt_tol=0.02))) == 1 and len(set(_groups(spark, rows(0.03), rt_tol=0.02))) == 2
 
 
+def test_scatter_widens_the_mass(spark):
+    rows = [("s", 0, "a", 400.0, 2.0, 0.1, 9.0, 4.0), ("s", 1, "b", 400.0 * (1 + 12e-6), 2.0, 0.1, 5.0, 5.0), ("s", 2, "c", 400.0 * (1 - 12e-6), 2.0, 0.1, 4.0, 0.1), ("s", 3, "d", 400.0 * (1 + 40e-6), 2.0, 0.1, 3.0, 90.0)]
+    d = spark.createDataFrame(rows, "study string, member_id bigint, run string, mz double, rt double, width double, height double, sigma double")
+    group = {r.member_id: r.group_no for r in features.group_members(d).collect()}
+    assert group[0] == group[1] == group[2] != group[3]
+    assert len({r.group_no for r in features.group_members(d.drop("sigma")).collect()}) == 4
+    d = d.withColumn("sigma", F.when(F.col("member_id") < 2, F.col("sigma")).otherwise(0.0)).withColumn("sigma", F.when(F.col("member_id") == 0, 0.0).otherwise(F.col("sigma")))
+    assert len({r.group_no for r in features.group_members(d).collect()}) == 3
+
+
 def test_consensus_takes_the_weighted_median(spark):
     d = spark.createDataFrame([(1, 400.0, 1.0, 1.0, 1), (1, 400.0004, 2.0, 10.0, 2), (1, 400.0008, 4.0, 1.0, 3), (None, 1.0, 1.0, 1.0, 4), (2, None, 1.0, 1.0, 5)], "group_id int, mz double, rt double, height double, id int")
     (r,) = features.consensus(d).collect()
@@ -260,12 +270,20 @@ def test_mzml(spark, tmp_path):
     def spec(n, level, rt, mz, it, extra=""):
         return f'<spectrum id="controllerType=0 scan={n}"><cvParam accession="MS:1000511" value="{level}"/><cvParam accession="MS:1000130"/><cvParam accession="MS:1000016" value="{rt}" unitAccession="UO:0000010"/>{extra}<binaryDataArrayList>{arr(mz, "MS:1000514", "MS:1000523", True)}{arr(it, "MS:1000515", "MS:1000521", False)}</binaryDataArrayList></spectrum>'
 
-    body = spec(1, 1, 30.0, [200.0, 100.0, 150.0], [5.0, 2.0, 0.0]) + spec(2, 1, 31.0, [], []) + spec(3, 2, 31.5, [60.0], [9.0], '<cvParam accession="MS:1000744" value="200.01"/><cvParam accession="MS:1000827" value="200"/>') + spec(4, 1, 32.0, [1.0], [1.0], '<cvParam accession="MS:1000128"/>')
+    body = spec(1, 1, 30.0, [200.0, 100.0, 150.0], [5.0, 2.0, 0.0]) + spec(2, 1, 31.0, [], []) + spec(3, 2, 31.5, [60.0], [9.0], '<cvParam accession="MS:1000744" value="200.01"/><cvParam accession="MS:1000827" value="200"/><cvParam accession="MS:1000828" value="0.5"/><cvParam accession="MS:1000829" value="1.5"/>') + spec(4, 1, 32.0, [1.0], [1.0], '<cvParam accession="MS:1000128"/>')
     (tmp_path / "Run_1.mzML").write_text(f'<mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList>{body}</spectrumList></run></mzML>')
     d = mzml.read_mzml(spark, str(tmp_path))
     rows = {r.scan: r for r in d.collect()}
     assert set(rows) == {1, 2, 3} and rows[1].mz == [100.0, 200.0] and rows[3].precursor_mz == 200.01 and rows[1].polarity == "pos"
     scans, points = mzml.ms1_tables(d)
+    assert (rows[3].isolation_lo, rows[3].isolation_hi) == (199.5, 201.5) and rows[1].isolation_lo is None
+    both = body.replace("MS:1000130", "MS:1000129", 1)
+    for name, text, word in (("profile", spec(1, 1, 1.0, [1.0], [1.0], '<cvParam accession="MS:1000128"/>'), "profile"), ("both", both, "polarities")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.mzML").write_text(f'<mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList>{text}</spectrumList></run></mzML>')
+        with pytest.raises(Exception, match=word):
+            mzml.read_mzml(spark, str(tmp_path / name)).count()
+    assert [r.scan for r in mzml.read_mzml(spark, str(tmp_path / "both"), "neg").collect()] == [1]
     assert scans.count() == 2 and [(r.pos, r.mz, r.inten) for r in points.orderBy("pos").collect()] == [(0, 100.0, 2.0), (1, 200.0, 5.0)]
 
 
