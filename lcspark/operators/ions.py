@@ -60,9 +60,12 @@ def consistent_clusters(members: DataFrame, pairs: DataFrame, cut: float, margin
     A member's agreement with a cluster is the mean of its pair scores with the cluster's other members, weighted by their ``w``; pairs without a
     score count 0. A member that agrees with another cluster by ``cut`` and by ``margin`` more than with its own moves there (the best, then the
     smaller number); one below the cut with its own leaves for a cluster of its own. At most ``rounds`` passes, each from the state before it.
+    Ids may be any bigint, hashes too.
     """
     both = materialise(pairs.select("a", "b", "r").union(pairs.select("b", "a", "r")).filter("r is not null and a != b"))
-    state = materialise(members.select("id", F.col("cluster").cast("bigint").alias("cluster"), F.col("w").cast("double").alias("w")))
+    # a cluster is the pass it was founded in and its number: sums of ids would overflow, or meet another cluster
+    named = lambda k, n: F.struct(F.lit(k).alias("k"), F.col(n).cast("bigint").alias("n"))
+    state = materialise(members.filter("cluster is not null").select("id", named(0, "cluster").alias("cluster"), F.col("w").cast("double").alias("w")))
     for k in range(rounds):
         total = state.groupBy("cluster").agg(F.sum("w").alias("_t"), F.count("*").alias("_n"))
         b = state.select(F.col("id").alias("b"), F.col("cluster").alias("c"), F.col("w").alias("wb"))
@@ -70,14 +73,14 @@ def consistent_clusters(members: DataFrame, pairs: DataFrame, cut: float, margin
         s = s.join(total.withColumnRenamed("cluster", "c"), "c").join(state.select(F.col("id").alias("a"), F.col("cluster").alias("own"), F.col("w").alias("wa")), "a")
         rest = F.col("_t") - F.when(F.col("c") == F.col("own"), F.col("wa")).otherwise(0.0)
         s = s.withColumn("v", F.when(rest > 0, F.col("s") / rest))
-        g = s.groupBy(F.col("a").alias("id")).agg(F.max(F.when(F.col("c") == F.col("own"), F.col("v"))).alias("mine"), F.max(F.when((F.col("c") != F.col("own")) & F.col("v").isNotNull(), F.struct("v", (-F.col("c")).alias("c")))).alias("best"))
+        g = s.groupBy(F.col("a").alias("id")).agg(F.max(F.when(F.col("c") == F.col("own"), F.col("v"))).alias("mine"), F.max(F.when((F.col("c") != F.col("own")) & F.col("v").isNotNull(), F.struct("v", (-F.col("c.k")).alias("k"), F.bitwise_not("c.n").alias("n"), "c"))).alias("best"))
         d = state.join(total, "cluster").join(g, "id", "left").withColumn("mine", F.when(F.col("_n") > 1, F.coalesce("mine", F.lit(0.0))))
         move = F.coalesce((F.col("best.v") >= cut) & (F.col("mine").isNull() | (F.col("best.v") > F.col("mine") + margin)), F.lit(False))
         leave = F.coalesce(F.col("mine") < cut, F.lit(False)) & F.lit(may_leave)
-        new = F.when(move, -F.col("best.c")).when(leave, F.col("id") + (k + 1) * (1 << 58)).otherwise(F.col("cluster"))
+        new = F.when(move, F.col("best.c")).when(leave, named(k + 1, "id")).otherwise(F.col("cluster"))
         state = materialise(d.select("id", new.alias("cluster"), "w", (new != F.col("cluster")).alias("changed")))
         if state.filter("changed").isEmpty():
             break
         state = state.drop("changed")
-    name = state.groupBy("cluster").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("m"))
-    return state.join(name, "cluster").select("id", (-F.col("m.i")).alias("cluster"))
+    name = state.groupBy("cluster").agg(F.max(F.struct("w", F.bitwise_not("id").alias("i"))).alias("m"))
+    return state.join(name, "cluster").select("id", F.bitwise_not("m.i").alias("cluster"))

@@ -109,6 +109,15 @@ def test_consistent_clusters_equal_brute_force(spark):
         assert {frozenset(x) for x in got.values()} == _consistent(m, p, 0.5)
 
 
+def test_consistent_clusters_of_any_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    two = 5 + (1 << 58)
+    m = [(high, high, 2.0), (high - 1, high, 1.0), (low, two, 1.0), (two, two, 3.0), (5, 5, 9.0), (7, 5, 1.0), (8, None, 1.0)]
+    p = [(high, high - 1, -0.5), (low, two, 0.9)]
+    got = ions.consistent_clusters(spark.createDataFrame(m, "id bigint, cluster bigint, w double"), spark.createDataFrame(p, "a bigint, b bigint, r double"), 0.5)
+    assert {tuple(r) for r in got.select("id", "cluster").collect()} == {(high, high), (high - 1, high - 1), (low, two), (two, two), (5, 5), (7, 7)}
+
+
 def test_roles_of_both_polarities_and_isotopes(spark):
     table = {p: {n: (k, d, z) for n, k, d, z in compounds.ion_table(p)} for p in ("pos", "neg")}
     assert table["pos"]["[M+H]+"][1] == pytest.approx(1.00727646688, abs=1e-6) and table["neg"]["[M-H]-"][1] == pytest.approx(-1.00727646688, abs=1e-6) and table["neg"]["[2M-H]-"][0] == 2 and table["pos"]["[M+2H]2+"][2] == 2
