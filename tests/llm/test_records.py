@@ -65,6 +65,26 @@ def test_votes_beat_the_newest_copy(spark):
     assert pick(F.col("w")) == {1: (2, "410.25"), 10: (12, "8.5")}
 
 
+def test_every_stage_of_survivors_counts(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(k, r.choice("aab"), str(r.randint(1, 9) if k % 2 else 1), r.choice((-1.0, 410.25, 418.25, 910.25)), r.choice((None, 0.5, float("nan"))), r.choice((None, 0, 1, 9)), r.choice((None, *range(40)))) for k in r.sample(range(3000), 900)]
+    d = spark.createDataFrame(rows, "map_id bigint, file string, scan string, tic double, precursor_purity double, representative int, at int").withColumn("loaded_at", F.timestamp_seconds("at"))
+    best, copies = {}, {}
+    for k, file, scan, tic, purity, rep, at in rows:
+        copies.setdefault((file, scan), []).append(k)
+        for f, v in (("tic", tic if tic > 0 else None), ("precursor_purity", purity if purity == 0.5 else None), ("representative", rep if rep in (0, 1) else None)):
+            if v is not None:
+                best[file, scan, f] = max(best.get((file, scan, f), (-2, -1, None)), (-1 if at is None else at, k, str(v)))
+    want = {(min(copies[file, scan]), f, *b[1:]) for (file, scan, f), b in best.items() if len(copies[file, scan]) > 1}
+    rows_of = lambda trust: {tuple(x) for x in survivors.spectrum_survivors(d, trust).select("dup_id", "field", "map_id", "value").collect()}
+    equal = rows_of("equal")
+    # the vote decides where it is asked, and is not asked where the newest copy gives the value
+    monkeypatch.setattr(survivors, "_winner", lambda values, weights: F.size(values) - 1)
+    assert rows_of("equal") != equal
+    monkeypatch.setattr(survivors, "_winner", None)
+    assert rows_of("recent") == want and max(map(len, copies.values())) > 100
+
+
 def test_a_group_of_many_values_is_voted_whole(spark, monkeypatch):
     r = random.Random(8)
     right = "1234567.25"
